@@ -110,7 +110,7 @@ def without_templates(docs: DataFrame, **how) -> DataFrame:
     """The columns of ``docs`` with recurring lines gone from text (n_chars, if there, follows), and t_lines, t_dropped, t_sha256."""
     gone = dropped_lines(docs, **how).groupBy("doc").agg(F.collect_list(F.struct("tag", "line")).alias("gone"))
     rest = [c for c in docs.columns if c != "text"]
-    full = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(docs["text"]).bitwiseAND(F.lit(0xFFFFFF).cast("long")).alias("tag"), docs["text"].isNull().alias("missing"), F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(rest)]).alias("rest"), docs["text"].alias("text"))
+    full = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(docs["text"]).bitwiseAND(F.lit(0xFFFFF).cast("long")).alias("tag"), docs["text"].isNull().alias("missing"), F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(rest)]).alias("rest"), docs["text"].alias("text"))
 
     def pack(batches):
         engine = zstandard.ZstdCompressor(level=1)

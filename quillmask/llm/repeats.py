@@ -7,7 +7,9 @@ hash, span hash): 128 bits that name the anchor's content and the whole stretch
 2. ``leaves``: occurrences collapse, map-side first, into one row per leaf with its count and first holder.
 3. ``branching``: nodes with one occurrence end there: nothing below them can be repeated. Where a leaf itself
    recurs all its windows do. Where a node has several leaves, only those are opened further:
-4. ``opened``: one holder per leaf lists its windows (anchor hash, window hash), which are grouped in turn.
+4. ``opened``: one holder per leaf lists its run in blocks of neighbouring windows, as nodes and leaves again (the
+   symbols that all windows of a block share, those that any of them covers), and what still branches is listed
+   once more window by window. So a border between repeated and other text costs a few rows, not a row per window.
 
 So a passage in a third of all documents is one leaf with a large count, never a list or a set of pairs. Rows
 meet leaves in joins whose large partitions adaptive execution splits.
@@ -24,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmask.llm.common import keyed, text_chunks, written
+from quillmask.llm.common import dropped, keyed, release, text_chunks, written
 from quillmask.llm.windows import Sequences
 
 #: Symbols of a segment: longer texts are read in segments that overlap by all but one symbol of a window.
@@ -58,26 +60,30 @@ def sequences(texts: list[bytes], shape: Shape) -> Sequences:
     return Sequences.of_words(texts) if shape.unit == "word" else Sequences.of_bytes(texts)
 
 
-#: One long holds a run: 24 bits of the text's hash, 32 of its first window, 8 of the number of windows less one.
-def packed(tag, start, count):
-    return ((np.asarray(tag, dtype=np.int64) & 0xFFFFFF) << 40) | (np.asarray(start, dtype=np.int64) << 8) | (np.asarray(count, dtype=np.int64) - 1)
+#: Windows of the blocks in which branching runs are opened, step by step.
+STEPS = {"word": (8, 1), "byte": (16, 1)}
 
 
-def unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return (at >> 40) & 0xFFFFFF, (at >> 8) & 0xFFFFFFFF, (at & 0xFF) + 1
+#: One long holds a run: 20 bits of the text's hash, 28 of its first window, 8 of the number of windows less one, 8 of the anchor's place.
+def packed(tag, start, count, ahead):
+    return ((np.asarray(tag, dtype=np.int64) & 0xFFFFF) << 44) | (np.asarray(start, dtype=np.int64) << 16) | ((np.asarray(count, dtype=np.int64) - 1) << 8) | np.asarray(ahead, dtype=np.int64)
+
+
+def unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return (at >> 44) & 0xFFFFF, (at >> 16) & 0xFFFFFFF, ((at >> 8) & 0xFF) + 1, at & 0xFF
 
 
 def _run_rows(shape: Shape) -> Callable:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in text_chunks(batches):
             pieces = [(i, base, piece) for i, text in enumerate(texts) for base, piece in segments(text, shape)]
-            text, start, count, node, leaf = sequences([p[2] for p in pieces], shape).anchors(shape.width, shape.gram)
+            text, start, count, ahead, node, leaf = sequences([p[2] for p in pieces], shape).anchors(shape.width, shape.gram)
             if not len(text):
                 continue
             owner, base = np.array([p[0] for p in pieces]), np.array([p[1] for p in pieces], dtype=np.int64)
             doc, tag = np.array([k[0] for k in keys], dtype=np.int64), np.array([k[1] for k in keys], dtype=np.int64)
             own = owner[text]
-            yield pa.record_batch([pa.array(x) for x in (node.view(np.int64), leaf.view(np.int64), doc[own], packed(tag[own], start + base[text], count))], names=["node", "leaf", "doc", "at"])
+            yield pa.record_batch([pa.array(x) for x in (node.view(np.int64), leaf.view(np.int64), doc[own], packed(tag[own], start + base[text], count, ahead))], names=["node", "leaf", "doc", "at"])
 
     return rows
 
@@ -85,7 +91,7 @@ def _run_rows(shape: Shape) -> Callable:
 def tagged(docs: DataFrame) -> DataFrame:
     """doc, tag (of the text, so that two texts under one doc_id stay apart), text."""
     d = keyed(docs)
-    return d.select("doc", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFF).cast("long")).alias("tag"), "text")
+    return d.select("doc", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFF).cast("long")).alias("tag"), "text")
 
 
 def runs(docs: DataFrame, shape: Shape) -> DataFrame:
@@ -118,58 +124,62 @@ def zipped(docs: DataFrame) -> DataFrame:
     return tagged(docs).mapInArrow(rows, "doc long, tag long, z binary")
 
 
-def _opened_rows(shape: Shape) -> Callable:
-    """Windows of the listed runs of each text."""
+def _opened_rows(shape: Shape, size: int) -> Callable:
+    """The listed runs of each text in blocks of ``size`` windows."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            docs, tags, ats, nodes = (batch.column(i).to_pylist() for i in range(4))
-            for doc, tag, at, node, z in zip(docs, tags, ats, nodes, batch.column(4), strict=True):
-                at, node = np.array(at, dtype=np.int64), np.array(node, dtype=np.int64)
-                its, start, count = unpacked(at)
+            for doc, tag, ats, nodes, z in zip(*(batch.column(i) for i in range(5)), strict=True):
+                at, node, tag = ats.values.to_numpy(), nodes.values.to_numpy(), tag.as_py()
+                its, start, count, ahead = unpacked(at)
                 mine = its == tag
                 if not mine.any():
                     continue
-                start, count, node = start[mine], count[mine], node[mine]
-                flat = np.repeat(start, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                flat_node = np.repeat(node, count)
+                start, count, ahead, node = start[mine], count[mine], ahead[mine], node[mine]
+                left = np.ones(len(start), dtype=bool)
                 for base, piece in segments(unpack.decompress(z.as_py()), shape):
                     seq = sequences([piece], shape)
-                    here = (flat >= base) & (flat - base + shape.width <= seq.n)
-                    if base:
-                        flat_ok = flat >= base
-                        here &= flat_ok
-                    at_here = flat[here] - base
-                    if not len(at_here):
+                    here = left & (start >= base) & (start + count - 1 + shape.width <= base + seq.n)
+                    left &= ~here
+                    if not here.any():
                         continue
-                    flat_key, where = flat_node[here], flat[here]
-                    yield pa.record_batch([pa.array(flat_key), pa.array(seq.window_hashes(at_here, shape.width).view(np.int64)), pa.array(np.full(len(where), doc, dtype=np.int64)), pa.array(packed(tag, where, 1))], names=["node", "win", "doc", "at"])
+                    run, lo, n, name, leaf = seq.blocks(start[here] - base, count[here], ahead[here], node[here], shape.width, size)
+                    near = (start - base + ahead)[here][run] - lo
+                    yield pa.record_batch([pa.array(x) for x in (name.view(np.int64), leaf.view(np.int64), np.full(len(lo), doc.as_py(), dtype=np.int64), packed(tag, lo + base, n, near))], names=["node", "leaf", "doc", "at"])
 
     return rows
 
 
-def flags(docs: DataFrame, run_rows: DataFrame, branch: DataFrame, shape: Shape, base: str) -> DataFrame:
-    """doc, at: runs of windows that are repeated. ``run_rows`` and ``branch`` are read more than once."""
-    named = branch.select("node", "leaf", "n", "n_leaves", "node_doc", F.col("head.doc").alias("head_doc"), F.col("head.at").alias("head_at"))
-    met = written(run_rows.join(named, ["node", "leaf"]), base, "met")
-    if shape.rule == "first":
-        whole, holder = F.col("doc") > F.col("head_doc"), F.col("doc") == F.col("head_doc")
-    else:
-        whole, holder = F.col("n") > 1, (F.col("doc") == F.col("head_doc")) & (F.col("at") == F.col("head_at"))
-    listed = met.where((F.col("n_leaves") > 1) & holder).groupBy("doc").agg(F.collect_list("at").alias("ats"), F.collect_list("node").alias("nodes"))
-    texts = zipped(docs)
-    opened = texts.join(listed, "doc").select("doc", "tag", "ats", "nodes", "z").mapInArrow(_opened_rows(shape), "node long, win long, doc long, at long")
-    opened = written(opened, base, "opened")
-    groups = opened.groupBy("node", "win").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first_doc")).where("n > 1")
-    again = opened.join(groups, ["node", "win"])
-    again = again.where("doc > first_doc") if shape.rule == "first" else again
-    return met.where(whole).select("doc", "at").union(again.select("doc", "at"))
+def flags(docs: DataFrame, run_rows: DataFrame, branch: DataFrame, shape: Shape, base: str, spent: tuple[str, ...] = ()) -> DataFrame:
+    """doc, at: runs of windows that are repeated, as a written table. ``spent``: tables below ``base`` that nothing reads once the runs are settled."""
+    spark = docs.sparkSession
+    found: DataFrame | None = None
+    for k, size in enumerate((*STEPS[shape.unit], 0)):
+        named = branch.select("node", "leaf", "n", "n_leaves", F.col("head.doc").alias("head_doc"), F.col("head.at").alias("head_at"))
+        met = written(run_rows.join(named, ["node", "leaf"]), base, f"met-{k}")
+        release(spark)
+        for name in spent:
+            dropped(spark, f"{base}/{name}")
+        if shape.rule == "first":
+            whole, holder = F.col("doc") > F.col("head_doc"), F.col("doc") == F.col("head_doc")
+        else:
+            whole, holder = F.col("n") > 1, (F.col("doc") == F.col("head_doc")) & (F.col("at") == F.col("head_at"))
+        flagged = met.where(whole).select("doc", "at")
+        found = flagged if found is None else found.union(flagged)
+        if not size:
+            break
+        listed = met.where((F.col("n_leaves") > 1) & holder).groupBy("doc").agg(F.collect_list("at").alias("ats"), F.collect_list("node").alias("nodes"))
+        opened = zipped(docs).join(listed, "doc").select("doc", "tag", "ats", "nodes", "z")
+        run_rows = written(opened.mapInArrow(_opened_rows(shape, size), "node long, leaf long, doc long, at long"), base, f"opened-{k}")
+        release(spark)
+        branch, spent = branching(leaves(run_rows)), (f"opened-{k}",)
+    return found
 
 
 def covered(at: np.ndarray, tag: int, n: int, width: int) -> np.ndarray:
     """Which of n symbols a flagged window covers."""
-    its, start, count = unpacked(np.asarray(at, dtype=np.int64))
+    its, start, count, _ = unpacked(np.asarray(at, dtype=np.int64))
     mine = its == tag
     edge = np.zeros(n + 1, dtype=np.int64)
     np.add.at(edge, np.minimum(start[mine], n), 1)

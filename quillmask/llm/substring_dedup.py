@@ -31,7 +31,7 @@ def repeated_runs(docs: DataFrame, width: int = 50, gram: int = 10) -> tuple[Dat
     """doc, at: packed runs of windows whose words also start in a document with a smaller doc_id."""
     s, base = shape(width, gram), shared_dir(docs.sparkSession)
     rows = written(runs(docs, s), base, "runs")
-    return flags(docs, rows, branching(written(leaves(rows), base, "leaves")), s, base), s
+    return flags(docs, rows, branching(written(leaves(rows), base, "leaves")), s, base, ("runs", "leaves")), s
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 10, with_text: bool = False) -> DataFrame:

@@ -31,6 +31,7 @@ class IndexFamily:
         self.shape = Shape("byte", width, min(gram, width), "any")
         self.levels: list[tuple[int, str, DataFrame]] = []  # rank, name, rows; ranks fall
         self.batches: list[DataFrame] = []
+        self.dead: list[str] = []  # merged into others
         self.serial = 0
 
     def _level(self, rank: int, rows: DataFrame) -> tuple[int, str, DataFrame]:
@@ -55,18 +56,21 @@ class IndexFamily:
         while self.levels and self.levels[-1][0] == new[0]:
             old = self.levels.pop()
             joined = self._level(new[0] + 1, merged_leaves(old[2].unionByName(new[2])))
-            for _, name, _ in (old, new):
-                self.dead = [*getattr(self, "dead", []), name]
+            self.dead += [old[1], new[1]]
             new = joined
         self.levels.append(new)
         return hits
 
     def sweep(self) -> None:
         """Delete levels that were merged into others; matches of earlier batches can't be read afterwards."""
-        for name in getattr(self, "dead", []):
+        for name in self.dead:
             dropped(self.spark, f"{self.base}/{name}")
         self.dead = []
 
+    def tables(self) -> tuple[str, ...]:
+        """What the family holds below its folder."""
+        return (*(level[1] for level in self.levels), *(f"runs-{i}" for i in range(len(self.batches))))
+
     def leaves(self) -> DataFrame:
         rows = [level[2] for level in self.levels]
         if len(rows) == 1:
@@ -91,7 +95,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 64, batches: i
         family.append(docs.where(F.pmod(F.xxhash64(F.coalesce(docs["doc_id"].cast("long"), F.lit(0))), F.lit(batches)) == b))
         family.sweep()
         release(spark)
-    found = flags(docs, family.runs(), branching(family.leaves()), family.shape, family.base)
+    found = flags(docs, family.runs(), branching(family.leaves()), family.shape, family.base, family.tables())
 
     def judge(text: bytes, at: np.ndarray, tag: int) -> list:
         n = len(text)

@@ -94,10 +94,10 @@ class Sequences:
         return cls(one, mix64(one + np.uint64(0xA0761D6478BD642F)), np.searchsorted(starts, bounds).astype(np.int64))
 
     def anchors(self, width: int, gram: int) -> tuple[np.ndarray, ...]:
-        """(text, first window start within it, windows, anchor hash, span hash) of each run of windows with one anchor."""
+        """(text, first window start within it, windows, anchor's distance from it, anchor hash, span hash) of each run of windows with one anchor."""
         none = np.zeros(0, dtype=np.int64)
         if self.n < width:
-            return none, none, none, none.view(np.uint64), none.view(np.uint64)
+            return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
         grams = mix64(self.first.grams(gram))
         order = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
         at = (sliding_min(order, width - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -118,8 +118,24 @@ class Sequences:
         text = np.searchsorted(self.offsets, lo, side="right") - 1
         spot = at[lo]
         span = mix64(self.second.of(lo, lo + count - 1 + width) + (count.astype(np.uint64) << np.uint64(32)) + (spot - lo).astype(np.uint64))
-        return text, lo - self.offsets[text], count, grams[spot], span
-
-    def window_hashes(self, starts: np.ndarray, width: int) -> np.ndarray:
-        """Hashes of the windows at absolute ``starts``."""
-        return mix64(self.second.of(starts, starts + width))
+        return text, lo - self.offsets[text], count, spot - lo, grams[spot], span
+
+    def blocks(self, start: np.ndarray, count: np.ndarray, ahead: np.ndarray, node: np.ndarray, width: int, size: int) -> tuple[np.ndarray, ...]:
+        """Runs (absolute starts) cut into blocks of ``size`` neighbouring windows, aligned to the anchor.
+
+        (run, start, windows, node, leaf): the node names the symbols that all windows of the whole block would
+        share, the leaf all symbols that the block's windows in this run cover.
+        """
+        run = np.repeat(np.arange(len(start)), count)
+        s = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        left = (start + ahead)[run] - s
+        block = left // size
+        new = np.ones(len(s), dtype=bool)
+        new[1:] = (run[1:] != run[:-1]) | (block[1:] != block[:-1])
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(s)))
+        lo, run, block, left = s[first], run[first], block[first], left[first]
+        core = (start + ahead)[run] - block * size
+        name = mix64(self.second.of(core, core - size + 1 + width) + node.view(np.uint64)[run] + block.astype(np.uint64))
+        leaf = mix64(self.second.of(lo, lo + n - 1 + width) + (n.astype(np.uint64) << np.uint64(32)) + left.astype(np.uint64))
+        return run, lo, n, name, leaf

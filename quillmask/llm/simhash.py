@@ -135,7 +135,7 @@ def shard_stars(fps: np.ndarray, query: np.ndarray, radius: int) -> tuple[np.nda
     home = np.flatnonzero(~query)
     home_d, home_fps = d[home], fps[home]
     labels = np.arange(len(fps))
-    step = max(1, (1 << 22) // max(1, len(home)))
+    step = max(1, (1 << 20) // max(1, len(home)))
     for at in range(0, len(fps), step):
         end = min(at + step, len(fps))
         lo, hi = np.searchsorted(home_d, d[at] - radius, "left"), np.searchsorted(home_d, d[end - 1] + radius, "right")

@@ -10,8 +10,8 @@ from __future__ import annotations
 import re
 from array import array
 
-#: Entries a worker's table may have; it is then begun anew, which costs time only.
-TABLE = 600_000
+#: Entries a worker's tables of chunks and of their pieces may have; a full one is begun anew, which costs time only.
+TABLE, PIECES = 300_000, 150_000
 _UNSURE = re.compile(r"[\x1c-\x1f]|<\|")
 
 
@@ -48,7 +48,7 @@ class ChunkTable(dict):
             if ids is None:
                 mapped = "".join(map(self.letters.__getitem__, piece.encode()))
                 ids = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-                if len(self.by_piece) >= TABLE:
+                if len(self.by_piece) >= PIECES:
                     self.by_piece.clear()
                 self.by_piece[piece] = ids
             out.append(ids)

@@ -157,9 +157,13 @@ def flags(docs: DataFrame, run_rows: DataFrame, branch: DataFrame, shape: Shape,
     found: DataFrame | None = None
     for k, size in enumerate((*STEPS[shape.unit], 0)):
         named = branch.select("node", "leaf", "n", "n_leaves", F.col("head.doc").alias("head_doc"), F.col("head.at").alias("head_at"))
+        named = written(named, base, f"branch-{k}")
+        release(spark)
+        for name in (n for n in spent if not n.startswith(("runs", "opened"))):  # leaves are settled, runs are still to meet them
+            dropped(spark, f"{base}/{name}")
         met = written(run_rows.join(named, ["node", "leaf"]), base, f"met-{k}")
         release(spark)
-        for name in spent:
+        for name in (*(n for n in spent if n.startswith(("runs", "opened"))), f"branch-{k}"):
             dropped(spark, f"{base}/{name}")
         if shape.rule == "first":
             whole, holder = F.col("doc") > F.col("head_doc"), F.col("doc") == F.col("head_doc")

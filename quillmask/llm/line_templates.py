@@ -148,3 +148,22 @@ def template_report(docs: DataFrame, **how) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256."""
     thin = docs.select(docs["doc_id"], docs["text"])
     return without_templates(thin, **how).select("doc_id", F.col("t_lines").alias("n_lines"), F.col("t_dropped").alias("n_dropped"), F.col("t_sha256").alias("kept_sha256"))
+
+
+SQL = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, -9223372036854775808) AS k, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS parts FROM documents),
+cut AS MATERIALIZED (SELECT rid, k, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS line FROM d),
+lines AS MATERIALIZED (SELECT rid, k, i, tokens, array_to_string(tokens, ' ') AS content, len(tokens) || ' ' || array_to_string(tokens[1:{DEPTH}], ' ') AS leaf
+  FROM (SELECT rid, k, i, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens FROM cut) WHERE len(tokens) >= {MIN_TOKENS}),
+contents AS MATERIALIZED (SELECT leaf, content, any_value(tokens) AS tokens, count(DISTINCT rid) AS n_docs FROM lines GROUP BY leaf, content),
+leaves AS (SELECT leaf FROM contents GROUP BY leaf HAVING sum(n_docs) >= {MIN_DOCS} AND count(*) > 1),
+spots AS MATERIALIZED (SELECT leaf, content, n_docs, len(tokens) AS n, unnest(range(1, len(tokens) + 1)) AS pos, unnest(tokens) AS token FROM contents JOIN leaves USING (leaf)),
+constants AS (SELECT leaf, pos, token FROM spots GROUP BY leaf, pos, token HAVING sum(n_docs) >= {MIN_DOCS}),
+general AS MATERIALIZED (SELECT leaf, content, 'general ' || leaf || chr(10) || string_agg(pos || ' ' || token, chr(10) ORDER BY pos) AS template FROM spots JOIN constants USING (leaf, pos, token) GROUP BY leaf, content HAVING count(*) >= {CONSTANT}::DOUBLE * any_value(n)),
+templates AS (FROM general UNION ALL SELECT leaf, content, 'exact ' || content FROM contents ANTI JOIN general USING (leaf, content) WHERE n_docs >= {MIN_DOCS}),
+named AS MATERIALIZED (SELECT rid, k, i, template FROM lines JOIN templates USING (leaf, content)),
+recurring AS (SELECT template, min(k) AS first_k FROM named GROUP BY template HAVING count(DISTINCT k) >= {MIN_DOCS}),
+gone AS (SELECT rid, i, 1 AS hit FROM named JOIN recurring USING (template) WHERE k > first_k),
+kept AS (SELECT rid, count(hit) AS n_dropped, string_agg(line, chr(10) ORDER BY i) FILTER (hit IS NULL) AS kept_text FROM cut LEFT JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, len(parts)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, sha256(coalesce(kept_text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+"""

@@ -59,4 +59,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_retrieval_packing, op2_substring_dedup, op3_ogg_media, op4_suffix_index, op5_simhash, op6_toxicity, op7_mixing, op8_line_templates, op9_warc, op10_quality)}
 
-ORACLE_SQL: dict[str, str] = {"op7_mixing": mixing.SQL, "op9_warc": warc.SQL, "op10_quality": quality.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_substring_dedup": substring_dedup.SQL, "op4_suffix_index": suffix_index.SQL, "op7_mixing": mixing.SQL, "op8_line_templates": line_templates.SQL, "op9_warc": warc.SQL, "op10_quality": quality.SQL}

@@ -50,3 +50,16 @@ def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 10, with_text:
     fields = [("doc", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * with_text
     out = judged(docs, found, judge, "doc long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text, pa.schema(fields))
     return out.select(real_id().alias("doc_id"), *[n for n, _ in fields[1:]])
+
+
+#: Windows are compared by 128 bits of MD5.
+SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, -9223372036854775808) AS k, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS MATERIALIZED (SELECT rid, k, i, md5_number(array_to_string(w[i:i + 49], ' ')) AS g FROM (SELECT rid, k, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+firsts AS (SELECT g, min(k) AS first_k FROM windows GROUP BY g),
+hits AS (SELECT rid, i, 1 AS hit FROM windows JOIN firsts USING (g) WHERE first_k < k),
+words AS (SELECT rid, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+marked AS (SELECT rid, i, word, coalesce(max(hit) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone FROM words LEFT JOIN hits USING (rid, i)),
+kept AS (SELECT rid, sum(gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept_text FROM marked GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept_text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+"""

@@ -108,3 +108,16 @@ def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 64, batches: i
     fields = [("doc", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * with_text
     out = judged(docs, found, judge, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text, pa.schema(fields))
     return out.select(real_id().alias("doc_id"), *[n for n, _ in fields[1:]])
+
+
+#: Bytes are pairs of hexadecimal digits; windows are compared by 128 bits of MD5.
+SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS MATERIALIZED (SELECT rid, i, md5_number(substr(h, 2 * i - 1, 400)) AS g FROM (SELECT rid, h, unnest(range(1, length(h) // 2 - 198)) AS i FROM d)),
+hits AS (SELECT rid, i, 1 AS hit FROM windows SEMI JOIN (SELECT g FROM windows GROUP BY g HAVING count(*) > 1) USING (g)),
+bytes AS (SELECT rid, i, substr(h, 2 * i - 1, 2) AS b FROM (SELECT rid, h, unnest(range(1, length(h) // 2 + 1)) AS i FROM d)),
+marked AS (SELECT rid, i, b, coalesce(max(hit) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW), 0) AS gone FROM bytes LEFT JOIN hits USING (rid, i)),
+edged AS (SELECT *, gone - lag(gone, 1, 0) OVER (PARTITION BY rid ORDER BY i) AS turn FROM marked),
+kept AS (SELECT rid, sum(gone) AS n_removed, count(*) FILTER (turn = 1) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (gone = 0) AS kept_hex FROM edged GROUP BY rid)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept_hex, ''))) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+"""

@@ -10,7 +10,8 @@ from __future__ import annotations
 import re
 from array import array
 
-#: Entries a worker's tables of chunks and of their pieces may have; a full one is begun anew, which costs time only.
+#: Entries a worker's tables of chunks and of their pieces may have. Each has two halves: a full younger half becomes
+#: the older one, from which chunks in use come back, so that frequent ones stay. What is forgotten costs time only.
 TABLE, PIECES = 300_000, 150_000
 _UNSURE = re.compile(r"[\x1c-\x1f]|<\|")
 
@@ -26,7 +27,9 @@ class ChunkTable(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.older: dict[str, bytes] = {}
         self.by_piece: dict[str, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
         # byte-level alphabet: printable bytes stand for themselves, others follow from 256 on
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
@@ -40,23 +43,30 @@ class ChunkTable(dict):
         return array("I", ids).tobytes()
 
     def _split(self, chunk: str) -> bytes:
-        if not (chunk.isascii() or all(c < "İ" for c in chunk)):  # below U+0130 lower-casing is by character, and text is composed already
+        if not (chunk.isascii() or max(chunk) < "İ"):  # below U+0130 lower-casing is by character, and text is composed already
             return self._whole(chunk)
         out = []
-        for piece in self.pieces.findall(chunk.lower()):
+        low = chunk.lower()
+        for piece in (low,) if low.isalpha() else self.pieces.findall(low):
             ids = self.by_piece.get(piece)
             if ids is None:
-                mapped = "".join(map(self.letters.__getitem__, piece.encode()))
-                ids = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
-                if len(self.by_piece) >= PIECES:
-                    self.by_piece.clear()
+                ids = self.older_pieces.get(piece)
+                if ids is None:
+                    plain = piece.isascii() and piece.isprintable()
+                    mapped = piece if plain else "".join(map(self.letters.__getitem__, piece.encode()))
+                    ids = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+                if len(self.by_piece) >= PIECES // 2:
+                    self.older_pieces, self.by_piece = self.by_piece, {}
                 self.by_piece[piece] = ids
             out.append(ids)
         return b"".join(out)
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self._split(chunk)
-        if len(self) >= TABLE:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self._split(chunk)
+        if len(self) >= TABLE // 2:
+            self.older = dict(self)
             self.clear()
         self[chunk] = ids
         return ids

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmask.llm.common import NULL_ID, real_id, text_chunks
-from quillmask.llm.tokens import table
+from quillmask.llm.tokens import GROUP, encoder
 
 #: Tokens of a shard, lexical groups, and the number of a seed's rarest ids that make its query.
 SHARD_TOKENS, GROUPS, QUERY_IDS = 1 << 21, 8, 12
@@ -34,11 +34,11 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, n_shards: int) -> Da
     salts = max(1, n_shards // GROUPS)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, end = table(tokenizer), np.array([end_id], dtype="<u4")
-        for keys, texts in text_chunks(batches):
+        words, end = encoder(tokenizer), np.array([end_id], dtype="<u4")
+        for keys, texts in text_chunks(batches, GROUP):
             out = []
-            for (doc, salt), text in zip(keys, texts, strict=True):
-                ids = np.concatenate((np.frombuffer(lookup.encode(text.decode()), dtype="<u4"), end))
+            for (doc, salt), ids in zip(keys, words.encode(texts), strict=True):
+                ids = np.concatenate((ids, end))
                 group = int((ids * np.uint32(2654435761)).min()) % GROUPS if salts > 1 else 0
                 wide = bool(ids.max() > 0xFFFF)
                 out.append((group * salts + salt % salts, doc, wide, ids.astype("<u4" if wide else "<u2").tobytes()))

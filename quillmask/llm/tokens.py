@@ -116,7 +116,7 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each UTF-8 text."""
-        if not self.exact:
+        if not (self.exact and texts):
             return [self._whole(t.decode()) for t in texts]
         column = pa.array(texts, pa.large_binary()).cast(pa.large_string())
         unsure = pc.match_substring_regex(column, _UNSURE)

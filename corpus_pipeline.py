@@ -39,7 +39,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("quality", quality_stage), ("lines", line_stage), ("near_duplicates", near_duplicate_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
 
-#: Fingerprints, line templates and tokenisation are beyond SQL; the stages are tested against brute force instead.
+#: Fingerprints, line templates and tokenisation are beyond SQL.
 ORACLE_SQL = None
 
 

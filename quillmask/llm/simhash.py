@@ -148,7 +148,7 @@ def shard_stars(fps: np.ndarray, query: np.ndarray, radius: int) -> tuple[np.nda
 
 
 def groups(fps: DataFrame, base: str, radius: int = 2) -> DataFrame:
-    """fp, component (the least doc of all fingerprints reachable). ``fps``: doc, fp; read more than once."""
+    """fp, root (a fingerprint that names the group), component (its least doc). ``fps``: doc, fp; read more than once."""
     spark = fps.sparkSession
     nodes = written(fps.groupBy("fp").agg(F.min("doc").alias("rep")), base, "nodes")
     n = nodes.count()
@@ -170,7 +170,7 @@ def groups(fps: DataFrame, base: str, radius: int = 2) -> DataFrame:
     roots = components(links, base).withColumnRenamed("u", "fp")
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component"))
-    return rooted.join(least, "root").select("fp", "component")
+    return rooted.join(least, "root").select("fp", "root", "component")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -181,11 +181,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return out.select(real_id().alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), real_id("component").alias("component_id"))
 
 
+def marked(docs: DataFrame) -> DataFrame:
+    """doc, tag (a hash of the text), text."""
+    return keyed(docs, "text").toDF("doc", "tag", "text").withColumn("tag", F.xxhash64("tag"))
+
+
+def representatives(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """One row of ``docs`` per component of ``placed`` (doc, tag, component): ties go by doc, tag, then a hash of the row."""
+    kept = placed.groupBy("component").agg(F.min(F.struct("doc", "tag")).alias("kept")).select(F.col("kept.doc").alias("kept_doc"), F.col("kept.tag").alias("kept_tag"))
+    cols = [docs[c] for c in docs.columns]
+    row = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("kept_doc"), F.xxhash64(docs["text"]).alias("kept_tag"), F.struct(*cols).alias("row"), F.xxhash64(*cols).alias("tie"))
+    one = row.join(kept, ["kept_doc", "kept_tag"], "left_semi").groupBy("kept_doc", "kept_tag").agg(F.min_by("row", "tie").alias("row"))
+    return one.select("row.*")
+
+
 def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The documents of ``docs`` that are the least of their group; a row that repeats a kept doc_id goes too."""
+    """One row of ``docs`` for each group: the least doc_id, then the least hash of its text."""
     base = shared_dir(docs.sparkSession)
-    fps = written(fingerprints(docs, shingle), base, "fingerprints")
-    kept = groups(fps, base, radius).select(F.col("component").alias("kept_doc")).distinct()
-    keyed_docs = docs.withColumn("kept_key", F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)))
-    out = keyed_docs.join(kept, F.col("kept_key") == F.col("kept_doc"), "left_semi").dropDuplicates(["kept_key"])
-    return out.select(*docs.columns)
+
+    def rows(batches):
+        for keys, texts in text_chunks(batches):
+            fps = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
+            yield pa.record_batch([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(fps)], names=["doc", "tag", "fp"])
+
+    fps = written(marked(docs).mapInArrow(rows, "doc long, tag long, fp long"), base, "fingerprints")
+    placed = fps.join(groups(fps.select("doc", "fp"), base, radius).select("fp", "root"), "fp")
+    return representatives(docs, placed.select("doc", "tag", F.col("root").alias("component")))

@@ -293,3 +293,12 @@ def test_pipeline(spark, data):
     assert counts[0] > counts[1] == counts[2] >= counts[3]
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, data)
     assert corpus_pipeline.run(spark, data).count() == pieces.count()
+
+
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(None, a, "x"), (None, b, "x"), (None, b, "y"), (7, b, "x"), (8, "c d e f", "x"), (8, "g h i j", "x"), (8, "g h i j", "x")]
+    for cut in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(cut)
+        got = sorted((key(r.doc_id), r.text) for r in simhash.one_of_each(df).collect())
+        assert got == sorted((key(i), t) for i, t in [(None, a), (None, b), (8, "c d e f"), (8, "g h i j")])

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmask.llm import line_templates, mixing, packing, quality, simhash
+from quillmask.llm import line_templates, mixing, near_copies, packing, quality
 from quillmask.llm.common import shared_dir, written
 from quillmask.llm.queries import tokenizer_path
 
@@ -23,8 +23,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8 or more) stays."""
+    return near_copies.one_of_each(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

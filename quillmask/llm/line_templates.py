@@ -30,7 +30,6 @@ DEPTH, MIN_TOKENS, MIN_DOCS, CONSTANT = 3, 5, 3, 0.6
 _DIGIT = re.compile(rb"\d")
 
 
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -44,9 +43,9 @@ def path_of(tokens: list[bytes], depth: int) -> int:
     return _signed(xxhash.xxh64_intdigest(b"%d " % len(tokens) + b" ".join(tokens[:depth])))
 
 
-def lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """doc, tag, line, leaf, content, fresh (1 for the first such content in its text)."""
-    names = ["doc", "tag", "line", "leaf", "content", "fresh"]
+def lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, with_raw: bool = False) -> DataFrame:
+    """doc, tag, line, leaf, content, fresh (1 for the first such content in its text) and, if asked for, raw (the tokens as they stand)."""
+    names = ["doc", "tag", "line", "leaf", "content", "fresh", *["raw"] * with_raw]
 
     def rows(batches):
         for keys, texts in text_chunks(batches):
@@ -57,7 +56,8 @@ def lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) ->
                     tokens = masked(line)
                     if len(tokens) >= min_tokens:
                         content = xxhash.xxh64_intdigest(b" ".join(tokens), seed=1)
-                        out.append((doc, tag, i, path_of(tokens, depth), _signed(content), int(content not in seen)))
+                        raw = [_signed(xxhash.xxh64_intdigest(b" ".join(line.split()), seed=2))] * with_raw
+                        out.append((doc, tag, i, path_of(tokens, depth), _signed(content), int(content not in seen), *raw))
                         seen.add(content)
             if out:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
@@ -106,9 +106,59 @@ def dropped_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOK
     return named.join(recurring, "template").where("doc > first_doc").select("doc", "tag", "line")
 
 
-def without_templates(docs: DataFrame, **how) -> DataFrame:
+def _candidates(tokens: DataFrame, depth: int, constant: float) -> DataFrame:
+    """leaf, content, template, fixed: the templates that a line may have, from its most shared tokens alone to all its constants.
+
+    ``tokens``: leaf, content, n, spots (support, pos, token)."""
+
+    def rows(batches):
+        for batch in batches:
+            out = []
+            for leaf, content, n, spots in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                spots = sorted(((s["support"], s["pos"], s["token"]) for s in spots), reverse=True)
+                body = 0
+                for k, (support, pos, token) in enumerate(spots, 1):
+                    body ^= xxhash.xxh64_intdigest(b"%d %d" % (pos, token))
+                    if (k == len(spots) or spots[k][0] != support) and k >= constant * n:
+                        out.append((leaf, content, _signed(xxhash.xxh64_intdigest(b"%d %d %d" % (leaf, k, body))), k))
+            if out:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["leaf", "content", "template", "fixed"])
+
+    return tokens.mapInArrow(rows, "leaf long, content long, template long, fixed long")
+
+
+def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
+    """doc, tag, line of every line to drop by the pipeline's rule, which catches a template at any size of its leaf.
+
+    As a leaf grows, values of a variable field come to be in ``min_docs`` documents. So a line has several templates,
+    each with the next most shared constants added, and the most general one that recurs counts. All lines that could
+    have a template have the same more general ones, so its first document keeps one. A line without any goes if it
+    recurs as it stands."""
+    base = shared_dir(docs.sparkSession)
+    all_lines = written(lines(docs, depth, min_tokens, with_raw=True), base, "lines")
+    distinct = written(all_lines.groupBy("leaf", "content").agg(F.sum("fresh").alias("n_docs"), F.min(F.struct("doc", "tag", "line")).alias("head")), base, "distinct")
+    leaves = distinct.groupBy("leaf").agg(F.sum("n_docs").alias("leaf_docs"), F.count(F.lit(1)).alias("leaf_lines")).where(F.col("leaf_docs") >= min_docs)
+    opened = distinct.join(leaves, "leaf")
+    listed = opened.groupBy("head.doc").agg(F.collect_list(F.struct("head.tag", "head.line", "leaf", "content")).alias("spots"))
+    token_lines = written(_token_rows(listed, docs).join(opened.select("leaf", "content", "n_docs"), ["leaf", "content"]), base, "tokens")
+    tokens = token_lines.select("leaf", "content", "n_docs", F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "token"))
+    constants = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n_docs").alias("support")).where(F.col("support") >= min_docs)
+    spots = tokens.join(constants, ["leaf", "pos", "token"]).groupBy("leaf", "content").agg(F.first("n").cast("long").alias("n"), F.collect_list(F.struct("support", "pos", "token")).alias("spots"))
+    candidates = written(_candidates(spots, depth, constant), base, "candidates")
+
+    def recurring(named: DataFrame, name: str) -> DataFrame:
+        return named.distinct().groupBy(name).agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc").alias(f"{name}_first")).where(F.col("n_docs") >= min_docs).drop("n_docs")
+
+    templates = recurring(all_lines.join(candidates, ["leaf", "content"]).select("template", "doc"), "template")
+    best = written(candidates.join(templates, "template").groupBy("leaf", "content").agg(F.min_by("template_first", "fixed").alias("template_first")), base, "best")
+    raws = written(recurring(all_lines.select("raw", "doc"), "raw"), base, "raws")
+    placed = all_lines.join(best, ["leaf", "content"], "left").join(raws, "raw", "left")
+    return placed.where(F.col("doc") > F.coalesce("template_first", "raw_first")).select("doc", "tag", "line")
+
+
+def without_templates(docs: DataFrame, find=None, **how) -> DataFrame:
     """The columns of ``docs`` with recurring lines gone from text (n_chars, if there, follows), and t_lines, t_dropped, t_sha256."""
-    gone = dropped_lines(docs, **how).groupBy("doc").agg(F.collect_list(F.struct("tag", "line")).alias("gone"))
+    gone = (find or dropped_lines)(docs, **how).groupBy("doc").agg(F.collect_list(F.struct("tag", "line")).alias("gone"))
     rest = [c for c in docs.columns if c != "text"]
     full = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(docs["text"]).bitwiseAND(F.lit(0xFFFFF).cast("long")).alias("tag"), docs["text"].isNull().alias("missing"), F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(rest)]).alias("rest"), docs["text"].alias("text"))
 

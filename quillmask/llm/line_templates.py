@@ -59,6 +59,11 @@ def lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, wit
                         raw = [_signed(xxhash.xxh64_intdigest(b" ".join(line.split()), seed=2))] * with_raw
                         out.append((doc, tag, i, path_of(tokens, depth), _signed(content), int(content not in seen), *raw))
                         seen.add(content)
+                    elif with_raw and tokens:
+                        # short lines go by exact repeats alone: each is a leaf of its own
+                        raw = _signed(xxhash.xxh64_intdigest(b" ".join(line.split()), seed=2))
+                        out.append((doc, tag, i, raw, raw, int(raw not in seen), raw))
+                        seen.add(raw)
             if out:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
@@ -138,7 +143,7 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_T
     all_lines = written(lines(docs, depth, min_tokens, with_raw=True), base, "lines")
     distinct = written(all_lines.groupBy("leaf", "content").agg(F.sum("fresh").alias("n_docs"), F.min(F.struct("doc", "tag", "line")).alias("head")), base, "distinct")
     leaves = distinct.groupBy("leaf").agg(F.sum("n_docs").alias("leaf_docs"), F.count(F.lit(1)).alias("leaf_lines")).where(F.col("leaf_docs") >= min_docs)
-    opened = distinct.join(leaves, "leaf")
+    opened = distinct.where("leaf <> content").join(leaves, "leaf")
     listed = opened.groupBy("head.doc").agg(F.collect_list(F.struct("head.tag", "head.line", "leaf", "content")).alias("spots"))
     token_lines = written(_token_rows(listed, docs).join(opened.select("leaf", "content", "n_docs"), ["leaf", "content"]), base, "tokens")
     tokens = token_lines.select("leaf", "content", "n_docs", F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "token"))

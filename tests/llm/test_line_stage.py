@@ -18,3 +18,8 @@ def test_variable_fields_in_large_leaves(spark, n):
     name = lambda k: "".join(chr(97 + int(c)) for c in f"{r.randrange(100):02d}") + k
     got = stage(spark, [f"Posted by user {name('n')} in the topic {name('t')} today" for _ in range(n)])
     assert sum(not t for t in got.values()) == n - 1
+
+
+def test_short_lines_go_by_exact_repeats(spark):
+    got = stage(spark, ["All rights reserved.\nfirst own"] + [f"All  rights reserved.\n\nown {w}\nsize {i}" for i, w in enumerate(["a", "b", "c"])])
+    assert [got[i] for i in range(4)] == ["All rights reserved.\nfirst own", "\nown a\nsize 0", "\nown b\nsize 1", "\nown c\nsize 2"]

@@ -34,6 +34,9 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+_VARIABLE = _signed(xxhash.xxh64_intdigest(b"<*>"))
+
+
 def masked(line: bytes) -> list[bytes]:
     tokens = line.split()
     return [b"<*>" if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
@@ -121,10 +124,13 @@ def _candidates(tokens: DataFrame, depth: int, constant: float) -> DataFrame:
             out = []
             for leaf, content, n, spots in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 spots = sorted(((s["support"], s["pos"], s["token"]) for s in spots), reverse=True)
-                body = 0
+                body = words = beyond = 0
                 for k, (support, pos, token) in enumerate(spots, 1):
                     body ^= xxhash.xxh64_intdigest(b"%d %d" % (pos, token))
-                    if (k == len(spots) or spots[k][0] != support) and k >= constant * n:
+                    if token != _VARIABLE:
+                        words += 1
+                        beyond += pos >= depth
+                    if (k == len(spots) or spots[k][0] != support) and k >= constant * n and 2 * words >= n and 2 * beyond >= max(1, n - depth):
                         out.append((leaf, content, _signed(xxhash.xxh64_intdigest(b"%d %d %d" % (leaf, k, body))), k))
             if out:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["leaf", "content", "template", "fixed"])

@@ -28,7 +28,7 @@ from quillmask.llm.common import keyed, real_id, text_chunks
 SAMPLE = 6000
 #: Evidence must be seen in this share of the toxic sample, and in that many documents.
 LEAST_SHARE, LEAST_DOCS = 0.01, 3
-#: Words longer than this are none; tokens of more characters aren't restored.
+#: Words longer than this are none; longer tokens are split, runs collapsed, and the rest restored in windows of this size.
 LONGEST = 32
 BEAM, BEST = 24, 3
 
@@ -45,6 +45,8 @@ _CODE[128:] = _OTHER
 _SPACED = re.compile(rb"(?:(?<=\s)|^)(?:[!-~]\s){3,}[!-~](?=\s|$)")
 _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _TRIPLE = re.compile(r"(.)\1\1", re.S)
+_SEPARATORS = re.compile(r"[.\-_~'`/^:,*]+")
+_RUN = re.compile(r"(.)\1*", re.S)
 _DISGUISED = re.compile(r"[^\W\d_].*[\d@$!|+*€<(]|[\d@$!|+*€<(].*[^\W\d_]|([^\W\d_])\1\1|[^\W\d_][.\-_~'`/^:,*]+[^\W\d_]", re.S)
 
 
@@ -79,10 +81,16 @@ def _letter(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else _OTHER
 
 
-def restorations(token: str, lm: np.ndarray) -> list[str]:
-    """The best readings of a disguised token, cheapest first."""
+def collapsed(token: str) -> tuple[str, list[int]]:
+    """The token with runs cut to two characters, and the length of the run that each came from."""
+    found = [m.group() for m in _RUN.finditer(token)]
+    return "".join(g[:2] for g in found), [len(g) for g in found for _ in g[:2]]
+
+
+def restorations(token: str, lm: np.ndarray, runs: list[int] | None = None) -> list[str]:
+    """The best readings of a disguised token, cheapest first; ``runs`` are the lengths of its characters' runs."""
     token = token.lower()
-    runs = [len(m.group()) for m in re.finditer(r"(.)\1*", token, re.S) for _ in m.group()]
+    runs = runs or [len(m.group()) for m in re.finditer(r"(.)\1*", token, re.S) for _ in m.group()]
     beam: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
     for c, run in zip(token, runs, strict=True):
         new: dict[tuple[int, int], list[tuple[float, str]]] = defaultdict(list)
@@ -123,7 +131,7 @@ class Scorer:
         core = token.strip(_EDGES)
         whole = token.decode("utf-8", "replace")
         if len(whole) > LONGEST:
-            return [core.decode("utf-8", "replace").lower()[:LONGEST]] if len(core) <= LONGEST else []
+            return self.pieces(core, whole)
         word = core.decode("utf-8", "replace")
         plain = word.isalpha() and not _TRIPLE.search(word.lower())
         signed = bool(word) and whole[0] in "@$!|+€"
@@ -135,8 +143,42 @@ class Scorer:
                 seen += restorations(form, self.lm)
         return seen
 
-    def evidence(self, token: bytes) -> float:
+    def pieces(self, core: bytes, whole: str) -> list[str]:
+        """What a token of more than ``LONGEST`` characters may say: its parts, joined single letters, its short form."""
+        if len(core.decode("utf-8", "replace")) <= LONGEST:
+            return self.readings(core)
+        out, letters = [], ""
+        parts = _SEPARATORS.split(whole)
+        for part in [*parts, "  "] if len(parts) > 1 else ():
+            if len(part) == 1:
+                letters += part
+                continue
+            if len(letters) > 1:
+                out += self.readings(letters.encode())
+            letters = ""
+            if part.strip():
+                out += self.readings(part.encode())
+        short, runs = collapsed(_SEPARATORS.sub("", whole).lower())
+        if short and len(short) <= LONGEST:
+            out += restorations(short, self.lm, runs)
+        elif short and (brief := re.sub(r"(.)\1+", r"\1", short, flags=re.S)) and len(brief) <= LONGEST:
+            out += restorations(brief, self.lm)
+        return list(dict.fromkeys(out))
+
+    def inside(self, whole: str) -> float:
+        """The best evidence of words within a long token, in overlapping windows of its short form."""
         best = 0.0
+        short, runs = collapsed(_SEPARATORS.sub("", whole).lower())
+        for at in range(0, len(short), LONGEST // 2):
+            part, mine = short[at : at + LONGEST], runs[at : at + LONGEST]
+            for said in [part] if part.isalpha() and max(mine) < 3 else restorations(part, self.lm, mine):
+                for i in range(len(said) - 3):
+                    best = max(best, self.weights.get(f"{said[i : i + 6]}~", 0.0), *(self.weights.get(said[i:j], 0.0) for j in range(i + 4, len(said) + 1)))
+        return best
+
+    def evidence(self, token: bytes) -> float:
+        whole = token.decode("utf-8", "replace")
+        best = self.inside(whole) if len(whole) > LONGEST else 0.0
         for word in self.readings(token):
             for f in features(word):
                 best = max(best, self.weights.get(f, 0.0))

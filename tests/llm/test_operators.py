@@ -302,3 +302,13 @@ def test_one_of_each_with_null_and_repeated_ids(spark):
         df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(cut)
         got = sorted((key(r.doc_id), r.text) for r in simhash.one_of_each(df).collect())
         assert got == sorted((key(i), t) for i, t in [(None, a), (None, b), (8, "c d e f"), (8, "g h i j")])
+
+
+def test_toxicity_restores_long_tokens():
+    lm = toxicity.language_model({})
+    words = ["idiot", "moron", "degenerates"]
+    scorer = toxicity.Scorer(lm).fit([(f"you {w} there".encode(), 1) for w in words * 8] + [(f"kind words number {i}".encode(), 0) for i in range(80)])
+    for t in ["".join(c * 3 for c in "degenerates"), "i" + "d" * 20 + "i" * 9 + "o" * 9 + "t", "....".join("degenerates"), "you-are-all-such-an-idiot-and-nothing-else", "nobodywouldeverlistentoanidiotlikehim", "kindwordsnumberonekindwords" + "m0r0n" + "kindwordsnumber"]:
+        assert len(t) > 32 and scorer.score(t.encode()) > 0.5, t
+    for t in ["x" * 40, "-" * 50, "kind-words-number-one-and-number-two-and-three", "https://example.org/articles/2001/kind-words", "0123456789" * 5]:
+        assert scorer.score(t.encode()) < 0.5, t

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -18,20 +17,17 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """A new folder below the one that driver and executors share, deleted when the driver ends.
+
+    That is ``spark.checkpoint.dir``, or else a checkpoint folder that was set by hand, or else the warehouse: never a
+    machine's own temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = _own_dir(spark)
-    return f"{base.rstrip('/')}/quillmask-{uuid.uuid4().hex}"
-
-
-def _own_dir(spark: SparkSession) -> str:
-    jsc = spark.sparkContext._jsc.sc()
-    current = jsc.getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    made = "file://" + tempfile.mkdtemp(prefix="quillmask-")
-    spark.sparkContext.setCheckpointDir(made)
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = given.get() if given.isDefined() else spark.conf.get("spark.sql.warehouse.dir")
+    made = f"{base.rstrip('/')}/quillmask-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(made)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return made
 
 
@@ -49,19 +45,6 @@ def dropped(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished steps now rather than at the next collection."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def only(docs: DataFrame, *cols: str) -> DataFrame:
-    """The named columns alone; further columns, whatever their names, are left out."""
-    return docs.select(*[docs[c] for c in cols])
-
-
 def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[tuple[list[list], list[bytes]]]:
     """(rows of the other columns, UTF-8 texts) in groups of about ``limit`` bytes. ``text`` is the last column; null is empty."""
     rows: list[list] = []
@@ -87,6 +70,11 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("doc"), *[docs[c] for c in more], docs["text"].alias("text"))
 
 
+def tagged(docs: DataFrame) -> DataFrame:
+    """doc, tag (a hash of the text), text: doc and tag together name a row, and rows that share both are alike."""
+    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(docs["text"]).alias("tag"), docs["text"].alias("text"))
+
+
 def real_id(col: str = "doc"):
     return F.when(F.col(col) != NULL_ID, F.col(col))
 
@@ -99,7 +87,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xC4CEB9FE1A85EC53)
     x ^= x >> np.uint64(33)
     return x
-
-
-def empty_arrow(fields: list[tuple[str, pa.DataType]]) -> pa.Schema:
-    return pa.schema([pa.field(n, t) for n, t in fields])

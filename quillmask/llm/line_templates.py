@@ -1,15 +1,21 @@
 """Line dedup with a log-template tree of fixed depth.
 
-A line's tokens that hold digits are variable (``<*>``). Level one of the tree is the token count, the next
-``DEPTH`` levels are leading tokens: that path is a leaf group. In a group, a (position, token) that enough documents
-share is constant and every other token is generalised to ``<*>``; a line whose tokens are mostly constant has the
-template of those constants. A template that at least ``MIN_DOCS`` documents hold is recurring: its lines are dropped
-from all documents but the first (smallest doc_id), which keeps one instance of the content in the corpus.
-
-Lines first collapse to one row per distinct masked line, so a line in a third of all documents is one row with a
-count; only groups that hold several distinct lines are opened to tokens. Lines of fewer than ``MIN_TOKENS`` tokens
-are kept. A null text stays null and has no lines; a null doc_id sorts first; a template that recurs inside one
-document alone is kept; rows with the same doc_id are one document in counts, but each keeps its own lines.
+A line's tokens that hold digits are variable (``<*>``). Level one of the tree is the token count, the next ``DEPTH``
+levels are leading tokens: that path is a leaf. In a leaf a (position, token) that ``MIN_DOCS`` documents share may be
+constant. As a leaf grows the values of a variable field come to be that frequent too, so a line has several possible
+templates: its most shared tokens alone, then each with the next most shared added, the rest generalised. A template
+must fix ``CONSTANT`` of the positions, half of them by words, and half of those beyond the leading tokens, so that
+numbers and a common beginning alone are no evidence. The most general template that at least ``MIN_DOCS`` documents
+hold is the line's, and the line is dropped from all documents but the template's first. A line without such a template,
+and each of fewer than ``MIN_TOKENS`` tokens, is dropped in the same way if it recurs as it stands.
+
+Lines first collapse to one row per distinct masked line with its count, first and last document, map-side, so a line
+in a third of all documents is one row. The documents of a template number ``MIN_DOCS`` (2 or 3) or more if one of its
+lines has that many, or if its lines' first and last documents are that many.
+
+A document is a row; the order is by doc_id (null first), then a hash of the text. Rows alike in both count one by one
+and are cut alike. An empty table gives an empty one. A null text stays null and has no lines. A template that recurs
+inside one document alone is kept. Other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +29,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmask.llm.common import NULL_ID, shared_dir, text_chunks, written
-from quillmask.llm.repeats import tagged, zipped
+from quillmask.llm.common import NULL_ID, dropped, shared_dir, tagged, text_chunks, written
+from quillmask.llm.repeats import opened
 
 DEPTH, MIN_TOKENS, MIN_DOCS, CONSTANT = 3, 5, 3, 0.6
 _DIGIT = re.compile(rb"\d")
@@ -34,9 +40,6 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-_VARIABLE = _signed(xxhash.xxh64_intdigest(b"<*>"))
-
-
 def masked(line: bytes) -> list[bytes]:
     tokens = line.split()
     return [b"<*>" if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
@@ -46,27 +49,32 @@ def path_of(tokens: list[bytes], depth: int) -> int:
     return _signed(xxhash.xxh64_intdigest(b"%d " % len(tokens) + b" ".join(tokens[:depth])))
 
 
-def lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, with_raw: bool = False) -> DataFrame:
-    """doc, tag, line, leaf, content, fresh (1 for the first such content in its text) and, if asked for, raw (the tokens as they stand)."""
-    names = ["doc", "tag", "line", "leaf", "content", "fresh", *["raw"] * with_raw]
+def lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """doc, tag, line, kind, leaf, content, fresh (1 for the first such content in its text), for all lines with tokens.
+
+    kind 0 are masked lines that may have templates, kind 1 lines as they stand: short ones, and once more those with
+    digits. leaf and content are 128 bits."""
+    names = ["doc", "tag", "line", "kind", "leaf", "content", "fresh"]
 
     def rows(batches):
+        digest = xxhash.xxh64_intdigest
         for keys, texts in text_chunks(batches):
             out = []
             for (doc, tag), text in zip(keys, texts, strict=True):
                 seen = set()
                 for i, line in enumerate(text.split(b"\n")):
-                    tokens = masked(line)
-                    if len(tokens) >= min_tokens:
-                        content = xxhash.xxh64_intdigest(b" ".join(tokens), seed=1)
-                        raw = [_signed(xxhash.xxh64_intdigest(b" ".join(line.split()), seed=2))] * with_raw
-                        out.append((doc, tag, i, path_of(tokens, depth), _signed(content), int(content not in seen), *raw))
-                        seen.add(content)
-                    elif with_raw and tokens:
-                        # short lines go by exact repeats alone: each is a leaf of its own
-                        raw = _signed(xxhash.xxh64_intdigest(b" ".join(line.split()), seed=2))
-                        out.append((doc, tag, i, raw, raw, int(raw not in seen), raw))
-                        seen.add(raw)
+                    plain = line.split()
+                    if not plain:
+                        continue
+                    tokens, found = masked(line), []
+                    if len(plain) >= min_tokens:
+                        found.append((0, path_of(tokens, depth), _signed(digest(b" ".join(tokens), seed=1))))
+                    if len(plain) < min_tokens or tokens != plain:
+                        whole = b" ".join(plain)
+                        found.append((1, _signed(digest(whole, seed=2)), _signed(digest(whole, seed=3))))
+                    for name in found:
+                        out.append((doc, tag, i, *name, int(name not in seen)))
+                        seen.add(name)
             if out:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
 
@@ -74,104 +82,82 @@ def lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, wit
 
 
 def _token_rows(listed: DataFrame, docs: DataFrame) -> DataFrame:
-    """leaf, content, tokens (hashes) of listed lines (doc, spots: tag, line, leaf, content)."""
+    """leaf, content, tokens (hashes, 0 for a variable one) of listed lines (doc, tag, line, leaf, content)."""
 
     def rows(batches):
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for tag, spots, z in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                mine = [s for s in spots.as_py() if s["tag"] == tag.as_py()]
-                if not mine:
-                    continue
-                text = unpack.decompress(z.as_py()).split(b"\n")
-                tokens = [[_signed(xxhash.xxh64_intdigest(t)) for t in masked(text[s["line"]])] for s in mine]
-                yield pa.record_batch([pa.array([s["leaf"] for s in mine]), pa.array([s["content"] for s in mine]), pa.array(tokens, pa.list_(pa.int64()))], names=["leaf", "content", "tokens"])
+            for spots, z in zip(batch.column(2), batch.column(3), strict=True):
+                spots, text = spots.as_py(), unpack.decompress(z.as_py()).split(b"\n")
+                tokens = [[0 if t == b"<*>" else _signed(xxhash.xxh64_intdigest(t) | 1) for t in masked(text[s["line"]])] for s in spots]
+                yield pa.record_batch([pa.array([s["leaf"] for s in spots]), pa.array([s["content"] for s in spots]), pa.array(tokens, pa.list_(pa.int64()))], names=["leaf", "content", "tokens"])
 
-    return zipped(docs).join(listed, "doc").select("tag", "spots", "z").mapInArrow(rows, "leaf long, content long, tokens array<long>").distinct()
+    return opened(docs, listed).mapInArrow(rows, "leaf long, content long, tokens array<long>").dropDuplicates(["leaf", "content"])
 
 
-def dropped_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
-    """doc, tag, line of every line to drop."""
-    base = shared_dir(docs.sparkSession)
-    all_lines = written(lines(docs, depth, min_tokens), base, "lines")
-    distinct = all_lines.groupBy("leaf", "content").agg(F.sum("fresh").alias("n_docs"), F.min(F.struct("doc", "tag", "line")).alias("head"))
-    distinct = written(distinct, base, "distinct")
-    leaves = distinct.groupBy("leaf").agg(F.sum("n_docs").alias("leaf_docs"), F.count(F.lit(1)).alias("leaf_lines")).where(F.col("leaf_docs") >= min_docs)
-    # lines that recur as they stand are templates already; the others of a group that can reach min_docs are opened
-    opened = distinct.join(leaves.where("leaf_lines > 1"), "leaf")
-    listed = opened.groupBy("head.doc").agg(F.collect_list(F.struct("head.tag", "head.line", "leaf", "content")).alias("spots"))
-    token_lines = written(_token_rows(listed, docs).join(opened.select("leaf", "content", "n_docs"), ["leaf", "content"]), base, "tokens")
-    tokens = token_lines.select("leaf", "content", "n_docs", F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "token"))
-    constants = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n_docs").alias("support")).where(F.col("support") >= min_docs).drop("support")
-    general = tokens.join(constants, ["leaf", "pos", "token"]).groupBy("leaf", "content").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("fixed"), F.bit_xor(F.xxhash64("pos", "token")).alias("body"))
-    general = general.where(F.col("fixed") >= F.lit(constant) * F.col("n")).select("leaf", "content", F.xxhash64("leaf", "body").alias("template"))
-    exact = distinct.where(F.col("n_docs") >= min_docs).select("leaf", "content", "content")
-    exact = exact.toDF("leaf", "content", "template").join(general.select("leaf", "content"), ["leaf", "content"], "left_anti")
-    named = all_lines.join(general.unionByName(exact), ["leaf", "content"])
-    named = written(named.select("doc", "tag", "line", "template"), base, "named")
-    # distinct documents per template in two steps, so that a template that is everywhere stays cheap
-    recurring = named.select("template", "doc").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc").alias("first_doc")).where(F.col("n_docs") >= min_docs)
-    return named.join(recurring, "template").where("doc > first_doc").select("doc", "tag", "line")
-
-
-def _candidates(tokens: DataFrame, depth: int, constant: float) -> DataFrame:
+def _candidates(spots: DataFrame, depth: int, constant: float) -> DataFrame:
     """leaf, content, template, fixed: the templates that a line may have, from its most shared tokens alone to all its constants.
 
-    ``tokens``: leaf, content, n, spots (support, pos, token)."""
+    ``spots``: leaf, content, tokens, spots (support, pos) of the constants beyond the leading tokens, which all lines of a leaf share."""
 
     def rows(batches):
         for batch in batches:
             out = []
-            for leaf, content, n, spots in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                spots = sorted(((s["support"], s["pos"], s["token"]) for s in spots), reverse=True)
-                body = words = beyond = 0
-                for k, (support, pos, token) in enumerate(spots, 1):
-                    body ^= xxhash.xxh64_intdigest(b"%d %d" % (pos, token))
-                    if token != _VARIABLE:
-                        words += 1
-                        beyond += pos >= depth
-                    if (k == len(spots) or spots[k][0] != support) and k >= constant * n and 2 * words >= n and 2 * beyond >= max(1, n - depth):
-                        out.append((leaf, content, _signed(xxhash.xxh64_intdigest(b"%d %d %d" % (leaf, k, body))), k))
+            for leaf, content, tokens, spots in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                n, body, beyond = len(tokens), 0, 0
+                lead = min(depth, n)
+                words = sum(t != 0 for t in tokens[:lead])
+                spots = sorted(((s["support"], s["pos"]) for s in spots or () if s["support"] is not None), reverse=True)
+                for k, (support, pos) in enumerate(spots, 1):
+                    body ^= xxhash.xxh64_intdigest(b"%d %d" % (pos, tokens[pos]))
+                    beyond += tokens[pos] != 0
+                    last = k == len(spots) or spots[k][0] != support
+                    if last and k + lead >= constant * n and 2 * (words + beyond) >= n and 2 * beyond >= max(1, n - depth):
+                        out.append((leaf, content, _signed(body), k + lead))
             if out:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["leaf", "content", "template", "fixed"])
 
-    return tokens.mapInArrow(rows, "leaf long, content long, template long, fixed long")
-
+    return spots.mapInArrow(rows, "leaf long, content long, template long, fixed long")
 
-def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
-    """doc, tag, line of every line to drop by the pipeline's rule, which catches a template at any size of its leaf.
 
-    As a leaf grows, values of a variable field come to be in ``min_docs`` documents. So a line has several templates,
-    each with the next most shared constants added, and the most general one that recurs counts. All lines that could
-    have a template have the same more general ones, so its first document keeps one. A line without any goes if it
-    recurs as it stands."""
-    base = shared_dir(docs.sparkSession)
-    all_lines = written(lines(docs, depth, min_tokens, with_raw=True), base, "lines")
-    distinct = written(all_lines.groupBy("leaf", "content").agg(F.sum("fresh").alias("n_docs"), F.min(F.struct("doc", "tag", "line")).alias("head")), base, "distinct")
-    leaves = distinct.groupBy("leaf").agg(F.sum("n_docs").alias("leaf_docs"), F.count(F.lit(1)).alias("leaf_lines")).where(F.col("leaf_docs") >= min_docs)
-    opened = distinct.where("leaf <> content").join(leaves, "leaf")
-    listed = opened.groupBy("head.doc").agg(F.collect_list(F.struct("head.tag", "head.line", "leaf", "content")).alias("spots"))
-    token_lines = written(_token_rows(listed, docs).join(opened.select("leaf", "content", "n_docs"), ["leaf", "content"]), base, "tokens")
-    tokens = token_lines.select("leaf", "content", "n_docs", F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "token"))
-    constants = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n_docs").alias("support")).where(F.col("support") >= min_docs)
-    spots = tokens.join(constants, ["leaf", "pos", "token"]).groupBy("leaf", "content").agg(F.first("n").cast("long").alias("n"), F.collect_list(F.struct("support", "pos", "token")).alias("spots"))
-    candidates = written(_candidates(spots, depth, constant), base, "candidates")
-
-    def recurring(named: DataFrame, name: str) -> DataFrame:
-        return named.distinct().groupBy(name).agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc").alias(f"{name}_first")).where(F.col("n_docs") >= min_docs).drop("n_docs")
-
-    templates = recurring(all_lines.join(candidates, ["leaf", "content"]).select("template", "doc"), "template")
-    best = written(candidates.join(templates, "template").groupBy("leaf", "content").agg(F.min_by("template_first", "fixed").alias("template_first")), base, "best")
-    raws = written(recurring(all_lines.select("raw", "doc"), "raw"), base, "raws")
-    placed = all_lines.join(best, ["leaf", "content"], "left").join(raws, "raw", "left")
-    return placed.where(F.col("doc") > F.coalesce("template_first", "raw_first")).select("doc", "tag", "line")
-
-
-def without_templates(docs: DataFrame, find=None, **how) -> DataFrame:
+def dropped_lines(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
+    """doc, tag, line of every line to drop."""
+    if min_docs not in (2, 3):
+        raise ValueError("min_docs is 2 or 3")
+    spark, base = docs.sparkSession, shared_dir(docs.sparkSession)
+    all_lines = written(lines(docs, depth, min_tokens), base, "lines")
+    row = F.struct("doc", "tag")
+    distinct = all_lines.groupBy("kind", "leaf", "content").agg(F.sum("fresh").alias("n_docs"), F.min(F.struct("doc", "tag", "line")).alias("head"), F.max(row).alias("last"))
+    distinct = written(distinct, base, "distinct")
+    first = F.struct("head.doc", "head.tag")
+    leaves = distinct.where("kind = 0").groupBy("leaf").agg(F.sum("n_docs").alias("leaf_docs")).where(F.col("leaf_docs") >= min_docs).select("leaf")
+    masked_lines = written(distinct.where("kind = 0").join(leaves, "leaf").select("leaf", "content", "n_docs", "head", "last"), base, "masked")
+    listed = masked_lines.select("head.doc", "head.tag", "head.line", "leaf", "content")
+    tokens = written(_token_rows(listed, docs).join(masked_lines.select("leaf", "content", "n_docs"), ["leaf", "content"]), base, "tokens")
+    spots = tokens.select("leaf", "content", "n_docs", F.posexplode("tokens").alias("pos", "token")).where(F.col("pos") >= depth)
+    constants = spots.groupBy("leaf", "pos", "token").agg(F.sum("n_docs").alias("support")).where(F.col("support") >= min_docs)
+    constants = written(constants, base, "constants")
+    shared = spots.join(constants, ["leaf", "pos", "token"]).groupBy("leaf", "content").agg(F.collect_list(F.struct("support", "pos")).alias("spots"))
+    candidates = written(_candidates(tokens.join(shared, ["leaf", "content"]).select("leaf", "content", "tokens", "spots"), depth, constant), base, "candidates")
+    ends = candidates.join(masked_lines, ["leaf", "content"]).select("leaf", "template", "n_docs", F.explode(F.array(first, "last")).alias("end"))
+    ends = ends.groupBy("leaf", "template", "end").agg(F.max("n_docs").alias("n_docs"))
+    recurring = ends.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("n_ends"), F.max("n_docs").alias("n_docs"), F.min("end").alias("first"))
+    recurring = written(recurring.where((F.col("n_docs") >= min_docs) | (F.col("n_ends") >= min_docs)).select("leaf", "template", "first"), base, "recurring")
+    best = candidates.join(recurring, ["leaf", "template"]).groupBy("leaf", "content").agg(F.min_by("first", "fixed").alias("first")).select(F.lit(0).cast("long").alias("kind"), "leaf", "content", "first")
+    exact = distinct.where("kind = 1").where(F.col("n_docs") >= min_docs).select("kind", "leaf", "content", first.alias("first"))
+    gone = written(best.unionByName(exact), base, "gone")
+    for name in ("masked", "tokens", "constants", "candidates", "recurring", "distinct"):
+        dropped(spark, f"{base}/{name}")
+    met = all_lines.join(gone, ["kind", "leaf", "content"]).select("doc", "tag", "line", "kind", (row > F.col("first")).alias("late"))
+    # a masked line's template goes before the line as it stands
+    return met.groupBy("doc", "tag", "line").agg(F.min_by("late", "kind").alias("late")).where("late").select("doc", "tag", "line")
+
+
+def without_templates(docs: DataFrame, **how) -> DataFrame:
     """The columns of ``docs`` with recurring lines gone from text (n_chars, if there, follows), and t_lines, t_dropped, t_sha256."""
-    gone = (find or dropped_lines)(docs, **how).groupBy("doc").agg(F.collect_list(F.struct("tag", "line")).alias("gone"))
+    gone = dropped_lines(docs, **how).groupBy("doc", "tag").agg(F.collect_list("line").alias("gone"))
     rest = [c for c in docs.columns if c != "text"]
-    full = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(docs["text"]).bitwiseAND(F.lit(0xFFFFF).cast("long")).alias("tag"), docs["text"].isNull().alias("missing"), F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(rest)]).alias("rest"), docs["text"].alias("text"))
+    full = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(docs["text"]).alias("tag"), docs["text"].isNull().alias("missing"), F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(rest)]).alias("rest"), docs["text"].alias("text"))
 
     def pack(batches):
         engine = zstandard.ZstdCompressor(level=1)
@@ -181,22 +167,21 @@ def without_templates(docs: DataFrame, find=None, **how) -> DataFrame:
             yield pa.record_batch([*(batch.column(i) for i in range(4)), z], names=["doc", "tag", "missing", "rest", "z"])
 
     kinds = full.schema["rest"].dataType.simpleString()
-    held = full.mapInArrow(pack, f"doc long, tag long, missing boolean, rest {kinds}, z binary").join(gone, "doc", "left").select("tag", "missing", "rest", "gone", "z")
+    held = full.mapInArrow(pack, f"doc long, tag long, missing boolean, rest {kinds}, z binary").join(gone, ["doc", "tag"], "left").select("missing", "rest", "gone", "z")
 
     def rows(batches):
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             texts, n_lines, n_gone, shas = [], [], [], []
-            for tag, missing, gone_here, z in zip(batch.column(0), batch.column(1), batch.column(3), batch.column(4), strict=True):
-                text, tag = unpack.decompress(z.as_py()), tag.as_py()
-                drop = {g["line"] for g in gone_here.as_py() or () if g["tag"] == tag}
+            for missing, gone_here, z in zip(batch.column(0), batch.column(2), batch.column(3), strict=True):
+                text, drop = unpack.decompress(z.as_py()), set(gone_here.as_py() or ())
                 parts = text.split(b"\n")
                 kept = b"\n".join([p for i, p in enumerate(parts) if i not in drop]) if drop else text
                 texts.append(None if missing.as_py() else kept.decode())
                 n_lines.append(0 if missing.as_py() else len(parts))
                 n_gone.append(len(drop))
                 shas.append(hashlib.sha256(kept).hexdigest())
-            yield pa.record_batch([batch.column(2), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(shas, pa.string())], names=["rest", "text", "t_lines", "t_dropped", "t_sha256"])
+            yield pa.record_batch([batch.column(1), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(shas, pa.string())], names=["rest", "text", "t_lines", "t_dropped", "t_sha256"])
 
     out = held.mapInArrow(rows, f"rest {kinds}, text string, t_lines long, t_dropped long, t_sha256 string")
     where = {c: F.col(f"rest.c{i}").alias(c) for i, c in enumerate(rest)} | {"text": F.col("text")}
@@ -212,19 +197,22 @@ def template_report(docs: DataFrame, **how) -> DataFrame:
 
 
 SQL = rf"""
-WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, -9223372036854775808) AS k, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS parts FROM documents),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, (coalesce(doc_id, -9223372036854775808), md5(coalesce(text, ''))) AS k, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS parts FROM documents),
 cut AS MATERIALIZED (SELECT rid, k, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS line FROM d),
-lines AS MATERIALIZED (SELECT rid, k, i, tokens, array_to_string(tokens, ' ') AS content, len(tokens) || ' ' || array_to_string(tokens[1:{DEPTH}], ' ') AS leaf
-  FROM (SELECT rid, k, i, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens FROM cut) WHERE len(tokens) >= {MIN_TOKENS}),
-contents AS MATERIALIZED (SELECT leaf, content, any_value(tokens) AS tokens, count(DISTINCT rid) AS n_docs FROM lines GROUP BY leaf, content),
-leaves AS (SELECT leaf FROM contents GROUP BY leaf HAVING sum(n_docs) >= {MIN_DOCS} AND count(*) > 1),
+lines AS MATERIALIZED (SELECT *, array_to_string(plain, ' ') AS raw, array_to_string(tokens, ' ') AS content, len(plain) || ' ' || array_to_string(tokens[1:{DEPTH}], ' ') AS leaf
+  FROM (SELECT *, list_transform(plain, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens FROM (SELECT rid, k, i, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS plain FROM cut)) WHERE len(plain) > 0),
+contents AS MATERIALIZED (SELECT leaf, content, any_value(tokens) AS tokens, count(DISTINCT rid) AS n_docs FROM lines WHERE len(tokens) >= {MIN_TOKENS} GROUP BY leaf, content),
+leaves AS (SELECT leaf FROM contents GROUP BY leaf HAVING sum(n_docs) >= {MIN_DOCS}),
 spots AS MATERIALIZED (SELECT leaf, content, n_docs, len(tokens) AS n, unnest(range(1, len(tokens) + 1)) AS pos, unnest(tokens) AS token FROM contents JOIN leaves USING (leaf)),
-constants AS (SELECT leaf, pos, token FROM spots GROUP BY leaf, pos, token HAVING sum(n_docs) >= {MIN_DOCS}),
-general AS MATERIALIZED (SELECT leaf, content, 'general ' || leaf || chr(10) || string_agg(pos || ' ' || token, chr(10) ORDER BY pos) AS template FROM spots JOIN constants USING (leaf, pos, token) GROUP BY leaf, content HAVING count(*) >= {CONSTANT}::DOUBLE * any_value(n)),
-templates AS (FROM general UNION ALL SELECT leaf, content, 'exact ' || content FROM contents ANTI JOIN general USING (leaf, content) WHERE n_docs >= {MIN_DOCS}),
-named AS MATERIALIZED (SELECT rid, k, i, template FROM lines JOIN templates USING (leaf, content)),
-recurring AS (SELECT template, min(k) AS first_k FROM named GROUP BY template HAVING count(DISTINCT k) >= {MIN_DOCS}),
-gone AS (SELECT rid, i, 1 AS hit FROM named JOIN recurring USING (template) WHERE k > first_k),
+constants AS (SELECT leaf, pos, token, sum(n_docs) AS support FROM spots GROUP BY ALL HAVING sum(n_docs) >= {MIN_DOCS}),
+shared AS MATERIALIZED (SELECT leaf, content, n, pos, token, support FROM spots JOIN constants USING (leaf, pos, token)),
+candidates AS MATERIALIZED (SELECT s.leaf, s.content, t.support AS least, count(*) AS fixed, string_agg(pos || ' ' || token, chr(10) ORDER BY pos) AS template
+  FROM shared s JOIN (SELECT DISTINCT leaf, content, support FROM shared) t ON s.leaf = t.leaf AND s.content = t.content AND s.support >= t.support GROUP BY ALL
+  HAVING count(*) >= {CONSTANT}::DOUBLE * any_value(n) AND 2 * count(*) FILTER (token <> '<*>') >= any_value(n) AND 2 * count(*) FILTER (token <> '<*>' AND pos > {DEPTH}) >= greatest(1, any_value(n) - {DEPTH})),
+templates AS (SELECT leaf, template, min(k) AS first FROM lines JOIN candidates USING (leaf, content) WHERE len(tokens) >= {MIN_TOKENS} GROUP BY leaf, template HAVING count(DISTINCT rid) >= {MIN_DOCS}),
+best AS (SELECT leaf, content, arg_min(first, fixed) AS first FROM candidates JOIN templates USING (leaf, template) GROUP BY leaf, content),
+raws AS (SELECT raw, min(k) AS first FROM lines GROUP BY raw HAVING count(DISTINCT rid) >= {MIN_DOCS}),
+gone AS (SELECT rid, i, 1 AS hit FROM lines LEFT JOIN best ON len(tokens) >= {MIN_TOKENS} AND lines.leaf = best.leaf AND lines.content = best.content LEFT JOIN raws ON lines.raw = raws.raw WHERE k > coalesce(best.first, raws.first)),
 kept AS (SELECT rid, count(hit) AS n_dropped, string_agg(line, chr(10) ORDER BY i) FILTER (hit IS NULL) AS kept_text FROM cut LEFT JOIN gone USING (rid, i) GROUP BY rid)
 SELECT doc_id, len(parts)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, sha256(coalesce(kept_text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
 """

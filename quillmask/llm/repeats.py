@@ -1,18 +1,12 @@
-"""Finds windows of symbols that occur again, over a whole corpus, without ever holding one group in a task.
+"""What the two engines for repeated text share: sampled suffixes, compressed texts, and judging documents by flags.
 
-Every window is represented by its anchor (see ``windows``). A node is (anchor hash), a leaf below it (anchor
-hash, span hash): 128 bits that name the anchor's content and the whole stretch of text its windows cover.
+A suffix is sampled at the anchor of a window (see ``windows``): equal windows have equal anchors at equal places, so
+windows that recur meet at a sampled suffix. A row of ``runs`` is such a suffix with the run of windows that it is the
+anchor of: node (the suffix's first symbols), leaf (all symbols that the run covers; node and leaf are 128 bits), and
+where it stands. About one row for 20 words, or for 70 bytes.
 
-1. ``runs``: one row per leaf occurrence. About one for 20 words, or for 70 bytes.
-2. ``leaves``: occurrences collapse, map-side first, into one row per leaf with its count and first holder.
-3. ``branching``: nodes with one occurrence end there: nothing below them can be repeated. Where a leaf itself
-   recurs all its windows do. Where a node has several leaves, only those are opened further:
-4. ``opened``: one holder per leaf lists its run in blocks of neighbouring windows, as nodes and leaves again (the
-   symbols that all windows of a block share, those that any of them covers), and what still branches is listed
-   once more window by window. So a border between repeated and other text costs a few rows, not a row per window.
-
-So a passage in a third of all documents is one leaf with a large count, never a list or a set of pairs. Rows
-meet leaves in joins whose large partitions adaptive execution splits.
+Rows of the input are told apart by doc and tag, a 64-bit hash of the text. Rows that share both are the same text, so
+they have the same flags.
 """
 
 from __future__ import annotations
@@ -26,21 +20,21 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmask.llm.common import dropped, keyed, release, text_chunks, written
+from quillmask.llm.common import tagged, text_chunks
 from quillmask.llm.windows import Sequences
 
 #: Symbols of a segment: longer texts are read in segments that overlap by all but one symbol of a window.
 SEGMENT = 1 << 20
+RUN = "node long, leaf long, doc long, tag long, at long"
 
 
 @dataclass(frozen=True)
 class Shape:
-    """unit 'word' or 'byte'; window width and gram in symbols; 'first' flags what a smaller doc_id has, 'any' all that recurs."""
+    """unit 'word' or 'byte'; window width and gram in symbols."""
 
     unit: str
     width: int
     gram: int
-    rule: str
 
 
 def segments(text: bytes, shape: Shape) -> Iterator[tuple[int, bytes]]:
@@ -60,17 +54,13 @@ def sequences(texts: list[bytes], shape: Shape) -> Sequences:
     return Sequences.of_words(texts) if shape.unit == "word" else Sequences.of_bytes(texts)
 
 
-#: Windows of the blocks in which branching runs are opened, step by step.
-STEPS = {"word": (8, 1), "byte": (16, 1)}
-
+#: One long holds a run: 47 bits of its first window, 8 of the number of windows less one, 8 of the anchor's place.
+def packed(start, count, ahead):
+    return (np.asarray(start, dtype=np.int64) << 16) | ((np.asarray(count, dtype=np.int64) - 1) << 8) | np.asarray(ahead, dtype=np.int64)
 
-#: One long holds a run: 20 bits of the text's hash, 28 of its first window, 8 of the number of windows less one, 8 of the anchor's place.
-def packed(tag, start, count, ahead):
-    return ((np.asarray(tag, dtype=np.int64) & 0xFFFFF) << 44) | (np.asarray(start, dtype=np.int64) << 16) | ((np.asarray(count, dtype=np.int64) - 1) << 8) | np.asarray(ahead, dtype=np.int64)
 
-
-def unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return (at >> 44) & 0xFFFFF, (at >> 16) & 0xFFFFFFF, ((at >> 8) & 0xFF) + 1, at & 0xFF
+def unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return at >> 16, ((at >> 8) & 0xFF) + 1, at & 0xFF
 
 
 def _run_rows(shape: Shape) -> Callable:
@@ -81,40 +71,24 @@ def _run_rows(shape: Shape) -> Callable:
             if not len(text):
                 continue
             owner, base = np.array([p[0] for p in pieces]), np.array([p[1] for p in pieces], dtype=np.int64)
-            doc, tag = np.array([k[0] for k in keys], dtype=np.int64), np.array([k[1] for k in keys], dtype=np.int64)
+            doc, tag = np.array(keys, dtype=np.int64).T
             own = owner[text]
-            yield pa.record_batch([pa.array(x) for x in (node.view(np.int64), leaf.view(np.int64), doc[own], packed(tag[own], start + base[text], count, ahead))], names=["node", "leaf", "doc", "at"])
+            yield pa.record_batch([pa.array(x) for x in (node.view(np.int64), leaf.view(np.int64), doc[own], tag[own], packed(start + base[text], count, ahead))], names=["node", "leaf", "doc", "tag", "at"])
 
     return rows
 
 
-def tagged(docs: DataFrame) -> DataFrame:
-    """doc, tag (of the text, so that two texts under one doc_id stay apart), text."""
-    d = keyed(docs)
-    return d.select("doc", F.xxhash64("text").bitwiseAND(F.lit(0xFFFFF).cast("long")).alias("tag"), "text")
-
-
 def runs(docs: DataFrame, shape: Shape) -> DataFrame:
-    return tagged(docs).mapInArrow(_run_rows(shape), "node long, leaf long, doc long, at long")
+    return tagged(docs).mapInArrow(_run_rows(shape), RUN)
 
 
 def leaves(run_rows: DataFrame) -> DataFrame:
-    """One row per leaf: occurrences, and the holder that comes first."""
-    return run_rows.groupBy("node", "leaf").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "at")).alias("head"))
-
-
-def merged_leaves(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("node", "leaf").agg(F.sum("n").alias("n"), F.min("head").alias("head"))
-
-
-def branching(leaf_rows: DataFrame) -> DataFrame:
-    """Leaves under nodes that occur more than once, with the node's number of leaves and first document."""
-    nodes = leaf_rows.groupBy("node").agg(F.sum("n").alias("node_n"), F.count(F.lit(1)).alias("n_leaves"), F.min("head.doc").alias("node_doc")).where("node_n > 1")
-    return leaf_rows.join(nodes, "node")
+    """One row per leaf, collapsed map-side: occurrences, and the holder that comes first."""
+    return run_rows.groupBy("node", "leaf").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "tag", "at")).alias("head"))
 
 
 def zipped(docs: DataFrame) -> DataFrame:
-    """doc, tag and the text compressed, for joins by doc_id."""
+    """doc, tag and the text compressed, for joins."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
@@ -124,84 +98,71 @@ def zipped(docs: DataFrame) -> DataFrame:
     return tagged(docs).mapInArrow(rows, "doc long, tag long, z binary")
 
 
-def _opened_rows(shape: Shape, size: int) -> Callable:
-    """The listed runs of each text in blocks of ``size`` windows."""
+def opened(docs: DataFrame, listed: DataFrame) -> DataFrame:
+    """doc, tag, spots, z of each text for which ``listed`` (doc, tag and other columns) has rows, those as structs."""
+    cols = [c for c in listed.columns if c not in ("doc", "tag")]
+    spots = listed.groupBy("doc", "tag").agg(F.collect_list(F.struct(*cols)).alias("spots"))
+    return zipped(docs).join(spots, ["doc", "tag"]).select("doc", "tag", "spots", "z")
+
+
+def spot_columns(spots: pa.ListScalar) -> dict[str, np.ndarray]:
+    """The fields of the structs that ``opened`` lists for a text."""
+    kind = spots.values.type
+    return {kind.field(i).name: c.to_numpy(zero_copy_only=False) for i, c in enumerate(spots.values.flatten())}
+
+
+def located(text: bytes, shape: Shape, start: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """(symbols before it, segment, which of the runs to read in it); each run is in one segment."""
+    left = np.ones(len(start), dtype=bool)
+    for base, piece in segments(text, shape):
+        if not left.any():
+            return
+        n = len(piece) if shape.unit == "byte" else len(piece.split()) if len(text) > SEGMENT else 1 << 62
+        here = left & (start >= base) & (start + count - 1 + shape.width <= base + n)
+        left &= ~here
+        if here.any():
+            yield base, piece, here
+
+
+def block_rows(shape: Shape, size: int) -> Callable:
+    """The listed runs (node, at) of each text in blocks of ``size`` windows, as runs: the node names what all windows of a block share."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for doc, tag, ats, nodes, z in zip(*(batch.column(i) for i in range(5)), strict=True):
-                at, node, tag = ats.values.to_numpy(), nodes.values.to_numpy(), tag.as_py()
-                its, start, count, ahead = unpacked(at)
-                mine = its == tag
-                if not mine.any():
-                    continue
-                start, count, ahead, node = start[mine], count[mine], ahead[mine], node[mine]
-                left = np.ones(len(start), dtype=bool)
-                for base, piece in segments(unpack.decompress(z.as_py()), shape):
+            for doc, tag, spots, z in zip(*(batch.column(i) for i in range(4)), strict=True):
+                spot = spot_columns(spots)
+                node, (start, count, ahead) = spot["node"], unpacked(spot["at"])
+                for base, piece, here in located(unpack.decompress(z.as_py()), shape, start, count):
                     seq = sequences([piece], shape)
-                    here = left & (start >= base) & (start + count - 1 + shape.width <= base + seq.n)
-                    left &= ~here
-                    if not here.any():
-                        continue
                     run, lo, n, name, leaf = seq.blocks(start[here] - base, count[here], ahead[here], node[here], shape.width, size)
                     near = (start - base + ahead)[here][run] - lo
-                    yield pa.record_batch([pa.array(x) for x in (name.view(np.int64), leaf.view(np.int64), np.full(len(lo), doc.as_py(), dtype=np.int64), packed(tag, lo + base, n, near))], names=["node", "leaf", "doc", "at"])
+                    same = np.full(len(lo), 1, dtype=np.int64)
+                    yield pa.record_batch([pa.array(x) for x in (name.view(np.int64), leaf.view(np.int64), same * doc.as_py(), same * tag.as_py(), packed(lo + base, n, near))], names=["node", "leaf", "doc", "tag", "at"])
 
     return rows
 
 
-def flags(docs: DataFrame, run_rows: DataFrame, branch: DataFrame, shape: Shape, base: str, spent: tuple[str, ...] = ()) -> DataFrame:
-    """doc, at: runs of windows that are repeated, as a written table. ``spent``: tables below ``base`` that nothing reads once the runs are settled."""
-    spark = docs.sparkSession
-    found: DataFrame | None = None
-    for k, size in enumerate((*STEPS[shape.unit], 0)):
-        named = branch.select("node", "leaf", "n", "n_leaves", F.col("head.doc").alias("head_doc"), F.col("head.at").alias("head_at"))
-        named = written(named, base, f"branch-{k}")
-        release(spark)
-        for name in (n for n in spent if not n.startswith(("runs", "opened"))):  # leaves are settled, runs are still to meet them
-            dropped(spark, f"{base}/{name}")
-        met = written(run_rows.join(named, ["node", "leaf"]), base, f"met-{k}")
-        release(spark)
-        for name in (*(n for n in spent if n.startswith(("runs", "opened"))), f"branch-{k}"):
-            dropped(spark, f"{base}/{name}")
-        if shape.rule == "first":
-            whole, holder = F.col("doc") > F.col("head_doc"), F.col("doc") == F.col("head_doc")
-        else:
-            whole, holder = F.col("n") > 1, (F.col("doc") == F.col("head_doc")) & (F.col("at") == F.col("head_at"))
-        flagged = met.where(whole).select("doc", "at")
-        found = flagged if found is None else found.union(flagged)
-        if not size:
-            break
-        listed = met.where((F.col("n_leaves") > 1) & holder).groupBy("doc").agg(F.collect_list("at").alias("ats"), F.collect_list("node").alias("nodes"))
-        opened = zipped(docs).join(listed, "doc").select("doc", "tag", "ats", "nodes", "z")
-        run_rows = written(opened.mapInArrow(_opened_rows(shape, size), "node long, leaf long, doc long, at long"), base, f"opened-{k}")
-        release(spark)
-        branch, spent = branching(leaves(run_rows)), (f"opened-{k}",)
-    return found
-
-
-def covered(at: np.ndarray, tag: int, n: int, width: int) -> np.ndarray:
+def covered(at: np.ndarray, n: int, width: int) -> np.ndarray:
     """Which of n symbols a flagged window covers."""
-    its, start, count, _ = unpacked(np.asarray(at, dtype=np.int64))
-    mine = its == tag
+    start, count, _ = unpacked(np.asarray(at, dtype=np.int64))
     edge = np.zeros(n + 1, dtype=np.int64)
-    np.add.at(edge, np.minimum(start[mine], n), 1)
-    np.add.at(edge, np.minimum(start[mine] + count[mine] - 1 + width, n), -1)
+    np.add.at(edge, np.minimum(start, n), 1)
+    np.add.at(edge, np.minimum(start + count - 1 + width, n), -1)
     return np.cumsum(edge[:n]) > 0
 
 
-def judged(docs: DataFrame, flag_rows: DataFrame, judge: Callable[[bytes, np.ndarray, int], list], schema: str, arrow: pa.Schema) -> DataFrame:
-    """Each document with its flags given to ``judge(text, at, tag)``, whose values follow doc."""
-    held = flag_rows.groupBy("doc").agg(F.collect_list("at").alias("ats"))
+def judged(docs: DataFrame, flag_rows: DataFrame, judge: Callable[[bytes, np.ndarray], list], schema: str, arrow: pa.Schema) -> DataFrame:
+    """Each document with its flags (doc, tag, at) given to ``judge(text, at)``, whose values follow doc."""
+    held = flag_rows.groupBy("doc", "tag").agg(F.collect_set("at").alias("ats"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for doc, tag, at, z in zip(*(batch.column(i) for i in range(4)), strict=True):
+            for doc, at, z in zip(*(batch.column(i) for i in range(3)), strict=True):
                 at = at.values.to_numpy() if at.is_valid else np.zeros(0, dtype=np.int64)
-                out.append([doc.as_py(), *judge(unpack.decompress(z.as_py()), at, tag.as_py())])
+                out.append([doc.as_py(), *judge(unpack.decompress(z.as_py()), at)])
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)] if out else [pa.array([], f.type) for f in arrow], schema=arrow)
 
-    return zipped(docs).join(held, "doc", "left").select("doc", "tag", "ats", "z").mapInArrow(rows, schema)
+    return zipped(docs).join(held, ["doc", "tag"], "left").select("doc", "ats", "z").mapInArrow(rows, schema)

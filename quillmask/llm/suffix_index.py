@@ -1,37 +1,51 @@
 """Suffix-array deduplication with a logarithmic family of indexes.
 
-A batch of documents becomes a level: its sampled suffixes, collapsed to one row per distinct leaf and stored in
-sorted order (see ``repeats``: content-defined samples make equal 200-byte strings meet at equal places, at one
-sample in some 70 bytes). A new level is merge-scanned against every existing level, a sort-merge join of sorted
-tables on the suffix prefix, which gives the long matches the batch brings. Two levels of one rank are then merged
-into one of the next rank, as in a binary counter, so that a row is rewritten log2(batches) times.
-
-Null texts are empty; a null doc_id is an ordinary one; rows with one doc_id are separate documents; repeated rows
-match each other. Other columns are ignored.
+A batch of documents becomes a level: an array of its sampled suffixes (see ``repeats``: content-defined samples make
+equal 200-byte strings meet at equal places, at one suffix in some 70 bytes) in suffix order, by their first four
+bytes, then by a hash of their first 64. Equal suffixes with equal surroundings are one entry with a count and its
+first holder. ``IndexFamily.append`` merge-scans a new level against every existing one: both are sorted by suffix, so
+suffixes whose prefixes agree meet. A scan gives matches: the entries, old and new, of every prefix that the batch has
+in common with a level or twice in itself. Then two levels of one rank are merged into one of the next rank, as in a
+binary counter, so that an entry is rewritten log2(batches) times.
+
+All results come from the matches. An entry that was matched with itself recurs as a whole. Of other entries of a
+matched prefix, windows are compared one by one: first in blocks of 16 neighbours, then, where those branch, singly,
+each named by 128 bits of its 200 bytes. An entry that no scan matched is never looked at again.
+
+An empty table gives an empty one. Null texts are empty; a null doc_id is an ordinary one; rows with one doc_id are
+separate documents; repeated rows match each other. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmask.llm.common import dropped, real_id, release, shared_dir, written
-from quillmask.llm.repeats import Shape, branching, covered, flags, judged, leaves, merged_leaves, runs
+from quillmask.llm.common import dropped, real_id, shared_dir, written
+from quillmask.llm.repeats import Shape, block_rows, covered, judged, leaves, opened, runs
+
+#: Windows of the blocks in which matched entries are compared, step by step.
+BLOCKS = (16, 1)
+
+
+def _merged(rows: list[DataFrame], count=F.sum) -> DataFrame:
+    """Entries of several arrays as one each."""
+    return reduce(DataFrame.unionByName, rows).groupBy("node", "leaf").agg(count("n").alias("n"), F.min("head").alias("head"))
 
 
 class IndexFamily:
-    """Levels of sampled, sorted suffixes in the shared folder."""
+    """Levels of sampled suffixes in suffix order, in the shared folder, and the matches between batches."""
 
     def __init__(self, spark: SparkSession, base: str, width: int = 200, gram: int = 64):
         self.spark, self.base = spark, base
-        self.shape = Shape("byte", width, min(gram, width), "any")
-        self.levels: list[tuple[int, str, DataFrame]] = []  # rank, name, rows; ranks fall
-        self.batches: list[DataFrame] = []
-        self.dead: list[str] = []  # merged into others
+        self.shape = Shape("byte", width, min(gram, width))
+        self.levels: list[tuple[int, str, DataFrame]] = []  # rank, name, entries; ranks fall
+        self.matches: list[DataFrame] = []
         self.serial = 0
 
     def _level(self, rank: int, rows: DataFrame) -> tuple[int, str, DataFrame]:
@@ -39,67 +53,76 @@ class IndexFamily:
         name = f"level-{self.serial}-rank-{rank}"
         return rank, name, written(rows.sortWithinPartitions("node", "leaf"), self.base, name)
 
-    def matches(self, batch_level: DataFrame) -> DataFrame:
-        """Leaves of a batch whose suffix prefix an existing level has: the merge scan. Lazy."""
-        out = None
-        for _, _, rows in self.levels:
-            hit = batch_level.join(rows.select("node").distinct(), "node", "left_semi")
-            out = hit if out is None else out.union(hit)
-        return (out if out is not None else batch_level.limit(0)).distinct()
+    def _scan(self, new: DataFrame) -> DataFrame:
+        """The merge scan: entries of the new level and of the existing ones whose prefixes match, with their occurrences in both."""
+        prefixes = new.select("node").distinct()
+        there = [old.join(prefixes, "node", "left_semi") for _, _, old in self.levels]
+        met = _merged([new, *there])
+        matched = met.groupBy("node").agg(F.sum("n").alias("node_n")).where("node_n > 1")
+        return met.join(matched, "node").select("node", "leaf", "n", "head")
 
     def append(self, docs: DataFrame) -> DataFrame:
-        """Index a batch; returns its matches against what was there before."""
-        rows = written(runs(docs, self.shape), self.base, f"runs-{len(self.batches)}")
-        self.batches.append(rows)
-        new = self._level(0, leaves(rows))
-        hits = self.matches(new[2])
+        """Index a batch; returns its matches with itself and with what was there before."""
+        new = self._level(0, leaves(runs(docs, self.shape)))
+        hits = written(self._scan(new[2]), self.base, f"matches-{len(self.matches)}")
+        self.matches.append(hits)
         while self.levels and self.levels[-1][0] == new[0]:
             old = self.levels.pop()
-            joined = self._level(new[0] + 1, merged_leaves(old[2].unionByName(new[2])))
-            self.dead += [old[1], new[1]]
+            joined = self._level(new[0] + 1, _merged([old[2], new[2]]))
+            for name in (old[1], new[1]):
+                dropped(self.spark, f"{self.base}/{name}")
             new = joined
         self.levels.append(new)
         return hits
 
-    def sweep(self) -> None:
-        """Delete levels that were merged into others; matches of earlier batches can't be read afterwards."""
-        for name in self.dead:
-            dropped(self.spark, f"{self.base}/{name}")
-        self.dead = []
+    def matched(self) -> DataFrame:
+        """All entries that a scan matched: node, leaf, n (over 1: the entry itself recurs), head, n_leaves (entries of its prefix)."""
+        # a scan counts occurrences so far, so the last one has most; an entry that comes twice is in some scan as two
+        entries = _merged(self.matches, F.max)
+        return entries.join(entries.groupBy("node").agg(F.count(F.lit(1)).alias("n_leaves")), "node")
 
-    def tables(self) -> tuple[str, ...]:
-        """What the family holds below its folder."""
-        return (*(level[1] for level in self.levels), *(f"runs-{i}" for i in range(len(self.batches))))
+    def close(self) -> None:
+        """Delete the levels; matches stay."""
+        for _, name, _ in self.levels:
+            dropped(self.spark, f"{self.base}/{name}")
+        self.levels = []
 
-    def leaves(self) -> DataFrame:
-        rows = [level[2] for level in self.levels]
-        if len(rows) == 1:
-            return rows[0]
-        out = rows[0]
-        for r in rows[1:]:
-            out = out.unionByName(r)
-        return merged_leaves(out)
 
-    def runs(self) -> DataFrame:
-        out = self.batches[0]
-        for b in self.batches[1:]:
-            out = out.unionByName(b)
-        return out
+def repeated_runs(docs: DataFrame, width: int = 200, gram: int = 64, batches: int = 4) -> DataFrame:
+    """doc, tag, at: packed runs of windows whose bytes also start elsewhere. Documents arrive in ``batches`` batches."""
+    spark = docs.sparkSession
+    family = IndexFamily(spark, shared_dir(spark), width, gram)
+    base, s = family.base, family.shape
+    part = F.pmod(F.xxhash64(docs["doc_id"].cast("long"), docs["text"]), F.lit(batches))
+    for b in range(batches):
+        family.append(docs.where(part == b))
+    family.close()
+    entries, run_rows, found = family.matched(), runs(docs, s), None
+    for k, size in enumerate((*BLOCKS, 0)):
+        branch = written(entries.select("node", "leaf", "n", "n_leaves", "head"), base, f"branch-{k}")
+        met = run_rows.join(branch, ["node", "leaf"]).select("node", "doc", "tag", "at", "n", "n_leaves", "head")
+        holder = (F.col("doc") == F.col("head.doc")) & (F.col("tag") == F.col("head.tag")) & (F.col("at") == F.col("head.at"))
+        met = written(met.where((F.col("n") > 1) | holder).withColumn("holder", holder).drop("head"), base, f"met-{k}")
+        dropped(spark, f"{base}/branch-{k}")
+        flagged = met.where("n > 1").select("doc", "tag", "at")
+        found = flagged if found is None else found.unionByName(flagged)
+        if not size:
+            break
+        listed = met.where("holder and n_leaves > 1").select("doc", "tag", "node", "at")
+        run_rows = written(opened(docs, listed).mapInArrow(block_rows(s, size), run_rows.schema), base, f"opened-{k}")
+        rows = leaves(run_rows)
+        prefixes = rows.groupBy("node").agg(F.sum("n").alias("node_n"), F.count(F.lit(1)).alias("n_leaves")).where("node_n > 1")
+        entries = rows.join(prefixes, "node")
+    return found
 
 
 def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 64, batches: int = 4, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (binary)."""
-    spark = docs.sparkSession
-    family = IndexFamily(spark, shared_dir(spark), width, gram)
-    for b in range(batches):
-        family.append(docs.where(F.pmod(F.xxhash64(F.coalesce(docs["doc_id"].cast("long"), F.lit(0))), F.lit(batches)) == b))
-        family.sweep()
-        release(spark)
-    found = flags(docs, family.runs(), branching(family.leaves()), family.shape, family.base, family.tables())
+    found = repeated_runs(docs, width, gram, batches)
 
-    def judge(text: bytes, at: np.ndarray, tag: int) -> list:
+    def judge(text: bytes, at: np.ndarray) -> list:
         n = len(text)
-        gone = covered(at, tag, n, width) if len(at) else np.zeros(n, dtype=bool)
+        gone = covered(at, n, width) if len(at) else np.zeros(n, dtype=bool)
         removed = int(gone.sum())
         kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes() if removed else text
         spans = int((gone & ~np.concatenate(([False], gone[:-1]))).sum()) if removed else 0

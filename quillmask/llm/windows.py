@@ -71,8 +71,8 @@ def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
 class Sequences:
     """Several texts as one run of symbols; ``offsets[i]:offsets[i+1]`` are the symbols of text i."""
 
-    def __init__(self, one: np.ndarray, two: np.ndarray, offsets: np.ndarray):
-        self.offsets = offsets
+    def __init__(self, one: np.ndarray, two: np.ndarray, offsets: np.ndarray, lead: np.ndarray | None = None):
+        self.offsets, self.lead = offsets, lead
         self.n = len(one)
         self.first, self.second = PrefixHash(one, 0), PrefixHash(two, 1)
 
@@ -80,7 +80,9 @@ class Sequences:
     def of_bytes(cls, texts: list[bytes]) -> Sequences:
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
         offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-        return cls(_TABLES[0][data], _TABLES[1][data], offsets)
+        ahead = np.concatenate((data, np.zeros(3, dtype=np.uint8))).astype(np.uint64)
+        lead = sum(ahead[k : k + len(data)] << np.uint64(8 * (3 - k)) for k in range(4)) if len(data) else None
+        return cls(_TABLES[0][data], _TABLES[1][data], offsets, lead)
 
     @classmethod
     def of_words(cls, texts: list[bytes]) -> Sequences:
@@ -94,7 +96,9 @@ class Sequences:
         return cls(one, mix64(one + np.uint64(0xA0761D6478BD642F)), np.searchsorted(starts, bounds).astype(np.int64))
 
     def anchors(self, width: int, gram: int) -> tuple[np.ndarray, ...]:
-        """(text, first window start within it, windows, anchor's distance from it, anchor hash, span hash) of each run of windows with one anchor."""
+        """(text, first window start within it, windows, anchor's distance from it, anchor's name, span hash) of each run of windows with one anchor.
+
+        The name is the hash of the anchor's gram. Of bytes, its upper half is the first four bytes instead, such that signed longs order like texts."""
         none = np.zeros(0, dtype=np.int64)
         if self.n < width:
             return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
@@ -118,7 +122,10 @@ class Sequences:
         text = np.searchsorted(self.offsets, lo, side="right") - 1
         spot = at[lo]
         span = mix64(self.second.of(lo, lo + count - 1 + width) + (count.astype(np.uint64) << np.uint64(32)) + (spot - lo).astype(np.uint64))
-        return text, lo - self.offsets[text], count, spot - lo, grams[spot], span
+        name = grams[spot]
+        if self.lead is not None:
+            name = ((self.lead[spot] ^ np.uint64(1 << 31)) << np.uint64(32)) | (name >> np.uint64(32))
+        return text, lo - self.offsets[text], count, spot - lo, name, span
 
     def blocks(self, start: np.ndarray, count: np.ndarray, ahead: np.ndarray, node: np.ndarray, width: int, size: int) -> tuple[np.ndarray, ...]:
         """Runs (absolute starts) cut into blocks of ``size`` neighbouring windows, aligned to the anchor.

@@ -77,19 +77,68 @@ def test_suffix_index(docs, rows):
 
 def test_suffix_index_matches_between_batches(spark, tmp_path):
     family = suffix_index.IndexFamily(spark, f"file://{tmp_path}")
-    text = "".join(random.Random(1).choice("abcdefgh") for _ in range(900))
+    r = random.Random(1)
+    text = "".join(r.choice("abcdefgh") for _ in range(900))
     batch = lambda i: spark.createDataFrame([(i, text[: 600 + i])], "doc_id long, text string")
     assert family.append(batch(1)).count() == 0
     assert family.append(batch(2)).count() > 0
     assert [level[0] for level in family.levels] == [1]
+    level = [r.node for r in family.levels[0][2].collect()]
+    lead = lambda node: ((node >> 32) + (1 << 31)).to_bytes(4, "big").decode()
+    assert len(level) > 5 and all(lead(node) in text for node in level)
+    assert sorted(level) == sorted(level, key=lambda n: (lead(n), n))
+
+
+def test_no_flag_without_merge_scans(docs, monkeypatch):
+    monkeypatch.setattr(suffix_index.IndexFamily, "_scan", lambda self, new: new.select("node", "leaf", "n", "head").limit(0))
+    assert all(r.n_removed == 0 for r in suffix_index.remove_repeats(docs).collect())
+
+
+@pytest.mark.parametrize("group", [2, 8])
+def test_longer_prefixes_for_large_groups(docs, monkeypatch, group):
+    want = sorted(map(repr, substring_dedup.remove_repeats(docs).collect()))
+    monkeypatch.setattr(substring_dedup, "GROUP", group)
+    monkeypatch.setattr(substring_dedup, "BATCH", 200)
+    assert sorted(map(repr, substring_dedup.remove_repeats(docs).collect())) == want
+
+
+def test_subtree_against_all_windows():
+    r = random.Random(4)
+    spans = [b" ".join(r.choice([b"a", b"b"]) for _ in range(r.randint(6, 30))) for _ in range(60)]
+    group, holder = [r.randrange(3) for _ in spans], [r.randrange(9) for _ in spans]
+    count = [len(s.split()) - 5 for s in spans]
+    first = {}
+    for s, g, h, c in zip(spans, group, holder, count, strict=True):
+        for w in range(c):
+            name = (g, tuple(s.split()[w : w + 6]))
+            first[name] = min(first.get(name, h), h)
+    want = {(i, w) for i, (s, g, h, c) in enumerate(zip(spans, group, holder, count, strict=True)) for w in range(c) if first[g, tuple(s.split()[w : w + 6])] < h}
+    got = substring_dedup.Subtree(spans, 6).repeats(np.array(group), np.array(count), np.array(holder))
+    assert {(i, w) for i, lo, n in zip(*map(np.ndarray.tolist, got), strict=True) for w in range(lo, lo + n)} == want
+
+
+@pytest.mark.parametrize("operator", [substring_dedup.remove_repeats, suffix_index.remove_repeats])
+def test_removal_across_segments(spark, monkeypatch, operator):
+    from quillmask.llm import repeats
 
+    r = random.Random(8)
+    prose = lambda n: " ".join(f"{r.choice('abcdefg')}{r.randrange(900)}" for _ in range(n))
+    shared = prose(900)
+    df = spark.createDataFrame([(1, f"{prose(300)} {shared}"), (2, f"{prose(1000)} {shared} {prose(2000)}"), (3, prose(500))], "doc_id long, text string")
+    whole = sorted(operator(df).collect())
+    monkeypatch.setattr(repeats, "SEGMENT", 1500)
+    assert sorted(operator(df).collect()) == whole and whole[1].n_removed >= 850
 
-def test_segments_of_very_long_texts(docs, rows, monkeypatch):
-    from quillmask.llm import repeats
 
-    whole = sorted(map(repr, map(tuple, suffix_index.remove_repeats(docs).collect())))
-    pieces = [p for _, p in repeats.segments(b"q" * (3 << 20), suffix_index.Shape("byte", 200, 64, "any"))]
-    assert len(pieces) == 3 and all(len(p) <= (1 << 20) + 199 for p in pieces) and whole
+@pytest.mark.parametrize("ids", [None, 7])
+def test_many_rows_of_one_id(spark, ids):
+    r = random.Random(2)
+    texts = [" ".join(f"{r.choice('abcdefg')}{r.randrange(9000)}" for _ in range(90)) for _ in range(400)]
+    df = spark.createDataFrame([(ids, t) for t in texts + texts[:100]], "doc_id long, text string").repartition(4)
+    assert sum(x.n_removed > 0 for x in suffix_index.remove_repeats(df).collect()) == 200
+    assert sum(x.n_removed for x in substring_dedup.remove_repeats(df).collect()) == 0
+    notes = spark.createDataFrame([(ids, f"own {i} line {t[:9]}\nthe same notice stands here in every one") for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sum(x.n_dropped for x in line_templates.template_report(notes).collect()) == 399
 
 
 def test_packing(docs, rows):
@@ -116,15 +165,6 @@ def test_packing(docs, rows):
     assert all(want[k] >= n for k, n in whole.items())
 
 
-@pytest.mark.parametrize("text", ["Hello WORLD's it'll b2b #1!?", "ÉLAN Straße é́ İstanbul ﬁ ²³", "a\x1cb\x85c d e", "x<|endoftext|>y", "日本語 テスト", "naïve___--## 123'456 \U0001f600"])
-def test_tokens_equal_the_library(text):
-    from quillmask.llm.tokens import table
-
-    t = table(queries.tokenizer_path())
-    assert t.exact
-    assert np.frombuffer(t.encode(text), dtype="<u4").tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids
-
-
 def test_ogg(docs, rows):
     got = {(key(r.doc_id), r.payload_sha256): r for r in ogg.media_column(docs, with_media=True).collect()}
     for i, t, *_ in rows:
@@ -224,7 +264,7 @@ def test_line_templates(spark):
     texts = [f"own words number {w} in this one\n{line(i, w)}\nshort line\nthe very same notice stands in all documents" for i, w in enumerate(["ann", "bob", "cy", "dee"])]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(9, None, "y"), (10, "", "z"), (11, "row a b c d\nrow a b c d\nrow a b c d", "q")], "doc_id long, text string, tag string")
     got = {r.doc_id: r for r in line_templates.without_templates(df).collect()}
-    assert [got[i].t_dropped for i in range(4)] == [0, 3, 3, 3] and got[0].text == texts[0] and got[2].text == "short line"
+    assert [got[i].t_dropped for i in range(4)] == [0, 4, 4, 4] and got[0].text == texts[0] and got[2].text == ""
     assert got[9].text is None and got[10].text == "" and got[11].t_dropped == 0 and got[11].tag == "q"
 
 

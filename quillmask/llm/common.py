@@ -31,10 +31,10 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def written(df: DataFrame, base: str, name: str) -> DataFrame:
+def written(df: DataFrame, base: str, name: str, **options: str) -> DataFrame:
     """Write ``df`` below ``base`` and read it back: lineage is cut, lost executors cost nothing."""
     path = f"{base}/{name}"
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -45,6 +45,12 @@ def dropped(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def byte_size(spark: SparkSession, path: str) -> int:
+    """Bytes of a written table."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[tuple[list[list], list[bytes]]]:
     """(rows of the other columns, UTF-8 texts) in groups of about ``limit`` bytes. ``text`` is the last column; null is empty."""
     rows: list[list] = []

@@ -4,9 +4,14 @@ probability of the fraction, drawn from a hash of the seed and doc_id. DataFrame
 Sizes are words. Sources are weighed in code point order (null is a source, last) by a repeating list of weights
 and share a multiple of all words; a target stops at a multiple of its source's words, and what is over is shared
 again by weight. With caps c and weights w the fill level is the largest of (total - caps before) / (weights from
-here on) along rising c / w, so one pass over the (few) sources finds it.
+here on) along rising c / w, so one pass over the sources finds it. Ranks and sums along an order are taken range by
+range, with offsets from the ranges' sums, so sources may be as many as hosts.
 
-Null texts have size 0. A source without words has target 0. Repeated rows draw alike. A null doc_id draws as ''.
+Words are counted before anything meets: rates are broadcast to the documents where their written table is at most
+``BROADCAST`` bytes, else they are joined, and adaptive execution splits a source that holds much of the rows.
+
+An empty table gives an empty one. Null texts have size 0. A source without words has target 0. Repeated rows draw
+alike. A null doc_id draws as ''. Other columns are carried along by ``mixed``, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,28 +19,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmask.llm.common import WORD
+from quillmask.llm.common import WORD, byte_size, shared_dir, written
 
-WEIGHTS = (3, 1, 2)
+WEIGHTS, BROADCAST = (3, 1, 2), 8 << 20
 
 
 def n_words(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def source_rates(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """mix_source, source_size, target, rate: one row per source."""
-    per = docs.select(docs["source"].alias("mix_source"), n_words(docs["text"]).alias("size")).groupBy("mix_source").agg(F.sum("size").alias("source_size"))
-    order, everything = Window.orderBy(F.col("mix_source").asc_nulls_last()), Window.partitionBy()
+def _along(rows: DataFrame, order: list, base: str, name: str, **sums) -> DataFrame:
+    """``rows`` with the sums (name=column) of all rows before each one in ``order``, from ranges that are read in parallel."""
+    ranged = written(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), base, name)
+    totals = ranged.groupBy("range").agg(*[F.sum(c).alias(f"{k}_all") for k, c in sums.items()])
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    totals = totals.select("range", *[F.coalesce(F.sum(f"{k}_all").over(before), F.lit(0)).alias(f"{k}_all") for k in sums])
+    inside = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.join(F.broadcast(totals), "range")
+    return placed.select(*rows.columns, *[(F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"{k}_all")).alias(k) for k, c in sums.items()])
+
+
+def source_rates(sizes: DataFrame, base: str, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """source, source_size, target, rate: one row per source, as a written table. ``sizes``: source, size."""
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    per = per.withColumn("weight", F.get(cycle, F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))))
-    rising = Window.orderBy(F.col("cap") / F.col("weight"), F.col("mix_source").asc_nulls_last())
-    before = rising.rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("cap", F.col("source_size") * F.lit(cap))
-    level = (F.sum("source_size").over(everything) * F.lit(share) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    per = per.withColumn("level", level).withColumn("fill", F.max("level").over(everything))
+    ranked = _along(per, [F.col("source").asc_nulls_last()], base, "by-name", place=F.lit(1))
+    ranked = ranked.select("source", "source_size", F.get(cycle, F.pmod(F.col("place").cast("int"), F.lit(len(weights)))).alias("weight"), (F.col("source_size") * F.lit(cap)).alias("cap"))
+    ranked = ranked.withColumn("steep", F.col("cap") / F.col("weight"))
+    rising = _along(ranked, [F.col("steep"), F.col("source").asc_nulls_last()], base, "by-steepness", caps=F.col("cap"), lighter=F.col("weight"))
+    whole = ranked.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weights"))
+    level = (F.col("words") * F.lit(share) - F.col("caps")) / (F.col("weights") - F.col("lighter"))
+    fill = rising.crossJoin(F.broadcast(whole)).agg(F.max(level).alias("fill"))  # one row each
     target = F.least(F.col("cap"), F.col("fill") * F.col("weight"))
-    return per.select("mix_source", "source_size", target.alias("target"), F.when(F.col("source_size") > 0, target / F.col("source_size")).otherwise(0.0).alias("rate"))
+    rates = ranked.crossJoin(F.broadcast(fill)).select("source", "source_size", target.alias("target"))
+    return written(rates.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), base, "rates")
 
 
 def draw(doc_id, seed: int):
@@ -44,26 +61,37 @@ def draw(doc_id, seed: int):
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def with_copies(docs: DataFrame, seed: int = 7, **how) -> DataFrame:
-    """All columns of ``docs`` and mix_size, source_size, target, copies."""
-    rates = source_rates(docs, **how)
-    joined = docs.join(rates, docs["source"].eqNullSafe(rates["mix_source"]))
-    whole = F.floor(rates["rate"])
-    copies = (whole + (draw(docs["doc_id"], seed) < rates["rate"] - whole).cast("long")).cast("long")
-    return joined.select(*[docs[c] for c in docs.columns], n_words(docs["text"]).alias("mix_size"), rates["source_size"].alias("mix_source_size"), rates["target"].alias("mix_target"), copies.alias("mix_copies"))
+def with_copies(docs: DataFrame, seed: int = 7, carry: tuple[str, ...] | None = None, **how) -> DataFrame:
+    """row (a struct of the columns ``carry``, c0 and so on; all by default), size, source_size, target, copies."""
+    base = shared_dir(docs.sparkSession)
+    carry = tuple(docs.columns) if carry is None else carry
+    size = n_words(docs["text"])
+    if "text" in carry:  # texts are read again rather than written: only sources and sizes are
+        sizes = written(docs.select(docs["source"].alias("source"), size.alias("size")).groupBy("source").agg(F.sum("size").alias("size")), base, "sizes")
+    row = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(carry)])
+    thin = docs.select(row.alias("row"), docs["doc_id"].alias("id"), docs["source"].alias("from"), size.alias("size"))
+    if "text" not in carry:
+        thin = written(thin, base, "sizes")
+        sizes = thin.select(F.col("from").alias("source"), "size")
+    rates = source_rates(sizes, base, **how)
+    few = byte_size(docs.sparkSession, f"{base}/rates") <= BROADCAST
+    joined = thin.join(F.broadcast(rates) if few else rates, thin["from"].eqNullSafe(rates["source"]))
+    whole = F.floor("rate")
+    copies = (whole + (draw(F.col("id"), seed) < F.col("rate") - whole).cast("long")).cast("long")
+    return joined.select("row", thin["size"], "source_size", "target", copies.alias("copies"))
 
 
 def mixed(docs: DataFrame, seed: int = 7, **how) -> DataFrame:
     """The mix itself: each document as often as it is drawn, with the columns of ``docs``."""
-    rows = with_copies(docs, seed, **how).where("mix_copies > 0")
-    return rows.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    rows = with_copies(docs, seed, **how).where("copies > 0")
+    rows = rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return rows.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def mix_report(docs: DataFrame, seed: int = 7, **how) -> DataFrame:
     """doc_id, size, source_size, target, taken."""
-    thin = docs.select(docs["doc_id"], docs["source"], docs["text"])
-    rows = with_copies(thin, seed, **how)
-    return rows.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
+    rows = with_copies(docs, seed, ("doc_id",), **how)
+    return rows.select(F.col("row.c0").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 SQL = r"""

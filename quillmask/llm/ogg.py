@@ -2,10 +2,13 @@
 
 A payload of 8-bit samples is cut into packets of 576 samples, dealt in turn to two logical streams. Each stream
 begins with a header packet on a page of its own; granule positions count the samples up to the end of a packet in
-the whole payload. Reading checks the page checksums and sequence numbers, joins lacing values into packets
-(across pages too), splits streams by serial number and orders packets by their time.
+the whole payload. Reading checks the page checksums, sequence numbers and the flags of a stream's first and last
+page, so that a cut stream is no shorter payload; it joins lacing values into packets (across pages too), splits
+streams by serial number and orders packets by their time.
 
-Null texts are empty. The stored form depends on the text alone, so equal texts give equal values. Any length works.
+Files are stored in a written table and described from what is read back. An empty table gives an empty one. Null
+texts are empty. The stored form depends on the text alone, so equal texts and repeated rows give equal values. Any
+length works. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillmask.llm.common import keyed, real_id, text_chunks
+from quillmask.llm.common import keyed, real_id, shared_dir, text_chunks, written
 
 PACKET = 576
 RATE = 8000
@@ -54,7 +57,7 @@ class _Writer:
         self.lace, self.body, self.granule, self.continued = bytearray(), bytearray(), -1, 0
 
     def flush(self, out: bytearray, flags: int, continues: bool = False) -> None:
-        out += page(flags | self.continued, self.granule, self.serial, self.sequence, bytes(self.lace), bytes(self.body))
+        out += page(flags | self.continued | 2 * (not self.sequence), self.granule, self.serial, self.sequence, bytes(self.lace), bytes(self.body))
         self.sequence += 1
         self.continued = int(continues)
         self.lace, self.body, self.granule = bytearray(), bytearray(), -1
@@ -77,7 +80,7 @@ def mux(payload: bytes) -> bytes:
     out = bytearray()
     for w in writers:
         w.packet(out, b"\x01pcm8" + struct.pack("<II", RATE, PACKET), 0)
-        w.flush(out, 2)
+        w.flush(out, 0)
     view = memoryview(payload)
     for i, at in enumerate(range(0, len(payload), PACKET)):
         piece = view[at : at + PACKET]
@@ -109,7 +112,12 @@ def demux(data: bytes) -> dict[int, list[tuple[bytes, int]]]:
     streams: dict[int, list[tuple[bytes, int]]] = {}
     open_packets: dict[int, bytearray] = {}
     expected: dict[int, int] = {}
+    ended: set[int] = set()
     for flags, granule, serial, sequence, lace, body in pages(data):
+        if bool(flags & 2) != (serial not in expected) or serial in ended:
+            raise OggError(f"stream {serial}: page {sequence} before its first or after its last page")
+        if flags & 4:
+            ended.add(serial)
         if expected.get(serial, 0) != sequence:
             raise OggError(f"stream {serial}: page {sequence} where {expected.get(serial, 0)} is due")
         expected[serial] = sequence + 1
@@ -127,8 +135,8 @@ def demux(data: bytes) -> dict[int, list[tuple[bytes, int]]]:
             open_packets[serial] = part
         if len(packets) > first:
             packets[-1] = (packets[-1][0], granule)
-    if open_packets:
-        raise OggError("a packet doesn't end")
+    if open_packets or ended != expected.keys():
+        raise OggError("a packet or a stream doesn't end")
     return streams
 
 
@@ -172,18 +180,34 @@ _FIELDS = [("doc", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.in
 _SCHEMA = "doc long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def media_column(docs: DataFrame, with_media: bool = False) -> DataFrame:
-    """Store each text as Ogg, read it back, describe it. One narrow step: no shuffle. ``with_media`` adds the file as ``media``."""
-    fields = _FIELDS + [("media", pa.binary())] * with_media
+def stored(docs: DataFrame) -> DataFrame:
+    """doc, n_bytes, media: each text as an Ogg file in a written table."""
 
     def rows(batches):
         for keys, texts in text_chunks(batches):
-            out = []
-            for key, text in zip(keys, texts, strict=True):
-                media = mux(padded(text))
-                payload, said = read_payload(media)
-                out.append([key[0], len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(payload, said), *([media] if with_media else [])])
-            yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+            yield pa.record_batch([pa.array([k[0] for k in keys], pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([mux(padded(t)) for t in texts], pa.binary())], names=["doc", "n_bytes", "media"])
+
+    return written(keyed(docs).mapInArrow(rows, "doc long, n_bytes long, media binary"), shared_dir(docs.sparkSession), "media", compression="zstd")
+
+
+def described(media: DataFrame, with_media: bool = False) -> DataFrame:
+    """What reading the stored files gives. ``with_media`` adds the file as ``media``."""
+    fields = _FIELDS + [("media", pa.binary())] * with_media
 
-    out = keyed(docs).mapInArrow(rows, _SCHEMA + ", media binary" * with_media)
+    def rows(batches):
+        for batch in batches:
+            out = []
+            for doc, n, file in zip(*(batch.column(i) for i in range(3)), strict=True):
+                file = file.as_py()
+                payload, said = read_payload(file)
+                out.append([doc.as_py(), n.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(file), hashlib.sha256(file).hexdigest(), features(payload, said), *([file] if with_media else [])])
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+    out = media.mapInArrow(rows, _SCHEMA + ", media binary" * with_media)
     return out.select(real_id().alias("doc_id"), *[n for n, _ in fields[1:]])
+
+
+def media_column(docs: DataFrame, with_media: bool = False) -> DataFrame:
+    """Store each text as Ogg, read it back, describe it. Two narrow steps: no shuffle."""
+    return described(stored(docs), with_media)

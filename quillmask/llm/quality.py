@@ -1,13 +1,16 @@
 """Quality rules with risk-controlled thresholds. DataFrame functions only.
 
 Base statistics come from each whole text. For each stratum (language) and each rule (a ratio of the statistics)
-a grid of cutoffs is tried on the labelled documents: of n good ones a cutoff rejects k. It is admissible if
-P(Binomial(n, risk) <= k) <= confidence / tests, the exact one-sided test that its false rejection rate is below
-``risk``, corrected for all strata, rules and grid points tried (Bonferroni). The smallest admissible cutoff
-rejects; a rule without one rejects nothing in that stratum.
-
-Null texts have no words. A null language is a stratum. Labels that are null, or whose document is missing, don't
-count; a document labelled twice counts twice. Repeated rows are judged alike.
+a grid of cutoffs, fixed beforehand, is tried on the labelled documents, which are all held out: nothing is fitted on
+them. Of n good ones a cutoff rejects k. It is admissible if P(Binomial(n, risk) <= k) <= confidence / tests, the exact
+one-sided test that its false rejection rate is below ``risk``. Cutoffs are tested from the loosest to the strictest
+until one fails (a looser one rejects no more, so an admissible one has no failure before it); such a fixed sequence
+needs no correction within itself, so tests are the strata times the rules (Bonferroni). The strictest admissible
+cutoff rejects; a rule without one rejects nothing in that stratum.
+
+An empty table gives an empty one; without usable labels only the base rules reject. Null texts have no words. A null
+language is a stratum of its own. Labels that are null, or whose document is missing, don't count; a document labelled
+twice counts twice. Repeated rows are judged alike. Other columns are carried along by ``kept``, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,71 +48,74 @@ def _repeat_words(words: Column) -> Column:
     return let(words, of_words)
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """The columns of ``docs`` and q_n_words, q_word_chars, q_n_symbols, q_n_lines, q_n_dup_lines, q_n_repeat_words, q_stratum."""
+def statistics(docs: DataFrame, *carry: str) -> DataFrame:
+    """row (a struct of the columns ``carry``: c0 and so on), id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, stratum."""
     text = F.coalesce(docs["text"], F.lit(""))
     words = F.regexp_extract_all(text, F.lit(WORD), 0)
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     line_counts = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
     word_counts = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).cast("long").alias("again")))
-    out = docs.withColumns({"q_words": word_counts, "q_lines": line_counts, "q_word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"), "q_n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"), "q_stratum": F.coalesce(docs["lang"], F.lit("(null)"))})
-    return out.select(*[F.col(c) for c in docs.columns], F.col("q_words.n").alias("q_n_words"), "q_word_chars", "q_n_symbols", F.col("q_lines.n").alias("q_n_lines"), F.col("q_lines.dup").alias("q_n_dup_lines"), F.col("q_words.again").alias("q_n_repeat_words"), "q_stratum")
+    row = F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(carry)]) if carry else F.lit(None).cast("string")
+    out = docs.select(
+        row.alias("row"), docs["doc_id"].alias("id"), word_counts.alias("words"), F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
+        (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"), line_counts.alias("lines"), F.coalesce(F.concat(F.lit("="), docs["lang"]), F.lit("")).alias("stratum"),
+    )
+    return out.select("row", "id", F.col("words.n").alias("n_words"), "word_chars", "n_symbols", F.col("lines.n").alias("n_lines"), F.col("lines.dup").alias("n_dup_lines"), F.col("words.again").alias("n_repeat_words"), "stratum")
 
 
 def base_failed() -> Column:
-    return (F.col("q_n_words") < 50) | (100 * F.col("q_n_repeat_words") > 50 * F.col("q_n_words"))
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 def rule_values() -> dict[str, Column]:
     per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
-    return {"symbols": per("q_n_symbols", "q_word_chars"), "dup_lines": per("q_n_dup_lines", "q_n_lines"), "repeats": per("q_n_repeat_words", "q_n_words")}
+    return {"symbols": per("n_symbols", "word_chars"), "dup_lines": per("n_dup_lines", "n_lines"), "repeats": per("n_repeat_words", "n_words")}
 
 
 def cutoffs(stats: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE, grid: int = GRID) -> DataFrame:
-    """q_stratum and a cutoff (null: none) for each rule. ``stats``: doc_id and the statistics of at least the labelled documents."""
+    """stratum and a cutoff (null: none) for each rule. ``stats``: what ``statistics`` gives for at least the labelled documents."""
     l = labels.select(labels["doc_id"].alias("l_id"), labels["quality"].alias("l_quality")).where("l_quality = 1")
-    good = stats.where(~base_failed()).join(l, stats["doc_id"] == F.col("l_id")).select("q_stratum", *[v.alias(k) for k, v in rule_values().items()])
+    good = stats.where(~base_failed()).join(l, stats["id"] == F.col("l_id")).select("stratum", *[v.alias(k) for k, v in rule_values().items()])
     points = F.array(*[F.lit((g + 1) / grid) for g in range(grid)])
     values = F.array(*[F.struct(F.lit(k).alias("rule"), F.col(k).alias("value")) for k in RULES])
-    counted = good.select("q_stratum", F.explode(values).alias("v")).select("q_stratum", "v.rule", F.explode(F.transform(points, lambda p: F.struct(p.alias("cutoff"), (F.col("v.value") > p).cast("long").alias("rejected")))).alias("p"))
-    counted = counted.groupBy("q_stratum", "rule", F.col("p.cutoff").alias("cutoff")).agg(F.count(F.lit(1)).alias("n"), F.sum("p.rejected").alias("k"))
-    sizes = counted.groupBy("q_stratum").agg(F.max("n").alias("n")).withColumn("tests", F.count(F.lit(1)).over(Window.partitionBy()) * F.lit(len(RULES) * grid))
+    counted = good.select("stratum", F.explode(values).alias("v")).select("stratum", "v.rule", F.explode(F.transform(points, lambda p: F.struct(p.alias("cutoff"), (F.col("v.value") > p).cast("long").alias("rejected")))).alias("p"))
+    counted = counted.groupBy("stratum", "rule", F.col("p.cutoff").alias("cutoff")).agg(F.count(F.lit(1)).alias("n"), F.sum("p.rejected").alias("k"))
+    sizes = counted.groupBy("stratum").agg(F.max("n").alias("n")).withColumn("tests", F.count(F.lit(1)).over(Window.partitionBy()) * F.lit(len(RULES)))
     # cumulative binomial probabilities in logarithms, up to the mean: no admissible count lies beyond it
     terms = sizes.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") * F.lit(risk)))))
-    so_far = Window.partitionBy("q_stratum").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+    so_far = Window.partitionBy("stratum").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
     step = F.when(F.col("j") > 0, F.ln((F.col("n") - F.col("j") + 1) / F.col("j"))).otherwise(F.lit(0.0))
     log_term = F.sum(step).over(so_far) + F.col("j") * F.ln(F.lit(risk)) + (F.col("n") - F.col("j")) * F.ln(F.lit(1 - risk))
     terms = terms.withColumn("term", F.exp(log_term)).withColumn("tail", F.sum("term").over(so_far))
-    most = terms.where(F.col("tail") <= F.lit(confidence) / F.col("tests")).groupBy("q_stratum").agg(F.max("j").alias("most"))
-    admitted = counted.join(most, "q_stratum").where("k <= most")
-    return admitted.groupBy("q_stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
-
-
-def verdicts(docs: DataFrame, labels: DataFrame, with_text: bool = True, **how) -> DataFrame:
-    """``docs`` with statistics, q_base_failed and q_kept."""
-    thin = docs.select(docs["doc_id"], docs["lang"], docs["text"])
-    measured = written(statistics(thin).drop("text"), shared_dir(docs.sparkSession), "quality")
-    cuts = cutoffs(measured, labels, **how).withColumnRenamed("q_stratum", "c_stratum")
-    stats = statistics(docs) if with_text else measured
-    joined = stats.join(cuts, F.col("q_stratum") == F.col("c_stratum"), "left")
+    most = terms.where(F.col("tail") <= F.lit(confidence) / F.col("tests")).groupBy("stratum").agg(F.max("j").alias("most"))
+    admitted = counted.join(most, "stratum").where("k <= most")
+    return admitted.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
+
+
+def verdicts(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = (), **how) -> DataFrame:
+    """``statistics`` with base_failed and kept. Each text is measured once: what was measured, and carried, is a written table."""
+    stats = written(statistics(docs, *carry), shared_dir(docs.sparkSession), "measured", compression="zstd")
+    cuts = cutoffs(stats.drop("row"), labels, **how).withColumnRenamed("stratum", "c_stratum")
     passes = ~base_failed()
     for k, v in rule_values().items():
         passes &= F.coalesce(v <= F.col(f"cut_{k}"), F.lit(True))
-    return joined.withColumn("q_base_failed", base_failed()).withColumn("q_kept", passes).drop("c_stratum", *[f"cut_{r}" for r in RULES])
+    joined = stats.join(cuts, F.col("stratum") == F.col("c_stratum"), "left")
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", passes)
 
 
 def kept(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The documents that no rule rejects, with their own columns."""
-    return verdicts(docs, labels, **how).where("q_kept").select(*docs.columns)
+    rows = verdicts(docs, labels, tuple(docs.columns), **how).where("kept")
+    return rows.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    return verdicts(docs, labels, with_text=False, **how).select("doc_id", *[F.col(f"q_{n}").alias(n) for n in names])
+    return verdicts(docs, labels, **how).select(F.col("id").alias("doc_id"), *names)
 
 
 STATS_SQL = r"""
-SELECT doc_id, coalesce(lang, '(null)') AS stratum, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+SELECT doc_id, coalesce('=' || lang, '') AS stratum, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(again, 0)::BIGINT AS n_repeat_words
 FROM (SELECT row_number() OVER () AS rid, doc_id, lang, t, w, l FROM (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents)) d
@@ -123,7 +129,7 @@ WITH stats AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS
 good AS (SELECT stratum, symbols, dup_lines, repeats FROM stats JOIN labels USING (doc_id) WHERE quality = 1 AND NOT base_failed),
 long AS (SELECT stratum, 'symbols' AS rule, symbols AS value FROM good UNION ALL SELECT stratum, 'dup_lines', dup_lines FROM good UNION ALL SELECT stratum, 'repeats', repeats FROM good),
 counted AS (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (value > cutoff) AS k FROM long, (SELECT unnest(range(1, {GRID + 1})) / {GRID}::DOUBLE AS cutoff) GROUP BY ALL),
-sizes AS (SELECT stratum, max(n) AS n, count(*) OVER () * {len(RULES) * GRID} AS tests FROM counted GROUP BY stratum),
+sizes AS (SELECT stratum, max(n) AS n, count(*) OVER () * {len(RULES)} AS tests FROM counted GROUP BY stratum),
 terms AS (SELECT *, sum(CASE WHEN j > 0 THEN ln((n - j + 1) / j) ELSE 0 END) OVER (PARTITION BY stratum ORDER BY j ROWS UNBOUNDED PRECEDING) + j * ln({RISK}::DOUBLE) + (n - j) * ln(1 - {RISK}::DOUBLE) AS log_term
   FROM (SELECT *, unnest(range(0, floor(n * {RISK}::DOUBLE)::BIGINT + 1)) AS j FROM sizes)),
 tails AS (SELECT *, sum(exp(log_term)) OVER (PARTITION BY stratum ORDER BY j ROWS UNBOUNDED PRECEDING) AS tail FROM terms),

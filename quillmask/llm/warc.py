@@ -3,11 +3,16 @@
 Archives are rows of a written table (name, file bytes), so that they live in whatever store the cluster shares, a
 lost task rewrites only its own, and each is bounded: ``ARCHIVE_BYTES`` of payload, or one larger record. A
 monolithic archive is one gzip stream; the normaliser inflates it once, piece by piece, and writes every record as
-its own gzip member with (offset, length) in the index. Readers then fetch single members.
+its own gzip member. The sidecar index is a table of its own (archive, offset, length, record id), sorted by archive
+and offset. Readers fetch single members through it.
 
-Of pages with equal payloads the smallest page_id is stored as response, others as revisits that name it. A null
-payload is empty, a null page_id sorts first and is written as ``null``. Rows that repeat a first page_id are
-responses too. Line breaks in a url are dropped.
+Of pages with equal payloads the smallest page_id is stored as response, others as revisits that name it. Digests are
+grouped without their payloads, so that a page in a third of all rows is one counted digest, and rows learn their
+response by page_id and digest together.
+
+An empty table gives an empty one. A null payload is empty, a null page_id sorts first and is written as ``null``.
+Rows that repeat a first page_id are responses too. Line breaks in a url are dropped. Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -128,8 +133,10 @@ def assigned(pages: DataFrame) -> DataFrame:
     """page, first, url, digest (hex), html: each page with the first page of its payload."""
     p = pages.select(F.coalesce(pages["page_id"].cast("long"), F.lit(NULL_ID)).alias("page"), pages["url"].alias("url"), F.coalesce(pages["html"], F.lit("")).alias("html"))
     p = p.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    first = p.groupBy("digest").agg(F.min("page").alias("first"))
-    return p.join(first, "digest").select("page", "first", "url", "digest", "html")
+    ids = p.select("page", "digest")
+    first = ids.groupBy("digest").agg(F.min("page").alias("first"), F.max("page").alias("last")).where("last > first")
+    revisits = ids.join(first.select("digest", "first"), "digest").where("page > first").distinct()
+    return p.join(revisits, ["page", "digest"], "left").select("page", F.coalesce("first", "page").alias("first"), "url", "digest", "html")
 
 
 def monolithic(assigned_pages: DataFrame) -> DataFrame:
@@ -155,7 +162,7 @@ def monolithic(assigned_pages: DataFrame) -> DataFrame:
 
 
 def normalised(archives: DataFrame) -> DataFrame:
-    """name, data, index: archives with a member for each record, and the sidecar index."""
+    """name, data, index: archives with a member for each record, and where each is."""
     kind = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("record", pa.string())]))
 
     def rows(batches):
@@ -167,32 +174,38 @@ def normalised(archives: DataFrame) -> DataFrame:
     return archives.mapInArrow(rows, "name string, data binary, index array<struct<offset:long,length:long,record:string>>")
 
 
-def read_back(archives: DataFrame) -> DataFrame:
-    """Every record, fetched through the index."""
+def sidecar(members: DataFrame) -> DataFrame:
+    """name, offset, length, record of every member: reads the index alone, not the archives."""
+    return members.select("name", F.explode("index").alias("at")).select("name", "at.*").sortWithinPartitions("name", "offset")
+
+
+def read_back(archives: DataFrame, index: DataFrame) -> DataFrame:
+    """Every record that the index lists, fetched from its archive (name, data)."""
     fields = [("page", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
+    listed = index.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("at"))
 
     def rows(batches):
         for batch in batches:
-            for data, index in zip(batch.column(1), batch.column(2), strict=True):
+            for data, at in zip(batch.column(0), batch.column(1), strict=True):
                 file = data.as_py()
-                out = [parse(b"".join(inflate(file[e["offset"] : e["offset"] + e["length"]]))) for e in index.as_py()]
+                out = [parse(b"".join(inflate(file[e["offset"] : e["offset"] + e["length"]]))) for e in at.as_py()]
                 yield pa.record_batch([pa.array([r[n] for r in out], t) for n, t in fields], names=[n for n, _ in fields])
 
-    out = archives.mapInArrow(rows, "page long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    out = archives.select("name", "data").join(listed, "name").select("data", "at").mapInArrow(rows, "page long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     return out.select(real_id("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", real_id("refers_to").alias("refers_to"))
 
 
-def archived(pages: DataFrame) -> DataFrame:
-    """Write the archives, normalise them, and return the normalised ones as a written table."""
+def archived(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Write the archives, normalise them, and return the normalised ones and their sidecar index as written tables."""
     spark, base = pages.sparkSession, shared_dir(pages.sparkSession)
     whole = written(monolithic(assigned(pages)), base, "monolithic")
-    out = written(normalised(whole), base, "members")
+    members = written(normalised(whole), base, "members")
     dropped(spark, f"{base}/monolithic")
-    return out
+    return members.select("name", "data"), written(sidecar(members), base, "sidecar")
 
 
 def archive_report(pages: DataFrame) -> DataFrame:
-    return read_back(archived(pages))
+    return read_back(*archived(pages))
 
 
 SQL = """

@@ -5,10 +5,12 @@ The tree splits fingerprint space by Hamming distance to vantage points. Its sha
 query to each shard that the triangle inequality can't exclude: a point inside a ball of radius mu with distance d
 can have a partner outside only if d + radius > mu. Only inside points query outwards, so no pair is asked twice.
 In a shard, distances to a further vantage point give a band in which exact distances are computed. Links leave a
-shard as a spanning star per group, not as pairs; global groups are connected components of the stars.
+shard as a spanning star per group, not as pairs; global groups are connected components of the stars. A shard that
+still holds more than ``FULL`` fingerprints gets a vantage point of its own and is split again, as often as it takes.
 
-Equal fingerprints are one node, so thousands of copies cost one row. A null text, or one without words, has
-fingerprint zero and is linked like any other. A null doc_id sorts first.
+Equal fingerprints are one node, so thousands of copies cost one row. An empty table gives an empty one. A null text,
+or one without words, has fingerprint zero and is linked like any other. A null doc_id sorts first. Repeated rows have
+the same result each. Other columns are ignored by ``near_duplicates`` and carried along by ``one_of_each``.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from quillmask.llm.common import NULL_ID, keyed, real_id, shared_dir, text_chunks, written
 from quillmask.llm.components import components
 
-#: Distinct fingerprints that shape the tree, and those a shard should hold.
-SAMPLE, SHARD = 16384, 8192
+#: Distinct fingerprints that shape the first tree, those a shard should hold, and those beyond which it is split again.
+SAMPLE, SHARD, FULL = 16384, 8192, 32768
 _HASH = partial(xxhash.xxh64_intdigest, seed=42)
 _BLOCK = 1 << 16
 
@@ -147,13 +149,41 @@ def shard_stars(fps: np.ndarray, query: np.ndarray, radius: int) -> tuple[np.nda
     return fps[linked], fps[labels[linked]]
 
 
+def split_again(placed: DataFrame, base: str, radius: int) -> DataFrame:
+    """``placed`` (shard, fp, query) with shards of more than ``FULL`` home fingerprints split at vantage points of their own."""
+    turn = 0
+    while True:
+        homes = placed.where("not query")
+        full = homes.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min_by("fp", F.xxhash64("fp")).alias("vantage")).where(F.col("n") > FULL)
+        full = written(full.select("shard", "vantage"), base, f"full-{turn}")
+        if full.isEmpty():
+            return placed
+        away = F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage"))).cast("long")
+        # no median beyond the second largest distance, so that both sides have points
+        middle = homes.join(full, "shard").groupBy("shard", "vantage").agg(F.percentile_approx(away, 0.5).alias("mid"), F.max(away).alias("far"))
+        middle = written(middle.select("shard", "vantage", F.least("mid", F.col("far") - 1).alias("mu")), base, f"middle-{turn}")
+        met = placed.join(middle, "shard", "left").withColumn("d", away)
+        near, reach = F.col("d") <= F.col("mu"), F.col("d") + radius > F.col("mu")
+        sides = F.when(F.col("mu").isNull(), F.array(F.struct(F.col("shard").alias("shard"), F.col("query").alias("query")))).otherwise(
+            F.filter(
+                F.array(
+                    F.struct(F.when(F.when(F.col("query"), F.col("d") <= F.col("mu") + radius).otherwise(near), F.xxhash64("shard", F.lit("in"))).alias("shard"), F.col("query").alias("query")),
+                    F.struct(F.when(F.when(F.col("query"), reach).otherwise(~near | reach), F.xxhash64("shard", F.lit("out"))).alias("shard"), (F.col("query") | near).alias("query")),
+                ),
+                lambda x: x["shard"].isNotNull(),
+            )
+        )
+        placed = written(met.select("fp", F.explode(sides).alias("to")).select("to.shard", "fp", "to.query"), base, f"placed-{turn + 1}")
+        turn += 1
+
+
 def groups(fps: DataFrame, base: str, radius: int = 2) -> DataFrame:
     """fp, root (a fingerprint that names the group), component (its least doc). ``fps``: doc, fp; read more than once."""
     spark = fps.sparkSession
     nodes = written(fps.groupBy("fp").agg(F.min("doc").alias("rep")), base, "nodes")
     n = nodes.count()
     sample = [r[0] for r in nodes.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()]
-    tree = VantageTree(np.array(sample, dtype=np.int64).view(np.uint64), min(SAMPLE // 16, math.ceil(n / SHARD)))
+    tree = VantageTree(np.array(sample, dtype=np.int64).view(np.uint64), min(max(1, len(sample) // 16), math.ceil(n / SHARD)))
     shared = spark.sparkContext.broadcast(tree)  # at most SAMPLE nodes, whatever the input
 
     def route(batches):
@@ -166,7 +196,8 @@ def groups(fps: DataFrame, base: str, radius: int = 2) -> DataFrame:
         u, v = shard_stars(pdf["fp"].to_numpy().view(np.uint64), pdf["query"].to_numpy(dtype=bool), radius)
         return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
-    links = nodes.select("fp").mapInArrow(route, "shard long, fp long, query boolean").groupBy("shard").applyInPandas(stars, "u long, v long")
+    placed = written(nodes.select("fp").mapInArrow(route, "shard long, fp long, query boolean"), base, "placed-0")
+    links = split_again(placed, base, radius).groupBy("shard").applyInPandas(stars, "u long, v long")
     roots = components(links, base).withColumnRenamed("u", "fp")
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component"))

@@ -195,6 +195,7 @@ def test_ogg_packets_continue_over_pages():
 
 def test_simhash(docs, rows, monkeypatch):
     monkeypatch.setattr(simhash, "SHARD", 4)
+    monkeypatch.setattr(simhash, "FULL", 6)
     fps = [(key(i), simhash.fingerprint((t or "").encode())) for i, t, *_ in rows]
     nodes = sorted(set(f for _, f in fps))
     root = {f: f for f in nodes}
@@ -218,6 +219,21 @@ def test_simhash(docs, rows, monkeypatch):
     assert kept == {min(v) for v in least.values()}
 
 
+def test_full_shards_are_split_again(spark, monkeypatch, tmp_path):
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 63, 400, dtype=np.uint64)
+    near = base ^ (np.uint64(1) << r.integers(0, 63, 400, dtype=np.uint64)) ^ (np.uint64(1) << r.integers(0, 63, 400, dtype=np.uint64))
+    fps = np.unique(np.concatenate((base, near))).view(np.int64).tolist()
+    df = spark.createDataFrame(list(enumerate(fps)), "doc long, fp long")
+    want = {x.fp: x.component for x in simhash.groups(df, f"file://{tmp_path}/a").collect()}
+    assert len(set(want.values())) < 420
+    for name, value in (("SAMPLE", 64), ("FULL", 20)):
+        monkeypatch.setattr(simhash, name, value)
+    assert {x.fp: x.component for x in simhash.groups(df, f"file://{tmp_path}/b").collect()} == want
+    placed = simhash.split_again(df.selectExpr("0L AS shard", "fp", "false AS query"), f"file://{tmp_path}/c", 2)
+    assert placed.where("not query").groupBy("shard").count().where("count > 20").isEmpty() and placed.where("not query").count() == len(fps)
+
+
 def test_vantage_tree_misses_no_link():
     r = np.random.default_rng(3)
     base = r.integers(0, 1 << 63, 300, dtype=np.uint64)

@@ -160,9 +160,60 @@ def test_packing(docs, rows):
             assert offset == at
             at += length
         assert at <= 4096
-    assert sum(p.length for p in got) == sum(len(b) // 4 * n for (_, b), n in want.items())
-    whole = collections.Counter((key(p.doc_id), bytes(p.ids)) for p in got if p.length == p.doc_tokens)
-    assert all(want[k] >= n for k, n in whole.items())
+    # every id once
+    covered = collections.Counter()
+    for p in got:
+        for k in range(p.length):
+            covered[key(p.doc_id), p.doc_tokens, p.start + k, bytes(p.ids)[4 * k : 4 * k + 4]] += 1
+    due = collections.Counter()
+    for (i, b), n in want.items():
+        for k in range(len(b) // 4):
+            due[i, len(b) // 4, k, b[4 * k : 4 * k + 4]] += n
+    assert covered == due
+    assert len(by_sequence) * 4096 - sum(p.length for p in got) < 4096 * 2
+
+
+def test_packing_places_and_balances(spark):
+    path = queries.tokenizer_path()
+    r = random.Random(3)
+    topics = [[f"{a}{b}" for b in "mnop"] for a in ("whale", "tax", "piano", "violet", "engine", "harbor")]
+    rows = [(i, " ".join(r.choice(topics[i % 6]) for _ in range(r.randint(5, 60)))) for i in range(600)] + [(1000 + i, "") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tokens = packing.tokenised(df, path, 2)
+    sizes = [x["s"] for x in packing.placed(tokens, 5000).groupBy("shard").agg({"n": "sum"}).withColumnRenamed("sum(n)", "s").collect()]
+    assert 10 < len(sizes) and max(sizes) < 9000
+    got = packing.packed(df, path, shard_tokens=5000).collect()
+    assert sorted({p.doc_id for p in got}) == sorted(i for i, _ in rows) and sum(p.length for p in got) == tokens.agg({"n": "sum"}).first()[0]
+
+
+def test_bm25_against_brute_force():
+    r = np.random.default_rng(2)
+    docs = [r.integers(0, 60, r.integers(0, 40)) for _ in range(80)]
+    index, mean = packing.ShardIndex(docs), np.mean([len(d) for d in docs])
+    for used in (3, 9, 40, *range(50, 79)):
+        index.use(used)
+    for seed in (0, 3, 17):
+        want = np.zeros(len(docs))
+        for t in set(docs[seed].tolist()):
+            df = sum(t in d for d in docs)
+            idf = max(0.0, np.log((len(docs) - df + 0.5) / (df + 0.5)))
+            for i, d in enumerate(docs):
+                tf = (d == t).sum()
+                if df > 1 and index.unused[i]:
+                    want[i] += idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+        assert np.allclose(index.scores(seed), want, rtol=1e-4)
+        order = list(index.neighbours(seed))
+        assert sorted(order) == np.flatnonzero(want > 0).tolist() and all(want[a] >= want[b] - 1e-4 for a, b in zip(order, order[1:], strict=False))
+
+
+def test_windows_are_filled_with_neighbours_of_their_seed():
+    r = random.Random(7)
+    docs = [np.array([100 * (i % 5) + r.randrange(40) for _ in range(50)] + [2]) for i in range(100)]
+    pieces = packing.pack_shard(0, list(range(100)), docs, 510)
+    kinds = collections.defaultdict(set)
+    for p in pieces:
+        kinds[p[5]].add(p[0] % 5)
+    assert sum(len(k) for k in kinds.values()) <= 1.6 * len(kinds)
 
 
 def test_ogg(docs, rows):

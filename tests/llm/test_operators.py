@@ -311,6 +311,55 @@ def test_toxicity_restores_disguises():
         assert scorer.score(t.encode()) < 0.5, t
 
 
+def test_restorations_against_all_paths():
+    r = random.Random(9)
+    counts = {k: r.randrange(60) for k in range(28**3)}
+    lm = toxicity.language_model(counts)
+
+    def paths(token):
+        runs = [len(m.group()) for m in toxicity._RUN.finditer(token) for _ in m.group()]
+        have = [(0.0, "", (0, 0))]
+        for c, run in zip(token, runs, strict=True):
+            new = []
+            for cost, said, (p, q) in have:
+                for x, price in ({c: 0.0} if c.isalpha() else toxicity.READINGS.get(c, {"": 2.0})).items():
+                    if x:
+                        k = toxicity._letter(x)
+                        new.append((cost + price + lm[p, q, k], said + x, (q, k)))
+                        if said[-1:] == x and run > 1:
+                            new.append((cost + price + (0.3 if run > 2 else 3.0), said, (p, q)))
+                    else:
+                        new.append((cost + price, said, (p, q)))
+            have = new
+        best = {}
+        for cost, said, (p, q) in have:
+            best[said] = min(cost + lm[p, q, 0], best.get(said, 1e9))
+        return [w for w, _ in sorted(best.items(), key=lambda x: x[1])[: toxicity.BEST]]
+
+    for token in ["1d10t", "h3ll0", "a**b*", "loooser", "$h!t*", "éé1+", "|+|(#)", "****", "b!!!g"]:
+        assert toxicity.restorations(token, lm) == paths(token), token
+    assert len(toxicity.restorations("ab*1" * 2000, lm)) == toxicity.BEST
+
+
+def test_character_model_counts_characters(spark):
+    df = spark.createDataFrame([(1, "é日b"), (2, None)], "doc_id long, text string")
+    n = {x.code: x.n for x in toxicity.trigrams(df).collect()}
+    assert n[(27 * 28 + 27) * 28 + 2] == 1 and sum(n.values()) <= 8
+
+
+def test_toxicity_fit_in_executors_equals_fit_in_one_place(spark):
+    r = random.Random(1)
+    rows = [(i, f"you {r.choice(['idi0t', 'moron', 'l.o.s.e.r'])} go away {i}" if i % 4 == 0 else f"kind words number {i} and more {r.random()}") for i in range(400)]
+    df = spark.createDataFrame(rows + rows[:50], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), 1) for i, _ in rows for _ in range(1 + (i % 9 == 0))], "doc_id long, toxic int, quality int")
+    made = toxicity.fitted(df, labels)
+    train = sorted({(t.encode(), int(i % 4 == 0)) for i, t in rows if zlib.crc32(str(i).encode()) % 5})
+    plain = toxicity.Scorer(made.lm).fit(train)
+    assert made.weights == plain.weights and np.allclose(made.beta, plain.beta)
+    got = toxicity.scored(df, labels).collect()
+    assert all((x.predicted == 1) == (x.doc_id % 4 == 0) for x in got if x.held_out) and sum(x.held_out for x in got) > 50
+
+
 def test_toxicity_held_out(spark, data):
     docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
     rows = toxicity.scored(docs, labels).collect()

@@ -83,8 +83,12 @@ def runs(docs: DataFrame, shape: Shape) -> DataFrame:
 
 
 def leaves(run_rows: DataFrame) -> DataFrame:
-    """One row per leaf, collapsed map-side: occurrences, and the holder that comes first."""
-    return run_rows.groupBy("node", "leaf").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "tag", "at")).alias("head"))
+    """One row per leaf, collapsed map-side: occurrences, the least doc of its holders, and one of them (all have the same symbols there)."""
+    return run_rows.groupBy("node", "leaf").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("head_doc"), *[F.first(c).alias(f"its_{c}") for c in ("doc", "tag", "at")])
+
+
+#: The columns of a leaf's holder, as those of a run.
+HOLDER = [f"its_{c} AS {c}" for c in ("doc", "tag", "at")]
 
 
 def zipped(docs: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmask.llm.common import dropped, real_id, shared_dir, written
-from quillmask.llm.repeats import Shape, block_rows, covered, judged, leaves, located, opened, runs, spot_columns, unpacked
+from quillmask.llm.repeats import HOLDER, Shape, block_rows, covered, judged, leaves, located, opened, runs, spot_columns, unpacked
 
 #: Leaves of a prefix that a subtree may have, words of the subtrees built at a time, and windows of a longer prefix.
 GROUP, BATCH, LONGER = 2048, 1 << 18, (8, 1)
@@ -82,18 +82,18 @@ def shape(width: int = 50, gram: int = 10) -> Shape:
 
 
 def _span_rows(s: Shape):
-    """node, leaf, holder, count, span: the words that each listed run (node, leaf, at) of a text covers."""
+    """node, leaf, holder, count, span: the words that each listed run (node, leaf, head_doc, at) of a text covers."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for doc, _, spots, z in zip(*(batch.column(i) for i in range(4)), strict=True):
+            for spots, z in zip(batch.column(2), batch.column(3), strict=True):
                 spot = spot_columns(spots)
                 start, count, _ = unpacked(spot["at"])
                 for base, piece, here in located(unpack.decompress(z.as_py()), s, start, count):
                     words = piece.split()
                     spans = [b" ".join(words[a : a + c - 1 + s.width]) for a, c in zip((start[here] - base).tolist(), count[here].tolist(), strict=True)]
-                    yield pa.record_batch([pa.array(spot["node"][here]), pa.array(spot["leaf"][here]), pa.array(np.full(len(spans), doc.as_py(), dtype=np.int64)), pa.array(count[here]), pa.array(spans, pa.binary())], names=["node", "leaf", "holder", "count", "span"])
+                    yield pa.record_batch([pa.array(spot["node"][here]), pa.array(spot["leaf"][here]), pa.array(spot["head_doc"][here]), pa.array(count[here]), pa.array(spans, pa.binary())], names=["node", "leaf", "holder", "count", "span"])
 
     return rows
 
@@ -129,15 +129,15 @@ def repeated_runs(docs: DataFrame, width: int = 50, gram: int = 10) -> tuple[Dat
     for k, size in enumerate((*LONGER, 0)):
         leaf_rows = written(leaves(run_rows), base, f"leaves-{k}")
         prefixes = leaf_rows.groupBy("node").agg(F.sum("n").alias("node_n"), F.count(F.lit(1)).alias("n_leaves")).where("node_n > 1")
-        branch = written(leaf_rows.join(prefixes, "node").select("node", "leaf", "n_leaves", "head"), base, f"branch-{k}")
+        branch = written(leaf_rows.join(prefixes, "node").drop("n", "node_n"), base, f"branch-{k}")
         dropped(spark, f"{base}/leaves-{k}")
-        met = run_rows.join(branch, ["node", "leaf"]).select("node", "leaf", "doc", "tag", "at", "n_leaves", F.col("head.doc").alias("head_doc"))
+        met = run_rows.join(branch, ["node", "leaf"]).select("node", "leaf", "doc", "tag", "at", "n_leaves", "head_doc")
         # of a leaf's holders the later ones lose all; the first's windows are looked up below the prefix
         met = written(met.where((F.col("doc") > F.col("head_doc")) | (F.col("n_leaves") > 1)), base, f"met-{k}")
         first = met.where("doc = head_doc")
         flagged = met.where("doc > head_doc").select("doc", "tag", "at")
         if size:
-            grouped = branch.where(F.col("n_leaves").between(2, GROUP)).select("head.doc", "head.tag", "node", "leaf", "head.at")
+            grouped = branch.where(F.col("n_leaves").between(2, GROUP)).selectExpr("node", "leaf", "head_doc", *HOLDER)
             spans = opened(docs, grouped).mapInArrow(_span_rows(s), "node long, leaf long, holder long, count long, span binary")
             trees = spans.repartition("node").sortWithinPartitions("node").mapInArrow(_tree_rows(s, BATCH), "node long, leaf long, lo long, windows long")
             run = F.shiftright("at", 16) + F.col("lo")

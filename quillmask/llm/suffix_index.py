@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmask.llm.common import dropped, real_id, shared_dir, written
-from quillmask.llm.repeats import Shape, block_rows, covered, judged, leaves, opened, runs
+from quillmask.llm.repeats import HOLDER, Shape, block_rows, covered, judged, leaves, opened, runs
 
 #: Windows of the blocks in which matched entries are compared, step by step.
 BLOCKS = (16, 1)
@@ -35,7 +35,7 @@ BLOCKS = (16, 1)
 
 def _merged(rows: list[DataFrame], count=F.sum) -> DataFrame:
     """Entries of several arrays as one each."""
-    return reduce(DataFrame.unionByName, rows).groupBy("node", "leaf").agg(count("n").alias("n"), F.min("head").alias("head"))
+    return reduce(DataFrame.unionByName, rows).groupBy("node", "leaf").agg(count("n").alias("n"), *[F.first(c).alias(c) for c in ("its_doc", "its_tag", "its_at")])
 
 
 class IndexFamily:
@@ -53,19 +53,23 @@ class IndexFamily:
         name = f"level-{self.serial}-rank-{rank}"
         return rank, name, written(rows.sortWithinPartitions("node", "leaf"), self.base, name)
 
-    def _scan(self, new: DataFrame) -> DataFrame:
+    def _scan(self, new: DataFrame, turn: int) -> DataFrame:
         """The merge scan: entries of the new level and of the existing ones whose prefixes match, with their occurrences in both."""
-        prefixes = new.select("node").distinct()
-        there = [old.join(prefixes, "node", "left_semi") for _, _, old in self.levels]
-        met = _merged([new, *there])
-        matched = met.groupBy("node").agg(F.sum("n").alias("node_n")).where("node_n > 1")
-        return met.join(matched, "node").select("node", "leaf", "n", "head")
+        prefixes = new.groupBy("node").agg(F.sum("n").alias("node_n"))
+        twice = prefixes.where("node_n > 1").select("node")
+        if not self.levels:
+            return new.join(twice, "node", "left_semi")
+        there = [old.join(new.select("node"), "node", "left_semi") for _, _, old in self.levels]
+        old = written(reduce(DataFrame.unionByName, there), self.base, f"met-{turn}")
+        return _merged([new.join(twice.union(old.select("node")), "node", "left_semi"), old])
 
     def append(self, docs: DataFrame) -> DataFrame:
         """Index a batch; returns its matches with itself and with what was there before."""
-        new = self._level(0, leaves(runs(docs, self.shape)))
-        hits = written(self._scan(new[2]), self.base, f"matches-{len(self.matches)}")
+        turn = len(self.matches)
+        new = self._level(0, leaves(runs(docs, self.shape)).drop("head_doc"))
+        hits = written(self._scan(new[2], turn), self.base, f"matches-{turn}")
         self.matches.append(hits)
+        dropped(self.spark, f"{self.base}/met-{turn}")
         while self.levels and self.levels[-1][0] == new[0]:
             old = self.levels.pop()
             joined = self._level(new[0] + 1, _merged([old[2], new[2]]))
@@ -76,7 +80,7 @@ class IndexFamily:
         return hits
 
     def matched(self) -> DataFrame:
-        """All entries that a scan matched: node, leaf, n (over 1: the entry itself recurs), head, n_leaves (entries of its prefix)."""
+        """All entries that a scan matched: node, leaf, n (over 1: the entry itself recurs), a holder, n_leaves (entries of its prefix)."""
         # a scan counts occurrences so far, so the last one has most; an entry that comes twice is in some scan as two
         entries = _merged(self.matches, F.max)
         return entries.join(entries.groupBy("node").agg(F.count(F.lit(1)).alias("n_leaves")), "node")
@@ -99,16 +103,14 @@ def repeated_runs(docs: DataFrame, width: int = 200, gram: int = 64, batches: in
     family.close()
     entries, run_rows, found = family.matched(), runs(docs, s), None
     for k, size in enumerate((*BLOCKS, 0)):
-        branch = written(entries.select("node", "leaf", "n", "n_leaves", "head"), base, f"branch-{k}")
-        met = run_rows.join(branch, ["node", "leaf"]).select("node", "doc", "tag", "at", "n", "n_leaves", "head")
-        holder = (F.col("doc") == F.col("head.doc")) & (F.col("tag") == F.col("head.tag")) & (F.col("at") == F.col("head.at"))
-        met = written(met.where((F.col("n") > 1) | holder).withColumn("holder", holder).drop("head"), base, f"met-{k}")
+        branch = written(entries.select("node", "leaf", "n", "n_leaves", "its_doc", "its_tag", "its_at"), base, f"branch-{k}")
+        # an entry that recurs loses all its windows; of each other one the holder's are compared, with those of all entries
+        listed = written(branch.where("n_leaves > 1").selectExpr("node", *HOLDER), base, f"listed-{k}")
+        met = written(run_rows.join(branch.where("n > 1").select("node", "leaf"), ["node", "leaf"], "left_semi").select("doc", "tag", "at"), base, f"met-{k}")
         dropped(spark, f"{base}/branch-{k}")
-        flagged = met.where("n > 1").select("doc", "tag", "at")
-        found = flagged if found is None else found.unionByName(flagged)
+        found = met if found is None else found.unionByName(met)
         if not size:
             break
-        listed = met.where("holder and n_leaves > 1").select("doc", "tag", "node", "at")
         run_rows = written(opened(docs, listed).mapInArrow(block_rows(s, size), run_rows.schema), base, f"opened-{k}")
         rows = leaves(run_rows)
         prefixes = rows.groupBy("node").agg(F.sum("n").alias("node_n"), F.count(F.lit(1)).alias("n_leaves")).where("node_n > 1")

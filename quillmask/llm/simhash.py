@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmask.llm.common import NULL_ID, keyed, real_id, shared_dir, text_chunks, written
+from quillmask.llm.common import NULL_ID, keyed, real_id, shared_dir, tagged, text_chunks, written
 from quillmask.llm.components import components
 
 #: Distinct fingerprints that shape the first tree, those a shard should hold, and those beyond which it is split again.
@@ -212,11 +212,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     return out.select(real_id().alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), real_id("component").alias("component_id"))
 
 
-def marked(docs: DataFrame) -> DataFrame:
-    """doc, tag (a hash of the text), text."""
-    return keyed(docs, "text").toDF("doc", "tag", "text").withColumn("tag", F.xxhash64("tag"))
-
-
 def representatives(docs: DataFrame, placed: DataFrame) -> DataFrame:
     """One row of ``docs`` per component of ``placed`` (doc, tag, component): ties go by doc, tag, then a hash of the row."""
     kept = placed.groupBy("component").agg(F.min(F.struct("doc", "tag")).alias("kept")).select(F.col("kept.doc").alias("kept_doc"), F.col("kept.tag").alias("kept_tag"))
@@ -235,6 +230,6 @@ def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame
             fps = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.record_batch([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(fps)], names=["doc", "tag", "fp"])
 
-    fps = written(marked(docs).mapInArrow(rows, "doc long, tag long, fp long"), base, "fingerprints")
+    fps = written(tagged(docs).mapInArrow(rows, "doc long, tag long, fp long"), base, "fingerprints")
     placed = fps.join(groups(fps.select("doc", "fp"), base, radius).select("fp", "root"), "fp")
     return representatives(docs, placed.select("doc", "tag", F.col("root").alias("component")))

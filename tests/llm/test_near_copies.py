@@ -3,7 +3,10 @@
 import itertools
 import random
 
+import pytest
+
 import corpus_pipeline
+from quillmask.llm import near_copies
 
 
 def shingles(text):
@@ -11,7 +14,9 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 5 else ({tuple(w)} if w else set())
 
 
-def test_edited_copies_are_one_group(spark):
+@pytest.mark.parametrize("chunk", [2 << 20, 3000])
+def test_edited_copies_are_one_group(spark, monkeypatch, chunk):
+    monkeypatch.setattr(near_copies, "CHUNK", chunk)
     r = random.Random(11)
     words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(900)]
     texts = [" ".join(r.choice(words) for _ in range(160)) for _ in range(12)]

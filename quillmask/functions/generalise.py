@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmask.functions.temporal import as_date, clock_seconds
-from quillmask.functions.text import fnv1a, number, numeric_token, trimmed
+from quillmask.functions.text import fnv1a, let, number, numeric_token, trimmed
 
 LEVELS = ("LOW", "MEDIUM", "HIGH")
 # Widths and counts for LOW, MEDIUM, HIGH.
@@ -44,12 +44,17 @@ def _band(lower: Column, upper: Column) -> Column:
 
 
 def generalised(c: Column, column: str = "", detected: str = "UNKNOWN", strategy: str = "AUTO", level: str = "MEDIUM", layout: str = "YMD") -> Column:
+    chosen = strategy_for(column, detected, strategy)
+    numeric = chosen in ("AGE_BAND", "NUMERIC_BAND")
+    return let(trimmed(c), lambda t: let(F.struct(t.alias("t"), (number(t) if numeric else F.lit(None).cast("double")).alias("x")), lambda p: _coarser(p["t"], p["x"], chosen, column, detected, level, layout)))
+
+
+def _coarser(t: Column, x: Column, chosen: str, column: str, detected: str, level: str, layout: str) -> Column:
+    """The coarser form of a trimmed cell ``t``, of which ``x`` is the number."""
     at = LEVELS.index(level) if level in LEVELS else 1
-    t, chosen = trimmed(c), strategy_for(column, detected, strategy)
     width = TEXT_WIDTHS[at]
     lower = F.floor(F.greatest(F.lit(1), F.length(t) - 1) / width) * width + 1
     by_length = F.concat(F.lit("Text length "), _band(lower, lower + width - 1))
-    x = number(t)
     if chosen == "AGE_BAND":
         low = F.floor(x / AGE_WIDTHS[at]) * AGE_WIDTHS[at]
         out = F.when(x.isNotNull(), _band(low, low + AGE_WIDTHS[at] - 1)).otherwise(by_length)

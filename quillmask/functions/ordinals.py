@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_rank(df: DataFrame, value: str, ties: list[str], name: str, buckets: int = 64) -> DataFrame:
-    """``name``: 1-based rank by a numeric column and ties. Ranges come from approximate quantiles, offsets from their counts."""
-    bounds = df.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 10000)).first()[0]
+def with_rank(df: DataFrame, value: str, ties: list[str], name: str, rows_of_range: int = 1 << 20) -> DataFrame:
+    """``name``: 1-based rank by a numeric column and ties. Ranges come from approximate quantiles, offsets from their counts.
+
+    There is a range for about ``rows_of_range`` rows, 64 at least."""
+    buckets = max(64, df.count() // rows_of_range)
+    bounds = df.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], max(10000, 10 * buckets))).first()[0]
     if not bounds:
         return df.withColumn(name, F.lit(None).cast("long"))
     edges = F.array(*[F.lit(b) for b in sorted(set(bounds))])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillmask.functions.text import trimmed
+from quillmask.functions.text import let, trimmed
 
 _DATE = {
     "YMD": (r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})(.*)$", (1, 3, 4)),
@@ -21,13 +21,21 @@ def _year(digits: Column) -> Column:
 
 
 def date_parts(c: Column, layout: str = "YMD") -> Column:
-    """struct(year, month, day, separator, widths, suffix), or null where no real date stands."""
-    t = trimmed(c)
-    pattern, (yi, mi, di) = _DATE[layout]
-    g = lambda i: F.regexp_extract(t, pattern, i)
-    year, month, day = _year(g(yi)), g(mi).try_cast("int"), g(di).try_cast("int")
-    real = t.rlike(pattern) & month.between(1, 12) & (day >= 1) & (day <= F.dayofmonth(F.last_day(F.make_date(year, F.least(F.greatest(month, F.lit(1)), F.lit(12)), F.lit(1)))))
-    return F.when(real, F.struct(year.alias("year"), month.alias("month"), day.alias("day"), g(2).alias("separator"), F.length(g(yi)).alias("year_width"), F.length(g(mi)).alias("month_width"), F.length(g(di)).alias("day_width"), g(5).alias("suffix")))
+    """struct(year, month, day, date, separator, widths, suffix), or null where no real date stands."""
+    pattern, at = _DATE[layout]
+
+    def cut(t: Column) -> Column:
+        g = lambda i: F.regexp_extract(t, pattern, i)
+        return F.struct(*[g(i).alias(k) for k, i in zip(("y", "m", "d"), at, strict=True)], g(2).alias("separator"), g(5).alias("suffix"))
+
+    def read(p: Column) -> Column:
+        year, month, day = _year(p["y"]), p["m"].try_cast("int"), p["d"].try_cast("int")
+        # null where there is no such day
+        date = F.try_to_timestamp(F.format_string("%04d-%02d-%02d", year, month, day)).cast("date")
+        widths = [F.length(p[k]).alias(f"{name}_width") for k, name in (("y", "year"), ("m", "month"), ("d", "day"))]
+        return F.struct(year.alias("year"), month.alias("month"), day.alias("day"), F.when(p["y"] != "", date).alias("date"), p["separator"].alias("separator"), *widths, p["suffix"].alias("suffix"))
+
+    return let(let(let(trimmed(c), cut), read), lambda p: F.when(p["date"].isNotNull(), p))
 
 
 def inferred_layout(dmy_days: int, mdy_days: int) -> str:
@@ -36,52 +44,71 @@ def inferred_layout(dmy_days: int, mdy_days: int) -> str:
 
 
 def as_date(c: Column, layout: str = "YMD") -> Column:
-    p = date_parts(c, layout)
-    return F.when(p.isNotNull(), F.make_date(p["year"], p["month"], p["day"]))
+    return date_parts(c, layout)["date"]
 
 
 def shifted_date(c: Column, days: int | Column, layout: str = "YMD") -> Column:
     """The date ``days`` later, written with the same layout, separators, widths and trailing text; other cells as they are."""
-    p = date_parts(c, layout)
-    d = F.date_add(as_date(c, layout), days)
-    pad = lambda v, w: F.lpad(v.cast("string"), F.greatest(F.length(v.cast("string")), w), F.lit("0"))
-    year = F.when(p["year_width"] == 2, F.lpad((F.year(d) % 100).cast("string"), 2, "0")).otherwise(F.lpad(F.year(d).cast("string"), 4, "0"))
-    parts = {"y": year, "m": pad(F.month(d), p["month_width"]), "d": pad(F.dayofmonth(d), p["day_width"])}
     order = {"YMD": "ymd", "DMY": "dmy", "MDY": "mdy"}[layout]
-    first, second, third = (parts[k] for k in order)
-    return F.when(p.isNotNull(), F.concat(first, p["separator"], second, p["separator"], third, p["suffix"])).otherwise(c)
+
+    def written(p: Column) -> Column:
+        d = F.date_add(p["date"], days)
+        pad = lambda v, w: F.lpad(v.cast("string"), F.greatest(F.length(v.cast("string")), w), F.lit("0"))
+        year = F.when(p["year_width"] == 2, F.lpad((F.year(d) % 100).cast("string"), 2, "0")).otherwise(F.lpad(F.year(d).cast("string"), 4, "0"))
+        parts = {"y": year, "m": pad(F.month(d), p["month_width"]), "d": pad(F.dayofmonth(d), p["day_width"])}
+        first, second, third = (parts[k] for k in order)
+        return F.when(p.isNotNull(), F.concat(first, p["separator"], second, p["separator"], third, p["suffix"]))
+
+    return F.coalesce(let(date_parts(c, layout), written), c)
+
+
+def _clock(t: Column) -> Column:
+    """struct of a clock's parts and its seconds of the day (null where no time stands). ``t`` is trimmed."""
+
+    def cut(t: Column) -> Column:
+        g = lambda i: F.regexp_extract(t, _CLOCK, i)
+        return F.struct(g(1).alias("h"), g(2).alias("m"), g(3).alias("s"), g(4).alias("fraction"), g(5).alias("half"), g(6).alias("rest"), t.rlike(r"\s[AaPp][Mm]").alias("spaced"))
+
+    def read(p: Column) -> Column:
+        h, m, s, half = p["h"].try_cast("int"), p["m"].try_cast("int"), F.coalesce(p["s"].try_cast("int"), F.lit(0)), F.upper(p["half"])
+        h24 = F.when(half == "", h).when(half == "AM", h % 12).otherwise(h % 12 + 12)
+        real = (h24 < 24) & (m < 60) & (s < 60) & ((half == "") | h.between(1, 12))
+        return F.struct(p.alias("parts"), F.when(real, h24 * 3600 + m * 60 + s).alias("seconds"))
+
+    return let(let(t, cut), read)
 
 
 def clock_seconds(c: Column) -> Column:
     """Seconds of the day, or null."""
-    t = trimmed(c)
-    g = lambda i: F.regexp_extract(t, _CLOCK, i)
-    h, m, s = g(1).try_cast("int"), g(2).try_cast("int"), F.coalesce(g(3).try_cast("int"), F.lit(0))
-    half = F.upper(g(5))
-    h24 = F.when(half == "", h).when(half == "AM", h % 12).otherwise(h % 12 + 12)
-    return F.when(t.rlike(_CLOCK) & (h24 < 24) & (m < 60) & (s < 60) & ((half == "") | h.between(1, 12)), h24 * 3600 + m * 60 + s)
+    return _clock(trimmed(c))["seconds"]
 
 
 def shifted_time(c: Column, minutes: int) -> Column:
     """The time of day ``minutes`` later, around midnight, written as before."""
-    t = trimmed(c)
-    s = F.pmod(clock_seconds(c) + F.lit(minutes * 60), F.lit(86400))
-    g = lambda i: F.regexp_extract(t, _CLOCK, i)
-    half, hour = g(5), F.floor(s / 3600).cast("int")
-    shown = F.when(half == "", hour).otherwise(F.pmod(hour + 11, F.lit(12)) + 1)
-    two = lambda v: F.lpad(v.cast("int").cast("string"), 2, "0")
-    mark = F.when(half == "", "").when(half == F.lower(half), F.when(hour < 12, "am").otherwise("pm")).otherwise(F.when(hour < 12, "AM").otherwise("PM"))
-    space = F.when((half != "") & t.rlike(r"\s[AaPp][Mm]"), " ").otherwise("")
-    head = F.when(F.length(g(1)) == 2, two(shown)).otherwise(shown.cast("string"))
-    seconds = F.when(g(3) != "", F.concat(F.lit(":"), two(s % 60))).otherwise("")
-    return F.when(s.isNotNull(), F.concat(head, F.lit(":"), two(F.floor(s % 3600 / 60)), seconds, g(4), space, mark, g(6))).otherwise(c)
+
+    def written(x: Column) -> Column:
+        p, s = x["parts"], F.pmod(x["seconds"] + F.lit(minutes * 60), F.lit(86400))
+        half, hour = p["half"], F.floor(s / 3600).cast("int")
+        shown = F.when(half == "", hour).otherwise(F.pmod(hour + 11, F.lit(12)) + 1)
+        two = lambda v: F.lpad(v.cast("int").cast("string"), 2, "0")
+        mark = F.when(half == "", "").when(half == F.lower(half), F.when(hour < 12, "am").otherwise("pm")).otherwise(F.when(hour < 12, "AM").otherwise("PM"))
+        space = F.when((half != "") & p["spaced"], " ").otherwise("")
+        head = F.when(F.length(p["h"]) == 2, two(shown)).otherwise(shown.cast("string"))
+        seconds = F.when(p["s"] != "", F.concat(F.lit(":"), two(s % 60))).otherwise("")
+        return F.when(s.isNotNull(), F.concat(head, F.lit(":"), two(F.floor(s % 3600 / 60)), seconds, p["fraction"], space, mark, p["rest"]))
+
+    return F.coalesce(let(_clock(trimmed(c)), written), c)
 
 
 def shifted_segment(c: Column, offset: int, segment: int = 0, preserve_width: bool = True) -> Column:
     """One run of digits moved by ``offset``: null where it would turn negative or need more digits than it has."""
     pattern = rf"^((?:[^0-9]*[0-9]+){{{segment}}}[^0-9]*)([0-9]+)(.*)$"
-    head, digits, tail = (F.regexp_extract(c, pattern, i) for i in (1, 2, 3))
-    moved = digits.try_cast("decimal(38,0)") + F.lit(offset).cast("decimal(38,0)")
-    out = F.when(F.length(moved.cast("string")) < F.length(digits), F.lpad(moved.cast("string"), F.length(digits), F.lit("0"))).otherwise(moved.cast("string"))
-    ok = (moved >= 0) & (F.length(moved.cast("string")) <= F.length(digits) if preserve_width else F.lit(True))
-    return F.when(~c.rlike(pattern), c).when(ok, F.concat(head, out, tail))
+
+    def moved(p: Column) -> Column:
+        number = (p["digits"].try_cast("decimal(38,0)") + F.lit(offset).cast("decimal(38,0)")).cast("string")
+        out = F.when(F.length(number) < F.length(p["digits"]), F.lpad(number, F.length(p["digits"]), F.lit("0"))).otherwise(number)
+        ok = ~number.startswith("-") & (F.length(number) <= F.length(p["digits"]) if preserve_width else F.lit(True))
+        return F.when(p["digits"] == "", p["whole"]).when(ok, F.concat(p["head"], out, p["tail"]))
+
+    part = lambda v: F.struct(v.alias("whole"), *[F.regexp_extract(v, pattern, i).alias(k) for i, k in ((1, "head"), (2, "digits"), (3, "tail"))])
+    return let(let(c, part), moved)

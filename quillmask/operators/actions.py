@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillmask.functions.generalise import generalised, label
 from quillmask.functions.keyed import integer, key_hash, pick, uniform
 from quillmask.functions.temporal import shifted_date, shifted_segment, shifted_time
-from quillmask.functions.text import is_empty, is_missing_sentinel, sanitised, text, trimmed
+from quillmask.functions.text import cell, is_empty, is_missing_sentinel, sanitised, text, trimmed
 
 ACTIONS = ("KEEP", "REPLACE", "PATTERN_REPLACE", "SHIFT", "RESAMPLE", "GENERALISE", "TEXT_SANITISE", "CLEAR", "DROP")
 
@@ -61,7 +61,7 @@ def replaced(p: Policy, value: Column, row: Column, seed: int) -> Column:
     made = {
         "EMAIL": F.concat(F.lit("test_"), token(seed, scope, 8, key), F.lit("@example.invalid")),
         "NAME_LIKE": F.concat(F.lit("Test Person "), mark),
-        "ADDRESS_LIKE": F.concat(integer(seed, scope, 1, 999, key).cast("string"), F.lit(" Example Street, Testville")),
+        "ADDRESS_LIKE": F.concat(integer(seed, scope, 1, 999, key).cast("string"), F.lit(" Blank Ledger Lane, Inkborough")),
         "BOOLEAN": pick(seed, scope, ["true", "false"], key),
         "INTEGER": integer(seed, scope, 1, 2_000_000_000, key).cast("string"),
         "NUMERIC_ID": integer(seed, scope, 1, 2_000_000_000, key).cast("string"),
@@ -139,7 +139,7 @@ def transformed(df: DataFrame, policies: list[Policy], row: Column | None = None
     row = row if row is not None else F.xxhash64(*[df[c] for c in df.columns])
     out = []
     for p in policies:
-        c = df[p.column]
+        c = cell(df, p.column)
         if p.action == "DROP":
             continue
         made = {

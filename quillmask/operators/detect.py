@@ -203,21 +203,33 @@ def organisation_header(header: str) -> bool:
     return has(header, ["company_name", "organisation_name", "organization_name", "business_name", "supplier_name", "vendor_name", "dealer_name", "branch_name", "clinic_name", "hospital_name"])
 
 
+#: Headers that name a person by themselves where the cells are numbers, codes or short texts.
+BARE_PERSONS = {"customer", "consumer", "employee", "engineer", "technician", "member", "patient", "applicant", "resident", "user"}
+ROLES = {
+    "DIRECT_IDENTIFIER": (
+        lambda c, d, h, level: d.type in DIRECT_TYPES,
+        lambda c, d, h, level: has(h, DIRECT_WORDS),
+        lambda c, d, h, level: h.rpartition("_")[2] == "id" and (level == "HIGH" or has(h, PERSON_WORDS)),
+        lambda c, d, h, level: h in BARE_PERSONS and d.type in ("INTEGER", "DECIMAL", "NUMERIC_ID", "ALPHANUMERIC_CODE", "GENERAL_TEXT"),
+    ),
+    "SENSITIVE_ATTRIBUTE": (lambda c, d, h, level: has(h, SENSITIVE_WORDS),),
+    "QUASI_IDENTIFIER": (lambda c, d, h, level: has(h, QUASI_WORDS), lambda c, d, h, level: d.type in ("DATE", "DATETIME", "AMBIGUOUS_DATE") and has(h, PERSON_WORDS)),
+}
+ROLE_LABELS = {"DIRECT_IDENTIFIER": "Identifies someone directly", "QUASI_IDENTIFIER": "Identifies someone together with others", "SENSITIVE_ATTRIBUTE": "Says something sensitive", "ORDINARY": "Ordinary"}
+
+
 def role(c: Column, d: Detection, level: str) -> str:
-    header = normalised(c.name)
-    if d.type.startswith("AU_"):
-        return "DIRECT_IDENTIFIER"
-    if d.type == "NAME_LIKE" and organisation_header(header):
+    """The first role of which a test applies; names of organisations are ordinary."""
+    h = normalised(c.name)
+    if d.type == "NAME_LIKE" and organisation_header(h):
         return "ORDINARY"
-    if d.type in DIRECT_TYPES or has(header, DIRECT_WORDS) or header.split("_")[-1] == "id" and (level == "HIGH" or has(header, PERSON_WORDS)):
-        return "DIRECT_IDENTIFIER"
-    if header in ("customer", "consumer", "employee", "engineer", "technician", "member", "patient", "applicant", "resident", "user") and d.type in ("INTEGER", "DECIMAL", "NUMERIC_ID", "ALPHANUMERIC_CODE", "GENERAL_TEXT"):
-        return "DIRECT_IDENTIFIER"
-    if has(header, SENSITIVE_WORDS):
-        return "SENSITIVE_ATTRIBUTE"
-    if has(header, QUASI_WORDS) or d.type in ("DATE", "DATETIME", "AMBIGUOUS_DATE") and has(header, PERSON_WORDS):
-        return "QUASI_IDENTIFIER"
-    return "ORDINARY"
+    return next((name for name, tests in ROLES.items() if any(t(c, d, h, level) for t in tests)), "ORDINARY")
+
+
+def table_risk(found: list[tuple[Column, Detection]]) -> str:
+    """The highest risk of any column."""
+    dates = sum(d.type in ("DATE", "DATETIME") for _, d in found)
+    return max((risk_level(risks(c, d, dates)) for c, d in found), key=("UNKNOWN", "LOW", "MEDIUM", "HIGH").index, default="UNKNOWN")
 
 
 def recommended(c: Column, d: Detection, level: str, who: str, mode: str = "SAFE") -> str:
@@ -257,7 +269,7 @@ def analysed(df: DataFrame, columns: list[str] | None = None) -> list[tuple[Colu
     rows = {r["column_name"]: r for r in P.column_profiles(df, columns).collect()}
     samples: dict[str, list[str]] = {}
     for r in P.sample_values(df, columns).collect():
-        samples.setdefault(r["column_name"], []).append(r["value"][:512])
+        samples.setdefault(r["column_name"], []).append(r["value"])
     tops: dict[str, list[tuple[str, int]]] = {}
     for r in P.top_values(df, columns).orderBy("rank").collect():
         tops.setdefault(r["column_name"], []).append((r["value"], r["n"]))

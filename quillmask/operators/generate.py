@@ -16,10 +16,11 @@ from quillmask.functions.keyed import integer, key_hash, pick, uniform, weighted
 from quillmask.functions.ordinals import with_rank
 from quillmask.operators.actions import token
 
-# Invented people and streets, and the generators there are.
-FIRST_NAMES = ["Alex", "Casey", "Jordan", "Morgan", "Riley", "Taylor", "Jamie", "Robin"]
-LAST_NAMES = ["Example", "Sample", "Tester", "Specimen", "Placeholder", "Fixture"]
-STREETS = ["Example Street", "Sample Road", "Test Avenue", "Fixture Lane"]
+#: Parts of invented names and streets.
+FIRST_NAMES = ["Quill", "Wren", "Sorrel", "Linden", "Marlow", "Tamsin", "Orla", "Fennel", "Ash", "Juniper"]
+LAST_NAMES = ["Inkwell", "Vellum", "Nibley", "Blotter", "Foolscap", "Parchment", "Margin"]
+STREETS = ["Quarto Row", "Folio Crescent", "Octavo Walk", "Ledger Way", "Colophon Court"]
+# The generators there are.
 GENERATORS = "person-name email phone address integer decimal boolean category date datetime sequence uuid constant copy-column template date-after foreign-key lookup-foreign date-after-foreign".split()
 
 
@@ -99,7 +100,7 @@ def value(f: Field, row: Column, seed: int, scope: str) -> Column:
     if f.generator == "phone":
         return F.concat(F.lit("04"), pad(draw(0, 99, "a"), 2), F.lit(" "), pad(draw(0, 999, "b"), 3), F.lit(" "), pad(draw(0, 999, "c"), 3))
     if f.generator == "address":
-        return F.concat(draw(1, 999).cast("string"), F.lit(" "), pick(seed, f"{key}:s", STREETS, row), F.lit(", Testville"))
+        return F.concat(draw(1, 999).cast("string"), F.lit(" "), pick(seed, f"{key}:s", STREETS, row), F.lit(", Inkborough"))
     if f.generator == "integer":
         return draw(*sorted((s.get("minimum", 1), s.get("maximum", 1000)))).cast("string")
     if f.generator == "decimal":
@@ -156,7 +157,9 @@ def generated(spark: SparkSession, tables: list[Table], seed: int = 1) -> dict[s
             parent = by_name[driver.settings["table"]]
             low, high = driver.settings.get("minimum", 0), driver.settings.get("maximum", 5)
             kids = made[parent.name].select(F.col(parent.primary_key).alias(driver.name), F.col("g_row").alias("g_parent"), integer(seed, f"{name}:children", low, high, F.col("g_row")).alias("g_kids"))
-            kids = kids.withColumn("g_kids", F.when((F.col("g_parent") == 0) & (F.lit(low) == 0), F.greatest("g_kids", F.lit(1))).otherwise(F.col("g_kids")))
+            if kids.where("g_kids > 0").isEmpty():  # a table without rows: one parent, drawn by the seed, gets a child
+                lucky = F.col("g_parent") == integer(seed, f"{name}:lucky", 0, max(0, counts[parent.name] - 1), F.lit(0))
+                kids = kids.withColumn("g_kids", lucky.cast("long"))
             df = kids.where("g_kids > 0").withColumn("g_kid", F.explode(F.sequence(F.lit(1).cast("long"), F.col("g_kids"))))
             order = F.col("g_parent") * F.lit(max(1, high)) + F.col("g_kid") - 1
             df = with_rank(df.withColumn("g_order", order), "g_order", ["g_parent"], "g_row")

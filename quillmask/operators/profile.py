@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmask.functions.keyed import key_hash
-from quillmask.functions.text import case_pattern, numeric_token, text, trimmed, value_shape
+from quillmask.functions.text import case_pattern, cell, numeric_token, text, trimmed, value_shape
 
 EXACT, SAMPLED, LOWER_BOUND, ESTIMATED, NOT_COMPUTED = "EXACT", "SAMPLED", "LOWER_BOUND", "ESTIMATED", "NOT_COMPUTED"
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -28,55 +28,102 @@ class Limits:
     common_lengths: int = 24
     decimal_places: int = 12
     columns: int = 1000
-    distinct: str = EXACT  # or LOWER_BOUND (count to unique_values + 1), or ESTIMATED
+    value_length: int = 512
+    exact_values: int = 1_000_000  # columns with more values than this (by a sketch) are profiled by sketches
+    distinct: str = EXACT  # or LOWER_BOUND (count to unique_values + 1)
 
     def __post_init__(self):
-        for name in ("top_values", "sample_values", "unique_values", "numeric_samples", "common_lengths", "decimal_places", "columns"):
+        for name in ("top_values", "sample_values", "unique_values", "numeric_samples", "common_lengths", "decimal_places", "columns", "value_length", "exact_values"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be positive")
 
 
-def unpivoted(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def unpivoted(df: DataFrame, columns: list[str] | None = None, index: dict[str, int] | None = None) -> DataFrame:
     """column_index, column_name, value (string, '' for null): one row per cell."""
     columns = columns or df.columns
-    cells = F.array(*[F.struct(F.lit(i).alias("column_index"), F.lit(c).alias("column_name"), text(df[c]).alias("value")) for i, c in enumerate(columns)])
+    cells = F.array(*[F.struct(F.lit(index[c] if index else i).alias("column_index"), F.lit(c).alias("column_name"), text(cell(df, c)).alias("value")) for i, c in enumerate(columns)])
     return df.select(F.explode(cells).alias("cell")).select("cell.*")
 
 
-def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def value_counts(df: DataFrame, columns: list[str] | None = None, index: dict[str, int] | None = None) -> DataFrame:
     """column_index, column_name, value (trimmed), n, with blanks as ''."""
-    return unpivoted(df, columns).groupBy("column_index", "column_name", trimmed(F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return unpivoted(df, columns, index).groupBy("column_index", "column_name", trimmed(F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def column_profiles(df: DataFrame, columns: list[str] | None = None, limits: Limits = Limits()) -> DataFrame:
-    """One row per column: counts, ratios, distinct values, lengths, numbers, quantiles and cases."""
+    """One row per column: counts, ratios, distinct values, lengths, numbers, quantiles and cases.
+
+    Columns beyond ``limits.columns`` aren't profiled; ``warnings`` names them. A column with more distinct values than
+    ``limits.exact_values`` is summed up where its rows are: its distinct values and quantiles are ESTIMATED."""
     columns = (columns or df.columns)[: limits.columns]
-    counts = value_counts(df, columns)
-    token = numeric_token(F.col("value"))
-    rows = counts.withColumn("token", token).withColumn("x", F.col("token.value")).withColumn("filled", F.col("value") != "").withColumn("len", F.length("value")).withColumn("case", case_pattern(F.col("value")))
+    index = {c: i for i, c in enumerate(columns)}
+    wide: list[str] = []
+    if limits.distinct == EXACT:
+        many = estimated_distinct(df, columns).where(F.col("distinct") > limits.exact_values)
+        wide = sorted((r["column_name"] for r in many.collect()), key=index.__getitem__)  # a row per column
+    out = _counted(df, [c for c in columns if c not in wide], index, limits) if len(wide) < len(columns) else None
+    for c in wide:
+        out = _sketched(df, c, index[c]) if out is None else out.unionByName(_sketched(df, c, index[c]))
+    out = out.withColumn("empty", F.col("observed") - F.col("non_empty")).withColumn("non_empty_ratio", F.coalesce(F.try_divide("non_empty", "observed"), F.lit(0.0)))
+    return out.withColumn("unique_ratio", F.coalesce(F.try_divide("distinct", "non_empty"), F.lit(0.0)))
+
+
+_CASES = ("UPPER", "LOWER", "TITLE", "MIXED", "NO_CASE")
+
+
+def _cell_facts(rows: DataFrame) -> DataFrame:
+    """``rows`` (value, n) with filled, x (the number), len and case, each computed once."""
+    rows = rows.withColumns({"x": numeric_token(F.col("value"))["value"], "filled": F.col("value") != "", "len": F.length("value"), "case": case_pattern(F.col("value"))})
+    return rows
+
+
+def _summed(rows, keys: list[str], distinct, quantiles) -> DataFrame:
     filled = lambda e: F.sum(F.when(F.col("filled"), e))
     count_if = lambda c: F.coalesce(F.sum(F.when(F.col("filled") & c, F.col("n"))), F.lit(0))
-    quantiles = F.percentile(F.when(F.col("filled"), F.col("x")), F.array(*[F.lit(q) for q in QUANTILES]), F.col("n"))
-    out = rows.groupBy("column_index", "column_name").agg(
-        F.sum("n").alias("observed"), F.coalesce(filled(F.col("n")), F.lit(0)).alias("non_empty"), F.coalesce(filled(F.lit(1)), F.lit(0)).cast("long").alias("distinct"),
+    return rows.groupBy(*keys).agg(
+        F.sum("n").alias("observed"), F.coalesce(filled(F.col("n")), F.lit(0)).alias("non_empty"), F.coalesce(distinct, F.lit(0)).cast("long").alias("distinct"),
         F.min(F.when(F.col("filled"), F.col("len"))).alias("min_length"), F.max(F.when(F.col("filled"), F.col("len"))).alias("max_length"),
         count_if(F.col("x").isNotNull()).alias("numeric_count"), F.min("x").alias("minimum"), F.max("x").alias("maximum"),
         (F.sum(F.col("x") * F.col("n")) / F.sum(F.when(F.col("x").isNotNull(), F.col("n")))).alias("mean"), quantiles.alias("quantiles"),
-        *[count_if(F.col("case") == k).alias(f"case_{k.lower()}") for k in ("UPPER", "LOWER", "TITLE", "MIXED", "NO_CASE")],
+        *[count_if(F.col("case") == k).alias(f"case_{k.lower()}") for k in _CASES],
     )
-    out = out.withColumn("empty", F.col("observed") - F.col("non_empty")).withColumn("non_empty_ratio", F.coalesce(F.try_divide("non_empty", "observed"), F.lit(0.0)))
+
+
+def _counted(df: DataFrame, columns: list[str], index: dict[str, int], limits: Limits) -> DataFrame:
+    """Profiles from counts of distinct values."""
+    counts = value_counts(df, columns, index)
+    exact = F.percentile(F.when(F.col("filled"), F.col("x")), F.array(*[F.lit(q) for q in QUANTILES]), F.col("n"))
+    out = _summed(_cell_facts(counts), ["column_index", "column_name"], F.sum(F.when(F.col("filled"), F.lit(1))), exact)
+    out = out.withColumn("quantile_status", F.lit(EXACT))
     if limits.distinct == LOWER_BOUND:
         over = F.col("distinct") > limits.unique_values
-        out = out.withColumn("distinct_status", F.when(over, LOWER_BOUND).otherwise(EXACT)).withColumn("distinct", F.least("distinct", F.lit(limits.unique_values + 1)))
-    else:
-        out = out.withColumn("distinct_status", F.lit(EXACT))
-    return out.withColumn("unique_ratio", F.coalesce(F.try_divide("distinct", "non_empty"), F.lit(0.0)))
+        return out.withColumn("distinct_status", F.when(over, LOWER_BOUND).otherwise(EXACT)).withColumn("distinct", F.least("distinct", F.lit(limits.unique_values + 1)))
+    return out.withColumn("distinct_status", F.lit(EXACT))
+
+
+def _sketched(df: DataFrame, column: str, index: int) -> DataFrame:
+    """The profile of a column with very many values: one map-side aggregation with sketches, nothing shuffled by value."""
+    rows = df.select(F.lit(index).alias("column_index"), F.lit(column).alias("column_name"), trimmed(cell(df, column)).alias("value"), F.lit(1).cast("long").alias("n"))
+    about = F.percentile_approx(F.when(F.col("filled"), F.col("x")), [float(q) for q in QUANTILES], 10000)
+    out = _summed(_cell_facts(rows), ["column_index", "column_name"], F.approx_count_distinct(F.when(F.col("filled"), F.col("value")), 0.01), about)
+    return out.withColumns({"quantile_status": F.lit(ESTIMATED), "distinct_status": F.lit(ESTIMATED)})
+
+
+def warnings(df: DataFrame, columns: list[str] | None = None, limits: Limits = Limits()) -> DataFrame:
+    """code, column_name, n: what a profile leaves out. n is what was met: distinct values, shortened values, or columns."""
+    columns = columns or df.columns
+    seen = column_profiles(df, columns, limits).select("column_name", "distinct", "max_length")
+    long_values = value_counts(df, columns[: limits.columns]).where(F.length("value") > limits.value_length).groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
+    said = seen.where(F.col("distinct") > limits.unique_values).select(F.lit("UNIQUE_TRACKING_LIMIT_REACHED").alias("code"), "column_name", F.col("distinct").alias("n"))
+    said = said.unionByName(long_values.select(F.lit("PROFILE_VALUE_TRUNCATED").alias("code"), "column_name", "n"))
+    rest = [("COLUMN_PROFILE_LIMIT_REACHED", c, len(columns)) for c in columns[limits.columns :]]
+    return said.unionByName(df.sparkSession.createDataFrame(rest, "code string, column_name string, n long")) if rest else said
 
 
 def estimated_distinct(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column_name, distinct, distinct_status ESTIMATED from one sketch per column: one pass, no shuffle of values."""
     columns = columns or df.columns
-    row = df.agg(*[F.approx_count_distinct(F.when(trimmed(df[c]) != "", trimmed(df[c])), 0.01).alias(f"c{i}") for i, c in enumerate(columns)])
+    row = df.agg(*[F.approx_count_distinct(F.nullif(trimmed(cell(df, c)), F.lit("")), 0.01).alias(f"c{i}") for i, c in enumerate(columns)])
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").alias("distinct"), F.lit(ESTIMATED).alias("distinct_status")) for i, c in enumerate(columns)])
     return row.select(F.explode(cells).alias("c")).select("c.*")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmask.functions.text import text, trimmed, value_shape
@@ -111,9 +111,10 @@ def pattern_space(shape: str) -> float:
 
 
 def dependency_violations(df: DataFrame, code: str, description: str, order: Column) -> DataFrame:
-    """Rows whose description differs from the first one seen with their code."""
-    first = F.first_value(description).over(Window.partitionBy(code).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return df.withColumn("first_description", first).where(~F.col("first_description").eqNullSafe(F.col(description)))
+    """Rows whose description differs from the first one seen with their code, and that one as first_description."""
+    first = df.groupBy(df[code].alias("q_code")).agg(F.min_by(F.struct(df[description].alias("d")), order).alias("q_first"))
+    met = df.join(first, df[code].eqNullSafe(F.col("q_code")))
+    return met.where(~F.col("q_first.d").eqNullSafe(df[description])).select(*[df[c] for c in df.columns], F.col("q_first.d").alias("first_description"))
 
 
 def date_order(df: DataFrame, start: Column, end: Column) -> DataFrame:
@@ -128,11 +129,20 @@ def shape_conformance(output: DataFrame, column: str, shapes: list[str]) -> Data
     return output.agg(F.count_if((v != "") & value_shape(v).isin(*shapes)).alias("conforming"), F.count_if(v != "").alias("checked"))
 
 
-def linked_violations(child: DataFrame, fk: str, parent: DataFrame, pk: str, copied: list[tuple[str, str]]) -> DataFrame:
-    """column_name, violations of looked-up columns; the last of repeated parent keys counts."""
-    parents = parent.select(text(parent[pk]).alias("q_k"), *[text(parent[p]).alias(f"q_{i}") for i, (_, p) in enumerate(copied)]).dropDuplicates(["q_k"])
+def linked_violations(child: DataFrame, fk: str, parent: DataFrame, pk: str, copied: list[tuple[str, str]], order: str | None = None, dates: list[tuple[str, str, int, int]] = ()) -> DataFrame:
+    """column_name, violations of looked-up columns, and of dates that must lie from low to high days after a parent's.
+
+    Of parents with one key the last in ``order`` counts, or else the one whose looked-up values are greatest.
+    ``dates``: (child column, parent column, low, high)."""
+    wanted = [p for _, p in copied] + [d[1] for d in dates]
+    held = F.struct(*[text(parent[p]).alias(f"q_{i}") for i, p in enumerate(wanted)])
+    parents = parent.groupBy(text(parent[pk]).alias("q_k")).agg(F.max_by(held, parent[order] if order else held).alias("q_p"))
     joined = child.join(parents, text(child[fk]) == F.col("q_k"), "left")
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), (text(child[c]) != F.coalesce(F.col(f"q_{i}"), F.lit(""))).cast("int").alias("bad")) for i, (c, _) in enumerate(copied)])
+    bad = [(c, text(child[c]) != F.coalesce(F.col(f"q_p.q_{i}"), F.lit(""))) for i, (c, _) in enumerate(copied)]
+    for i, (c, _, low, high) in enumerate(dates, len(copied)):
+        days = F.datediff(F.to_date(F.try_to_timestamp(child[c])), F.to_date(F.try_to_timestamp(F.col(f"q_p.q_{i}"))))
+        bad.append((c, F.coalesce(~days.between(low, high), text(child[c]) != "")))
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), b.cast("int").alias("bad")) for c, b in bad])
     return joined.select(F.explode(cells).alias("c")).groupBy("c.column_name").agg(F.sum("c.bad").alias("violations"))
 
 

@@ -5,14 +5,20 @@ from __future__ import annotations
 import itertools
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmask.functions.ordinals import with_rank
 from quillmask.functions.temporal import as_date
-from quillmask.functions.text import boolean, business_number
+from quillmask.functions.text import boolean, business_number, cell, text
 
+# Parts of headers that make a column likelier to be in a business rule, and how much.
+HEADER_WEIGHTS = (
+    (10, "price qty quantity amount total cost stock balance count rate percent shipping".split()),
+    (6, "available status active enabled".split()),
+)
 MAX_NUMERIC, MAX_BOOLEAN, CONFIDENCE, CLOSE = 24, 16, 0.995, 1e-8
 KINDS = ("NUMERIC_EQUAL", "NUMERIC_DIFFERENCE", "NUMERIC_RATIO", "BOOLEAN_FROM_POSITIVE", "POSITIVE_FROM_BOOLEAN")
 
@@ -56,6 +62,12 @@ def proposed(headers: list[str]) -> list[Rule]:
     return out
 
 
+def by_priority(columns: list[str]) -> list[str]:
+    """Numeric columns that are likeliest to take part in business rules first; equals keep their order."""
+    weight = lambda c: sum(w for w, words in HEADER_WEIGHTS if any(x in c.lower() for x in words))
+    return sorted(columns, key=weight, reverse=True)
+
+
 def _close(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= F.lit(CLOSE) * F.greatest(F.lit(1.0), F.abs(a), F.abs(b))
 
@@ -65,9 +77,9 @@ def mined(df: DataFrame, numeric: list[str], booleans: list[str] = (), order: Co
 
     Differences and ratios are held against those of the first row (by ``order``) that has both numbers.
     """
-    numeric, booleans = list(numeric)[:MAX_NUMERIC], list(booleans)[:MAX_BOOLEAN]
+    numeric, booleans = by_priority(numeric)[:MAX_NUMERIC], list(booleans)[:MAX_BOOLEAN]
     order = order if order is not None else F.xxhash64(*[df[c] for c in df.columns])
-    rows = df.select(order.alias("o"), *[business_number(df[c]).alias(f"n{i}") for i, c in enumerate(numeric)], *[boolean(df[c]).alias(f"b{i}") for i, c in enumerate(booleans)])
+    rows = df.select(order.alias("o"), *[business_number(cell(df, c)).alias(f"n{i}") for i, c in enumerate(numeric)], *[boolean(df[c]).alias(f"b{i}") for i, c in enumerate(booleans)])
     pairs = list(itertools.combinations(range(len(numeric)), 2))
     both = lambda i, j: F.col(f"n{i}").isNotNull() & F.col(f"n{j}").isNotNull()
     if not pairs and not (numeric and booleans):
@@ -86,6 +98,7 @@ def mined(df: DataFrame, numeric: list[str], booleans: list[str] = (), order: Co
             ratio = seen[1] / seen[0]
             tests["NUMERIC_RATIO", i, j, ratio] = (both(i, j) & (F.abs(a) > 1e-12), _close(F.try_divide(b, a), F.lit(ratio)))
     for i, j in itertools.product(range(len(numeric)), range(len(booleans))):
+        tests["POSITIVE_FROM_BOOLEAN", i, j, None] = (F.col(f"n{i}").isNotNull() & F.col(f"b{j}").isNotNull(), F.when(F.col(f"b{j}"), F.col(f"n{i}") > 0).otherwise(F.col(f"n{i}") <= 0))
         tests["BOOLEAN_FROM_POSITIVE", i, j, None] = (F.col(f"n{i}").isNotNull() & F.col(f"b{j}").isNotNull(), (F.col(f"n{i}") > 0) == F.col(f"b{j}"))
     counted = [c for k, (seen, ok) in enumerate(tests.values()) for c in (F.count_if(seen).alias(f"s{k}"), F.count_if(seen & ok).alias(f"m{k}"))]
     if not counted:
@@ -96,8 +109,8 @@ def mined(df: DataFrame, numeric: list[str], booleans: list[str] = (), order: Co
         if kind == "NUMERIC_DIFFERENCE" and constant == 0 or kind == "NUMERIC_RATIO" and constant == 1:
             continue
         if match >= max(3, min(20, -(-n // 10))) and match >= CONFIDENCE * n:
-            right = booleans[j] if kind.startswith("BOOLEAN") else numeric[j]
-            found.append(Rule(kind, (numeric[i], right), "CANDIDATE", False, match, match / n, {} if constant is None else {"constant": constant}))
+            pair = (numeric[i], booleans[j]) if kind == "BOOLEAN_FROM_POSITIVE" else (booleans[j], numeric[i]) if kind == "POSITIVE_FROM_BOOLEAN" else (numeric[i], numeric[j])
+            found.append(Rule(kind, pair, "CANDIDATE", False, match, match / n, {} if constant is None else {"constant": constant}))
     best: dict[str, Rule] = {}
     for r in sorted(found, key=lambda r: (KINDS.index(r.kind), -r.confidence, -r.support, r.columns)):
         best.setdefault(r.columns[-1], r)
@@ -125,23 +138,90 @@ def enforced(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return df
 
 
-def rule_violations(df: DataFrame, rule: Rule) -> DataFrame:
-    """violations, checked."""
-    a, b = rule.columns[0], rule.columns[-1]
-    x, y = business_number(df[a]), business_number(df[b])
+def holds(df: DataFrame, rule: Rule) -> Column:
+    """Whether a row keeps a rule: null where it can't be judged."""
+    a, b = cell(df, rule.columns[0]), cell(df, rule.columns[-1])
+    x, y = business_number(a), business_number(b)
+    constant = F.lit(float(rule.options.get("constant", 1.0 if rule.kind == "NUMERIC_RATIO" else 0.0)))
     if rule.kind == "BOOLEAN_FROM_POSITIVE":
-        y = boolean(df[b])
-        ok = (x > 0) == y
-    else:
-        want = {"NUMERIC_EQUAL": x, "NUMERIC_DIFFERENCE": x + F.lit(rule.options.get("constant", 0.0)), "NUMERIC_RATIO": x * F.lit(rule.options.get("constant", 1.0))}[rule.kind]
-        ok = F.abs(want - y) <= 0.005 + CLOSE * F.abs(want)
-    seen = x.isNotNull() & y.isNotNull()
-    return df.agg(F.count_if(seen & ~ok).alias("violations"), F.count_if(seen).alias("checked"))
+        return (x > 0) == boolean(b)
+    if rule.kind == "POSITIVE_FROM_BOOLEAN":
+        return F.when(boolean(a), y > 0).otherwise(F.when(boolean(a).isNotNull(), y <= 0))
+    if rule.kind in ("NUMERIC_EQUAL", "NUMERIC_DIFFERENCE", "NUMERIC_RATIO"):
+        want = x if rule.kind == "NUMERIC_EQUAL" else x + constant if rule.kind == "NUMERIC_DIFFERENCE" else x * constant
+        return F.abs(want - y) <= 0.005 + CLOSE * F.abs(want)
+    if rule.kind == "SAME_ID":
+        same = [text(a).eqNullSafe(text(cell(df, c))) for c in rule.columns[1:]]
+        return reduce(lambda p, q: p & q, same)
+    if rule.kind in ("DATE_ORDER", "DATE_TIME_SHIFT_GROUP"):
+        dates = [as_date(cell(df, c), rule.options.get("layout", "YMD")) for c in rule.columns]
+        return reduce(lambda p, q: p & q, [p <= q for p, q in zip(dates, dates[1:], strict=False)])
+    raise ValueError(f"{rule.kind} isn't a rule between the cells of a row")
+
+
+def rule_violations(df: DataFrame, rule: Rule) -> DataFrame:
+    """violations, checked. Codes and descriptions are held against the first description of each code."""
+    if rule.kind in ("CODE_DESCRIPTION", "CATEGORY_CODE_NAME"):
+        a, b = rule.columns[0], rule.columns[-1]
+        pairs = df.select(text(cell(df, a)).alias("code"), text(cell(df, b)).alias("name")).groupBy("code", "name").agg(F.count(F.lit(1)).alias("n"))
+        per = pairs.where("code <> ''").groupBy("code").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+        return per.agg(F.coalesce(F.sum(F.col("n") - F.col("most")), F.lit(0)).alias("violations"), F.coalesce(F.sum("n"), F.lit(0)).alias("checked"))
+    ok = df.select(holds(df, rule).alias("ok"))
+    return ok.agg(F.count_if(~F.col("ok")).alias("violations"), F.count("ok").alias("checked"))
+
+
+@dataclass(frozen=True)
+class Registry:
+    """Confirmed rules that don't conflict: a column is written by one rule at most, and is in one mapping and one shift group."""
+
+    rules: tuple[Rule, ...] = ()
+
+    def conflict(self, rule: Rule) -> str | None:
+        """Why a rule can't join those that are active."""
+        for r in (r for r in self.rules if r.active and r != rule):
+            if r.kind == rule.kind and r.columns == rule.columns:
+                return "the rule is there already"
+            if r.kind in KINDS and rule.kind in KINDS and r.columns[-1] == rule.columns[-1]:
+                return f"{rule.columns[-1]} is already written by {r.kind}"
+            if r.kind == rule.kind and r.kind in ("MAPPING_GROUP", "DATE_TIME_SHIFT_GROUP") and set(r.columns) & set(rule.columns):
+                return f"{', '.join(sorted(set(r.columns) & set(rule.columns)))} is already in such a group"
+        return None
+
+    def confirm(self, rule: Rule) -> Registry:
+        why = self.conflict(rule)
+        if why:
+            raise ValueError(why)
+        return Registry((*[r for r in self.rules if (r.kind, r.columns) != (rule.kind, rule.columns)], rule.confirmed()))
+
+    def scope(self, column: str) -> str:
+        """What the replacements of a column are drawn for: its mapping group, or the column alone."""
+        for r in self.rules:
+            if r.active and r.kind in ("MAPPING_GROUP", "SAME_ID") and column in r.columns:
+                return "group:" + "|".join(r.columns)
+        return column
+
+    def shift_group(self, column: str) -> tuple[str, ...]:
+        """The columns that are shifted by one offset with this one."""
+        return next((r.columns for r in self.rules if r.active and r.kind == "DATE_TIME_SHIFT_GROUP" and column in r.columns), (column,))
+
+
+def mapping_group(*columns: str) -> Rule:
+    """A user's rule: equal values in these columns get equal replacements."""
+    if len(set(columns)) < 2:
+        raise ValueError("a mapping group has two columns or more")
+    return Rule("MAPPING_GROUP", tuple(columns))
+
+
+def date_shift_group(*columns: str, keep_order: bool = True) -> Rule:
+    """A user's rule: these dates move by one offset, and stay in this order where ``keep_order`` says so."""
+    if len(set(columns)) < 2:
+        raise ValueError("a shift group has two columns or more")
+    return Rule("DATE_TIME_SHIFT_GROUP", tuple(columns), options={"keep_order": keep_order})
 
 
 def rank_aligned(source: DataFrame, output: DataFrame, column: str, key: str) -> DataFrame:
     """``output`` with the values of ``column`` dealt out again in the order of the source's values for the same key."""
-    number = lambda df: business_number(df[column])
+    number = lambda df: business_number(cell(df, column))
     s = source.select(source[key].alias("a_key"), number(source).alias("x")).where("x is not null")
     pairs = output.select(output[key].alias("d_key"), output[column].alias("dealt"), number(output).alias("y")).where("y is not null").join(s, F.col("d_key").eqNullSafe(F.col("a_key")))
     wanted = with_rank(pairs.select("d_key", "x"), "x", ["d_key"], "rank")
@@ -149,8 +229,3 @@ def rank_aligned(source: DataFrame, output: DataFrame, column: str, key: str) ->
     dealt = wanted.join(values, "rank").select("d_key", "dealt")
     out = output.join(dealt, output[key].eqNullSafe(F.col("d_key")), "left")
     return out.select(*[F.coalesce("dealt", output[c]).alias(c) if c == column else output[c] for c in output.columns])
-
-
-def date_order_status(a: Column, b: Column, layout: str = "YMD") -> Column:
-    x, y = as_date(a, layout), as_date(b, layout)
-    return F.when(x.isNull() | y.isNull(), "NOT_EVALUATED").when(x <= y, "VALID").otherwise("VIOLATION")

@@ -38,7 +38,9 @@ def text(c: Column) -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(text(c), f"^{BLANK}+|{BLANK}+$", "")
+    t = text(c)
+    # nearly all cells begin and end with a printable ASCII character
+    return F.when(t.rlike(r"^[!-~](?:.*[!-~])?$"), t).otherwise(F.regexp_replace(t, f"^{BLANK}+|{BLANK}+$", ""))
 
 
 def is_empty(c: Column) -> Column:

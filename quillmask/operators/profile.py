@@ -38,16 +38,21 @@ class Limits:
                 raise ValueError(f"{name} must be positive")
 
 
+def _value(df: DataFrame, column: str):
+    """A cell's trimmed text; only texts can have blanks at their ends."""
+    return trimmed(df[column]) if df.schema[column].dataType.typeName() == "string" else text(cell(df, column))
+
+
 def unpivoted(df: DataFrame, columns: list[str] | None = None, index: dict[str, int] | None = None) -> DataFrame:
-    """column_index, column_name, value (string, '' for null): one row per cell."""
+    """column_index, column_name, value (string, trimmed, '' for null): one row per cell."""
     columns = columns or df.columns
-    cells = F.array(*[F.struct(F.lit(index[c] if index else i).alias("column_index"), F.lit(c).alias("column_name"), text(cell(df, c)).alias("value")) for i, c in enumerate(columns)])
+    cells = F.array(*[F.struct(F.lit(index[c] if index else i).alias("column_index"), F.lit(c).alias("column_name"), _value(df, c).alias("value")) for i, c in enumerate(columns)])
     return df.select(F.explode(cells).alias("cell")).select("cell.*")
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None, index: dict[str, int] | None = None) -> DataFrame:
     """column_index, column_name, value (trimmed), n, with blanks as ''."""
-    return unpivoted(df, columns, index).groupBy("column_index", "column_name", trimmed(F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return unpivoted(df, columns, index).groupBy("column_index", "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def column_profiles(df: DataFrame, columns: list[str] | None = None, limits: Limits = Limits()) -> DataFrame:
@@ -59,8 +64,8 @@ def column_profiles(df: DataFrame, columns: list[str] | None = None, limits: Lim
     index = {c: i for i, c in enumerate(columns)}
     wide: list[str] = []
     if limits.distinct == EXACT:
-        many = estimated_distinct(df, columns).where(F.col("distinct") > limits.exact_values)
-        wide = sorted((r["column_name"] for r in many.collect()), key=index.__getitem__)  # a row per column
+        about = df.agg(*[F.approx_count_distinct(df[c]).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+        wide = [c for i, c in enumerate(columns) if about[f"c{i}"] > limits.exact_values]
     out = _counted(df, [c for c in columns if c not in wide], index, limits) if len(wide) < len(columns) else None
     for c in wide:
         out = _sketched(df, c, index[c]) if out is None else out.unionByName(_sketched(df, c, index[c]))
@@ -103,7 +108,7 @@ def _counted(df: DataFrame, columns: list[str], index: dict[str, int], limits: L
 
 def _sketched(df: DataFrame, column: str, index: int) -> DataFrame:
     """The profile of a column with very many values: one map-side aggregation with sketches, nothing shuffled by value."""
-    rows = df.select(F.lit(index).alias("column_index"), F.lit(column).alias("column_name"), trimmed(cell(df, column)).alias("value"), F.lit(1).cast("long").alias("n"))
+    rows = df.select(F.lit(index).alias("column_index"), F.lit(column).alias("column_name"), _value(df, column).alias("value"), F.lit(1).cast("long").alias("n"))
     about = F.percentile_approx(F.when(F.col("filled"), F.col("x")), [float(q) for q in QUANTILES], 10000)
     out = _summed(_cell_facts(rows), ["column_index", "column_name"], F.approx_count_distinct(F.when(F.col("filled"), F.col("value")), 0.01), about)
     return out.withColumns({"quantile_status": F.lit(ESTIMATED), "distinct_status": F.lit(ESTIMATED)})
@@ -123,7 +128,7 @@ def warnings(df: DataFrame, columns: list[str] | None = None, limits: Limits = L
 def estimated_distinct(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column_name, distinct, distinct_status ESTIMATED from one sketch per column: one pass, no shuffle of values."""
     columns = columns or df.columns
-    row = df.agg(*[F.approx_count_distinct(F.nullif(trimmed(cell(df, c)), F.lit("")), 0.01).alias(f"c{i}") for i, c in enumerate(columns)])
+    row = df.agg(*[F.approx_count_distinct(F.nullif(_value(df, c), F.lit("")), 0.01).alias(f"c{i}") for i, c in enumerate(columns)])
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").alias("distinct"), F.lit(ESTIMATED).alias("distinct_status")) for i, c in enumerate(columns)])
     return row.select(F.explode(cells).alias("c")).select("c.*")
 

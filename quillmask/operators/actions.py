@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillmask.functions.generalise import generalised, label
 from quillmask.functions.keyed import integer, key_hash, pick, uniform
 from quillmask.functions.temporal import shifted_date, shifted_segment, shifted_time
-from quillmask.functions.text import cell, is_empty, is_missing_sentinel, sanitised, text, trimmed
+from quillmask.functions.text import cell, is_empty, sanitised, text, trimmed
 
 ACTIONS = ("KEEP", "REPLACE", "PATTERN_REPLACE", "SHIFT", "RESAMPLE", "GENERALISE", "TEXT_SANITISE", "CLEAR", "DROP")
 
@@ -101,45 +101,23 @@ def shifted(p: Policy, value: Column) -> Column:
     return shifted_date(text(value), by, p.params.get("layout", "YMD"))
 
 
-def resampled(p: Policy, value: Column, row: Column, seed: int, bounds: list[tuple[str, float]]) -> Column:
-    """A value of the column's own distribution: the inverse of its cumulative shares, as a bounded literal list."""
-    u = uniform(seed, p.scope or p.column, row)
-    if not bounds:
-        return text(value)
-    table = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(c).alias("c")) for v, c in bounds])
-    drawn = F.coalesce(F.element_at(F.filter(table, lambda e: u < e["c"]), 1)["v"] if len(bounds) == 1 else F.get(F.filter(table, lambda e: u < e["c"]), 0)["v"], F.lit(bounds[-1][0]))
-    return F.when(is_missing_sentinel(value), text(value)).otherwise(drawn)
-
-
-def cumulative_shares(df: DataFrame, column: str, k: int = 1000) -> list[tuple[str, float]]:
-    """(value, cumulative share) of the k most frequent non-empty values."""
-    counts = df.select(trimmed(df[column]).alias("v")).where("v <> ''").groupBy("v").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "v").limit(k).collect()
-    total, at, out = sum(r.n for r in counts), 0, []
-    for r in counts:
-        at += r.n
-        out.append((r.v, at / total))
-    return out
-
-
-def numeric_resampled(df: DataFrame, source: DataFrame, column: str, row: Column, seed: int, decimals: int = 2, points: int = 200) -> DataFrame:
-    """Numbers drawn by interpolating the source's quantiles."""
-    q = source.agg(F.percentile_approx(source[column].cast("double"), [i / points for i in range(points + 1)], 10000)).first()[0]
-    if not q:
-        return df
-    u = uniform(seed, column, row) * points
-    i = F.least(F.floor(u).cast("int"), F.lit(points - 1))
-    table = F.array(*[F.lit(float(x)) for x in q])
-    x = F.get(table, i) + (u - i) * (F.get(table, i + 1) - F.get(table, i))
-    return df.withColumn(column, F.when(F.col(column).isNotNull(), F.round(x, decimals)))
-
-
-def transformed(df: DataFrame, policies: list[Policy], row: Column | None = None, seed: int = 1, keep_blanks: bool = True, source: DataFrame | None = None) -> DataFrame:
-    """The whole table through its policies: one projection, dropped columns left out, blanks kept blank."""
+def transformed(df: DataFrame, policies: list[Policy], row: Column | None = None, seed: int = 1, keep_blanks: bool = True, source: DataFrame | None = None, shares: dict[str, Column] | None = None) -> DataFrame:
+    """The whole table through its policies: one projection, dropped columns left out, blanks kept blank.
+
+    RESAMPLE draws from ``source`` (``df`` itself by default) by a join with its counted values; ``shares`` may place a
+    column's draws (see ``resample.stratified_share``)."""
+    from quillmask.operators.resample import drawn
+
     validated(df.columns, policies)
     row = row if row is not None else F.xxhash64(*[df[c] for c in df.columns])
-    out = []
+    held, names = df.withColumn("m_row", row), {}
+    for i, p in enumerate(policies):
+        if p.action == "RESAMPLE":
+            names[p.column] = f"m_{i}"
+            held = drawn(held, p.column, p.detected, source if source is not None else df, f"m_{i}", F.col("m_row"), seed, p.scope or p.column, (shares or {}).get(p.column))
+    out, row = [], F.col("m_row")
     for p in policies:
-        c = cell(df, p.column)
+        c = cell(held, p.column)
         if p.action == "DROP":
             continue
         made = {
@@ -148,12 +126,12 @@ def transformed(df: DataFrame, policies: list[Policy], row: Column | None = None
             "REPLACE": lambda p, c: replaced(p, c, row, seed),
             "PATTERN_REPLACE": lambda p, c: pattern_replaced(p, c, row, seed),
             "SHIFT": lambda p, c: shifted(p, c),
-            "RESAMPLE": lambda p, c: resampled(p, c, row, seed, cumulative_shares(source if source is not None else df, p.column)),
+            "RESAMPLE": lambda p, c: F.col(names[p.column]),
             "GENERALISE": lambda p, c: generalised(c, p.column, p.detected, p.params.get("strategy", "AUTO"), p.params.get("level", "MEDIUM"), p.params.get("layout", "YMD")),
             "TEXT_SANITISE": lambda p, c: sanitised(c),
         }[p.action](p, c)
         out.append((F.when(is_empty(c), "").otherwise(made) if keep_blanks and p.action != "CLEAR" else made).alias(p.column))
-    return df.select(*out)
+    return held.select(*out)
 
 
 def unique_mapping(df: DataFrame, column: str, prefix: str = "TST-", width: int = 8, seed: int = 1) -> DataFrame:

@@ -24,8 +24,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def plain(c: Column) -> Column:
     """A floating-point number as digits: Spark's own text has an exponent below 0.001 and from 10 million on."""
-    exact = lambda kind: F.regexp_replace(F.regexp_replace(c.cast("string").cast(kind).cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.when(~c.cast("string").contains("E"), c.cast("string")).otherwise(F.coalesce(F.when(F.abs(c) < 1e18, exact("decimal(38,18)")), F.when(F.abs(c) < 1e37, exact("decimal(38,0)")), c.cast("string")))
+
+    def digits(x: Column) -> Column:
+        exact = lambda kind: F.regexp_replace(F.regexp_replace(x.cast("string").cast(kind).cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        long = F.when(F.abs(x) < 1e7, exact("decimal(38,30)")).when(F.abs(x) < 1e18, exact("decimal(38,18)")).when(F.abs(x) < 1e37, exact("decimal(38,0)"))
+        return F.when(x.cast("string").contains("E"), F.coalesce(long, x.cast("string"))).otherwise(x.cast("string"))
+
+    return let(c, digits)
 
 
 def cell(df: DataFrame, name: str) -> Column:
@@ -119,11 +124,13 @@ def normalised_value(c: Column, most: int = 512) -> Column:
 
 def business_number(c: Column) -> Column:
     """A number in business notation: parentheses are negative; currency signs, commas and percent signs don't count."""
-    t = trimmed(c)
-    negative = t.rlike(r"^\(.*\)$")
-    bare = F.regexp_replace(t, r"[\p{Sc},%()\s]|^[A-Z]{3}|[A-Z]{3}$", "")
-    value = F.when(bare.rlike(r"^[+-]?\d+(?:\.\d+)?$"), bare.try_cast("double"))
-    return F.when(negative, -value).otherwise(value)
+
+    def read(t: Column) -> Column:
+        bare = F.regexp_replace(t, r"[\p{Sc},%()\s]|^[A-Z]{3}|[A-Z]{3}$", "")
+        value = F.regexp_extract(bare, r"^[+-]?\d+(?:\.\d+)?$", 0).try_cast("double")
+        return F.when(t.rlike(r"^\(.*\)$"), -value).otherwise(value)
+
+    return let(trimmed(c), read)
 
 
 def boolean(c: Column) -> Column:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from quillmask.functions.generalise import generalised, label
 from quillmask.functions.keyed import integer, key_hash, pick, uniform
+from quillmask.functions.patterns import item_wise, masked
 from quillmask.functions.temporal import shifted_date, shifted_segment, shifted_time
-from quillmask.functions.text import cell, is_empty, sanitised, text, trimmed
+from quillmask.functions.text import cell, is_empty, let, sanitised, text, trimmed
 
 ACTIONS = ("KEEP", "REPLACE", "PATTERN_REPLACE", "SHIFT", "RESAMPLE", "GENERALISE", "TEXT_SANITISE", "CLEAR", "DROP")
 
@@ -72,24 +73,39 @@ def replaced(p: Policy, value: Column, row: Column, seed: int) -> Column:
     }.get({"AMBIGUOUS_DATE": "DATE", "DATETIME": "DATE", "PERCENTAGE": "DECIMAL", "CURRENCY_LIKE": "DECIMAL"}.get(kind, kind))
     if kind == "PHONE_LIKE":
         made = pattern_replaced(p, value, row, seed)
+    if p.params.get("code_shape"):  # codes of one family (their leading letters) stay one family
+        family = F.regexp_extract(trimmed(value), r"^(\p{L}{2,8})(?=[\p{N}_./#-])", 1)
+        made = F.concat(F.when(family != "", F.upper(token(seed, f"{scope}:family", 3, family))).otherwise(""), F.lit("-"), mark)
     return made if made is not None else F.concat(F.lit(f"Synthetic {label(p.column)} "), mark)
 
 
 def pattern_replaced(p: Policy, value: Column, row: Column, seed: int) -> Column:
-    """Letters and digits drawn anew, their kinds, case, separators and asked-for affixes kept."""
-    key, scope = identity(p, value, row), p.scope or p.column
+    """Letters and digits drawn anew, their kinds, case, separators and asked-for affixes kept.
+
+    ``mode`` CUSTOM draws by ``mask`` instead; ``lists`` treats each item of a cell by itself, equal items alike."""
+    scope = p.scope or p.column
+    if p.params.get("mode") == "CUSTOM" and p.params.get("mask"):
+        return masked(p.params["mask"], seed, scope, identity(p, value, row))
+    if p.params.get("lists"):
+        return item_wise(value, lambda x: _redrawn(p, x, x, seed, scope))
+    return _redrawn(p, value, identity(p, value, row), seed, scope)
+
+
+def _redrawn(p: Policy, value: Column, key: Column, seed: int, scope: str) -> Column:
     chars = F.filter(F.split(text(value), ""), lambda c: c != "")
     keep_head, keep_tail = p.params.get("keep_prefix", 0), p.params.get("keep_suffix", 0)
+    if p.params.get("mode") == "REGENERATE_ALL":
+        keep_head = keep_tail = 0
 
-    def draw(c: Column, i: Column) -> Column:
-        n = lambda k: F.pmod(F.xxhash64(F.lit(f"{seed}|{scope}"), key, i), F.lit(k)).cast("int")
-        letter = lambda alphabet: F.substr(F.lit(alphabet), n(26) + 1, F.lit(1))
+    def draw(c: Column, i: Column, n: Column) -> Column:
+        at = lambda k: F.pmod(F.xxhash64(F.lit(f"{seed}|{scope}"), key, i), F.lit(k)).cast("int")
+        letter = lambda alphabet: F.substr(F.lit(alphabet), at(26) + 1, F.lit(1))
         return (
-            F.when((i < keep_head) | (i >= F.size(chars) - keep_tail), c).when(c.rlike(r"\p{Lu}"), letter("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(c.rlike(r"\p{L}"), letter("abcdefghijklmnopqrstuvwxyz"))
-            .when(c.rlike(r"\p{N}"), n(10).cast("string")).otherwise(c)
+            F.when((i < keep_head) | (i >= n - keep_tail), c).when(c.rlike(r"\p{Lu}"), letter("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).when(c.rlike(r"\p{L}"), letter("abcdefghijklmnopqrstuvwxyz"))
+            .when(c.rlike(r"\p{N}"), at(10).cast("string")).otherwise(c)
         )
 
-    return F.concat_ws("", F.transform(chars, draw))
+    return let(chars, lambda cs: F.concat_ws("", F.transform(cs, lambda c, i: draw(c, i, F.size(cs)))))
 
 
 def shifted(p: Policy, value: Column) -> Column:

@@ -138,3 +138,140 @@ def count_interval(source_count: int, source_rows: int, target_rows: int, deviat
 def stratified(df: DataFrame, stratum: str, row_id: str, per_stratum: int) -> DataFrame:
     """The first rows of each stratum in row order."""
     return df.withColumn("k", F.row_number().over(Window.partitionBy(stratum).orderBy(row_id))).where(F.col("k") <= per_stratum).drop("k")
+
+
+# Output rows that a minority category must reach, rows captured for each asked for, and the types whose
+# values are strata.
+LEAST_CATEGORY, CAPTURE_FACTOR, STRATUM_TYPES = 3, 3, ("CATEGORY", "BOOLEAN")
+
+
+@dataclass(frozen=True)
+class Stratum:
+    id: str
+    column: str
+    value: str  # '' for blanks
+    source_count: int
+    target: int
+    low: int
+    high: int
+
+
+def strata_plan(profiles: dict[str, dict], policies: list, n: int, blanks: bool = True, most: int = STRATA) -> list[Stratum]:
+    """Blanks and minority values (of at most half the rows) that n output rows should show as often as the source does.
+
+    ``profiles``: rows of column profiles with ``top`` lists of all values of columns with few."""
+    rows = max((p["observed"] for p in profiles.values()), default=0)
+    if rows <= 0 or n >= rows:
+        return []
+    found = []
+    for at, p in enumerate(policies):
+        profile = profiles.get(p.column)
+        if profile is None or p.action in ("DROP", "CLEAR"):
+            continue
+        wanted = lambda count: round(count / rows * n)
+        if blanks and 0 < profile["empty"] < rows and wanted(profile["empty"]):
+            found.append((0, wanted(profile["empty"]), at, "", profile["empty"]))
+        few = 2 <= profile["distinct"] <= min(20, max(2, math.ceil(math.sqrt(profile["non_empty"])))) and profile["unique_ratio"] <= 0.1
+        top = profile.get("top", [])
+        if (p.detected in STRATUM_TYPES or few) and profile["distinct"] <= len(top):
+            found += [(1, wanted(count), at, value, count) for value, count in top if value and 0 < count <= rows / 2 and wanted(count) >= LEAST_CATEGORY]
+    out, captured = [], 0
+    for _, target, at, value, count in sorted(found):
+        if len(out) < most and (not out or captured + target <= CAPTURE_FACTOR * n):
+            low, high = count_interval(count, rows, n)
+            out.append(Stratum(f"stratum-{len(out) + 1}", policies[at].column, value, count, target, low, high))
+            captured += target
+    return out
+
+
+def strata_of(df: DataFrame, strata: list[Stratum]) -> Column:
+    """The ids of the strata that a row is in."""
+    here = [F.when(is_empty(df[s.column]) if s.value == "" else trimmed(df[s.column]) == s.value, F.lit(s.id)) for s in strata]
+    return F.array_compact(F.array(*here)) if here else F.array().cast("array<string>")
+
+
+def captured(df: DataFrame, row_id: str, strata: list[Stratum], n: int, seed: int = 1) -> DataFrame:
+    """Rows from which n are chosen: of each stratum evenly spread ones, and the n of least keyed hash: at most
+    (``CAPTURE_FACTOR`` + 1) * n rows, whatever the input."""
+    held = df.withColumn("strata", strata_of(df, strata))
+    few = held.orderBy(uniform(seed, "capture", F.col(row_id)), row_id).limit(n)
+    if not strata:
+        return few
+    targets = F.create_map(*[F.lit(x) for s in strata for x in (s.id, s.target)])
+    order = Window.partitionBy("stratum").orderBy(uniform(seed, "stratum", F.col(row_id)), row_id)
+    taken = held.withColumn("stratum", F.explode("strata")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.element_at(targets, F.col("stratum")))
+    return taken.drop("stratum", "k").unionByName(few).dropDuplicates([row_id])
+
+
+def balanced_choice(rows: list[tuple[object, list[str]]], strata: list[Stratum], n: int, mandatory: list = (), preferred: list = ()) -> list:
+    """n row ids of a bounded list (id, stratum ids): mandatory ones, strata up to their targets, preferred ones, the rest.
+
+    Rows that would take a stratum beyond its target come only when nothing else is left."""
+    inside, target = dict(rows), {s.id: s.target for s in strata}
+    chosen: dict[object, None] = {}
+    have = dict.fromkeys(target, 0)
+
+    def fits(key) -> bool:
+        return all(have[s] < target[s] for s in inside[key] if s in target)
+
+    def add(key) -> None:
+        if key in inside and key not in chosen and len(chosen) < n:
+            chosen[key] = None
+            for s in inside[key]:
+                if s in have:
+                    have[s] += 1
+
+    for key in mandatory:
+        add(key)
+    for s in strata:
+        use = lambda key: sum(have[x] < target[x] for x in inside[key] if x in target)
+        mine = sorted((k for k, ids in rows if s.id in ids), key=lambda k: -use(k))
+        for strict in (True, False):
+            for key in mine:
+                if have[s.id] < s.target and (not strict or fits(key)):
+                    add(key)
+    for strict in (True, False):
+        for key in (*preferred, *(k for k, _ in rows)):
+            if key in inside and (not strict or fits(key)):
+                add(key)
+    return [k for k, _ in rows if k in chosen]
+
+
+@dataclass(frozen=True)
+class OutputPlan:
+    """What an output should show, without any of the source's values: scenario ids, kinds and weights."""
+
+    rows: int
+    mandatory: tuple[str, ...]
+    scenarios: tuple[tuple[str, str, int], ...]
+    covered: float
+
+    def replanned(self, rows: int) -> OutputPlan:
+        return output_plan([Scenario(i, k, w, "", F.lit(True)) for i, k, w in self.scenarios], rows)
+
+
+def output_plan(found: list[Scenario], rows: int) -> OutputPlan:
+    """The weightiest scenarios, one for each row asked for."""
+    ranked = sorted(found, key=lambda s: (-s.weight, s.id))
+    shown = ranked[:rows]
+    weight = sum(s.weight for s in ranked)
+    return OutputPlan(rows, tuple(s.id for s in shown), tuple((s.id, s.kind, s.weight) for s in ranked), sum(s.weight for s in shown) / weight if weight else 1.0)
+
+
+def coverage_view(df: DataFrame, found: list[Scenario]) -> DataFrame:
+    """scenario, kind, weight, n, status: how often an output shows each scenario."""
+    rows = [(s.id, s.kind, s.weight) for s in found]
+    asked = df.sparkSession.createDataFrame(rows, "scenario string, kind string, weight int")
+    seen = matched(df, found).select(F.explode("scenario_ids").alias("scenario")).groupBy("scenario").agg(F.count(F.lit(1)).alias("n"))
+    return asked.join(seen, "scenario", "left").select("scenario", "kind", "weight", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") > 0, "COVERED").otherwise("MISSING").alias("status"))
+
+
+def synthetic_rows(source: DataFrame, policies: list, n: int, seed: int = 1) -> DataFrame:
+    """Rows drawn column by column from the source's distributions, for an output without any template row."""
+    from quillmask.operators.resample import drawn
+
+    out = source.sparkSession.range(n).withColumnRenamed("id", "s_row")
+    for p in policies:
+        if p.action != "DROP":
+            out = drawn(out.withColumn(p.column, F.lit("")), p.column, p.detected, source, "s_drawn", F.col("s_row"), seed, f"synthetic:{p.column}").drop(p.column).withColumnRenamed("s_drawn", p.column)
+    return out.drop("s_row")

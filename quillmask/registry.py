@@ -453,3 +453,198 @@ def source_output_difference(spark, d):
 
     c = table(spark, d, "customer")
     return difference(c, c.withColumn("c_mktsegment", F.lower("c_mktsegment")), "c_custkey", ["c_name", "c_mktsegment"])
+
+
+# ---- numbers whatever their size, sketches, warnings
+
+
+@query(r"""WITH x AS (SELECT o_totalprice * 1000 AS big, o_totalprice / 1e9::DOUBLE AS small FROM orders), t AS (SELECT 'big' AS column_name, big AS v FROM x UNION ALL SELECT 'small', small FROM x)
+SELECT column_name, count(v) AS numeric_count, min(v) AS minimum, max(v) AS maximum, round(avg(v), 9) AS mean, quantile_cont(v, 0.5) AS p50, 'EXACT' AS distinct_status FROM t GROUP BY column_name""")
+def profile_large_and_small_doubles(spark, d):
+    o = table(spark, d, "orders").select((F.col("o_totalprice") * 1000).alias("big"), (F.col("o_totalprice") / F.lit(1e9)).alias("small"))
+    p = profile.column_profiles(o)
+    return p.select("column_name", "numeric_count", "minimum", "maximum", F.round("mean", 9).alias("mean"), F.col("quantiles")[3].alias("p50"), "distinct_status")
+
+
+@query("""SELECT 'l_extendedprice' AS column_name, count(*) AS observed, min(l_extendedprice) AS minimum, max(l_extendedprice) AS maximum, 'ESTIMATED' AS distinct_status, true AS near FROM lineitem
+UNION ALL SELECT 'l_returnflag', count(*), NULL, NULL, 'EXACT', true FROM lineitem""")
+def profile_by_sketches(spark, d):
+    l = table(spark, d, "lineitem")
+    p = profile.column_profiles(l, ["l_extendedprice", "l_returnflag"], profile.Limits(exact_values=50))
+    true = l.agg(F.count_distinct("l_extendedprice").alias("n"))
+    near = F.abs(F.col("distinct") - F.when(F.col("distinct_status") == "ESTIMATED", F.col("n")).otherwise(F.col("distinct"))) <= 0.05 * F.col("n")
+    return p.crossJoin(F.broadcast(true)).select("column_name", "observed", "minimum", "maximum", "distinct_status", near.alias("near"))  # one row
+
+
+@query("SELECT 'UNIQUE_TRACKING_LIMIT_REACHED' AS code, 'p_name' AS column_name, (SELECT count(DISTINCT p_name) FROM part) AS n UNION ALL SELECT 'PROFILE_VALUE_TRUNCATED', 'p_name', (SELECT count(DISTINCT p_name) FROM part WHERE length(p_name) > 8) UNION ALL SELECT 'COLUMN_PROFILE_LIMIT_REACHED', 'p_size', 3")
+def profile_warnings(spark, d):
+    return profile.warnings(table(spark, d, "part"), ["p_name", "p_brand", "p_size"], profile.Limits(unique_values=30, columns=2, value_length=8)).where("column_name <> 'p_brand'")
+
+
+@query(rf"""SELECT c_custkey, CASE WHEN length(v) > 24 THEN length(substr(v, 1, 6)) + 18 ELSE length(v) END::INTEGER AS tracked, v = '' AS empty, length(v)::INTEGER AS length, CASE WHEN regexp_matches(v, '^[+-]?[0-9]+(\.[0-9]+)?$') THEN v::DOUBLE END AS number
+FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN c_acctbal::VARCHAR WHEN 2 THEN c_name || ' ' || c_mktsegment ELSE c_name END AS v FROM customer)""")
+def normalised_values(spark, d):
+    c = table(spark, d, "customer")
+    k = c["c_custkey"] % 4
+    v = F.when(k == 0, F.lit("  ")).when(k == 1, F.concat(F.lit(" "), c["c_acctbal"].cast("string"))).when(k == 2, F.concat("c_name", F.lit(" "), "c_mktsegment")).otherwise(c["c_name"])
+    return c.select("c_custkey", text.normalised_value(v, 24).alias("n")).select("c_custkey", F.length("n.value").alias("tracked"), "n.empty", "n.length", F.col("n.numeric.value").alias("number"))
+
+
+# ---- dates and times as people write them
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate + INTERVAL 40 DAY, '%d %b %Y') AS day_first, strftime(o_orderdate - INTERVAL 3 DAY, '%B %d, %Y') AS month_first, year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS sorted FROM orders WHERE month(o_orderdate) <> 5")
+def shift_named_months(spark, d):
+    o = table(spark, d, "orders").where(F.month("o_orderdate") != 5)  # May alone doesn't say whether names are short
+    day = o["o_orderdate"]
+    a, b = F.date_format(day, "dd MMM yyyy"), F.date_format(day, "MMMM dd, yyyy")
+    return o.select("o_orderkey", temporal.shifted_date(a, 40, "DNY").alias("day_first"), temporal.shifted_date(b, -3, "NDY").alias("month_first"), temporal.order_key(a, "DNY").alias("sorted"))
+
+
+@query("SELECT event_id, strftime(ts + INTERVAL 75 MINUTE, '%H.%M.%S') AS dotted, strftime(ts + INTERVAL 75 MINUTE, '%H:%M') || '+10:00' AS zoned FROM events")
+def shift_dotted_and_zoned_times(spark, d):
+    e = table(spark, d, "events")
+    return e.select("event_id", temporal.shifted_time(F.date_format("ts", "HH.mm.ss"), 75).alias("dotted"), temporal.shifted_time(F.concat(F.date_format("ts", "HH:mm"), F.lit("+10:00")), 75).alias("zoned"))
+
+
+@query("""SELECT layout, kind, count(*) AS n FROM (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'YMD' WHEN 1 THEN CASE WHEN day(o_orderdate) > 12 THEN 'DMY' ELSE 'AMBIGUOUS' END WHEN 2 THEN 'DNY' END AS layout,
+CASE o_orderkey % 4 WHEN 0 THEN 'DATETIME' WHEN 3 THEN 'TIME' ELSE 'DATE' END AS kind FROM orders) GROUP BY ALL""")
+def temporal_layouts(spark, d):
+    from quillmask.operators.validate import temporal_kind
+
+    o = table(spark, d, "orders")
+    k, day = o["o_orderkey"] % 4, o["o_orderdate"]
+    v = F.when(k == 0, F.date_format(day, "yyyy-MM-dd HH:mm")).when(k == 1, F.date_format(day, "dd/MM/yyyy")).when(k == 2, F.date_format(day, "d-MMM-yy")).otherwise("10.45 pm")
+    return o.select(v.alias("v")).groupBy(temporal.layout_of(F.col("v")).alias("layout"), temporal_kind(F.col("v")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- drawing from distributions
+
+
+@query("SELECT x AS value, coalesce(sum(n) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_rank, (sum(n) OVER (ORDER BY x))::BIGINT AS end_rank, coalesce(lead(x) OVER (ORDER BY x), x) AS next_value FROM (SELECT l_extendedprice AS x, count(*) AS n FROM lineitem GROUP BY 1)")
+def resample_stretches(spark, d):
+    from quillmask.operators.resample import stretches
+
+    s = stretches(table(spark, d, "lineitem"), "l_extendedprice", True)
+    return s.select(F.col("r_value").alias("value"), F.col("r_from").alias("first_rank"), F.col("r_to").alias("end_rank"), F.col("r_next").alias("next_value"))
+
+
+@query("SELECT count(*) AS rows, min(c_acctbal) AS minimum, max(c_acctbal) AS maximum, count(DISTINCT c_mktsegment) AS segments, 0::BIGINT AS unknown_segments, 0::BIGINT AS far_from_source FROM customer")
+def resample_keeps_distribution(spark, d):
+    """Draws in strata: extremes and all values come back, and no sorted draw is far from the source's."""
+    from quillmask.functions.ordinals import with_rank
+    from quillmask.functions.stored import stored
+    from quillmask.operators.resample import stratified_share
+
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    n = c.count()
+    share = stratified_share(F.col("c_custkey"), n, 1, "x", True)
+    out = stored(actions.transformed(c, [Policy("c_custkey"), Policy("c_acctbal", "RESAMPLE", "DECIMAL"), Policy("c_mktsegment", "RESAMPLE", "CATEGORY")], F.col("c_custkey"), shares={"c_acctbal": share}))
+    x = out.select(F.col("c_acctbal").cast("double").alias("x"), "c_custkey")
+    ranks = with_rank(x, "x", ["c_custkey"], "rank").join(with_rank(c.select(F.col("c_acctbal").alias("y"), F.col("c_custkey").alias("k")), "y", ["k"], "rank"), "rank")
+    spread = c.agg(((F.max("c_acctbal") - F.min("c_acctbal")) * 0.1).alias("spread"))
+    far = ranks.crossJoin(F.broadcast(spread)).agg(F.count_if(F.abs(F.col("x") - F.col("y")) > F.col("spread")).alias("far_from_source"))  # one row
+    unknown = out.join(c.select(F.col("c_mktsegment").alias("known")).distinct(), F.col("c_mktsegment") == F.col("known"), "left_anti").agg(F.count(F.lit(1)).alias("unknown_segments"))
+    facts = x.agg(F.count(F.lit(1)).alias("rows"), F.min("x").alias("minimum"), F.max("x").alias("maximum")).crossJoin(out.agg(F.count_distinct("c_mktsegment").alias("segments")))
+    return facts.crossJoin(unknown).crossJoin(far)  # one row each
+
+
+# ---- checks of outputs
+
+
+@query("""SELECT * FROM (SELECT 'OUTPUT_TYPE_MISMATCH' AS code, 'ERROR' AS severity, 'amount' AS column_name, count(*) FILTER (c_custkey % 7 = 0) AS n FROM customer UNION ALL SELECT 'OUTPUT_TYPE_MISMATCH', 'ERROR', 'flag', count(*) FILTER (c_custkey % 5 = 0) FROM customer
+UNION ALL SELECT 'INTERNAL_TEMPLATE_LEAK', 'ERROR', 'note', count(*) FILTER (c_custkey % 11 = 0) FROM customer UNION ALL SELECT 'OUTPUT_TYPE_MISMATCH', 'ERROR', 'day', count(*) FILTER (c_custkey % 13 = 0) FROM customer UNION ALL SELECT 'OUTPUT_TYPE_MISMATCH', 'ERROR', 'band', count(*) FILTER (c_custkey % 3 = 0) FROM customer) WHERE n > 0""")
+def validate_cells(spark, d):
+    from quillmask.operators import validate
+
+    k = F.col("c_custkey")
+    out = table(spark, d, "customer").select(
+        F.when(k % 7 == 0, "12.5.1").when(k % 7 == 1, "n/a").otherwise(F.col("c_acctbal").cast("string")).alias("amount"), F.when(k % 5 == 0, "maybe").otherwise("Yes").alias("flag"),
+        F.when(k % 11 == 0, validate.template("NAME", "x")).otherwise("").alias("note"), F.when(k % 13 == 0, "2024-02-30").otherwise("3 Mar 2024").alias("day"), F.when(k % 3 == 0, "many").otherwise("10-19").alias("band"), F.lit("?").alias("kept"),
+    )
+    kinds = [Policy("amount", "RESAMPLE", "DECIMAL"), Policy("flag", "REPLACE", "BOOLEAN"), Policy("note", "REPLACE", "GENERAL_TEXT"), Policy("day", "SHIFT", "DATE", params={"offset": 1}), Policy("band", "GENERALISE", "INTEGER", params={"strategy": "NUMERIC_BAND"}), Policy("kept", "KEEP", "INTEGER")]
+    return validate.cell_issues(out, kinds)
+
+
+@query("""SELECT 'SAME_ID_RELATIONSHIP_VIOLATION' AS code, 'ERROR' AS severity, 'a,b' AS column_name, count(*) FILTER (o_orderkey % 9 = 0) AS n FROM orders UNION ALL SELECT 'DATE_RELATIONSHIP_VIOLATION', 'ERROR', 'first,second', count(*) FILTER (o_orderkey % 10 = 0) FROM orders
+UNION ALL SELECT 'BUSINESS_RULE_VIOLATION', 'ERROR', 'x,y', count(*) FILTER (o_orderkey % 8 = 0) FROM orders UNION ALL SELECT 'BUSINESS_RULE_VIOLATION', 'ERROR', 'flag,x', count(*) FILTER (o_orderkey % 6 = 0) FROM orders UNION ALL SELECT 'SHIFT_GROUP_ORDER_VIOLATION', 'ERROR', 'first,second,third', count(*) FILTER (o_orderkey % 10 = 0) FROM orders""")
+def validate_rules(spark, d):
+    from quillmask.operators import validate
+    from quillmask.operators.relationships import Rule
+
+    k, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    out = table(spark, d, "orders").select(
+        k.cast("string").alias("a"), F.when(k % 9 == 0, "other").otherwise(k.cast("string")).alias("b"), day.cast("string").alias("first"), F.when(k % 10 == 0, F.date_sub(day, 1)).otherwise(F.date_add(day, 1)).cast("string").alias("second"), F.date_add(day, 5).cast("string").alias("third"),
+        F.col("o_totalprice").alias("x"), F.when(k % 8 == 0, F.lit(-5.0)).otherwise(F.col("o_totalprice") * 2).alias("y"), F.when(k % 6 == 0, "no").otherwise("yes").alias("flag"),
+    )
+    rules = [Rule("SAME_ID", ("a", "b")), Rule("DATE_ORDER", ("first", "second")), Rule("NUMERIC_RATIO", ("x", "y"), options={"constant": 2.0}), Rule("POSITIVE_FROM_BOOLEAN", ("flag", "x")), Rule("DATE_TIME_SHIFT_GROUP", ("first", "second", "third"))]
+    return validate.rule_issues(out, [r.confirmed() for r in rules])
+
+
+@query("""SELECT 'GENERATED_NULL_COUNT_MISMATCH' AS code, 'ERROR' AS severity, 'size' AS column_name, abs(count(*) FILTER (p_partkey % 4 = 0) - round(count(*) * 0.1))::BIGINT AS n FROM part UNION ALL SELECT 'GENERATED_VALUE_OUTSIDE_RULES', 'ERROR', 'size', count(*) FILTER (p_partkey % 4 <> 0 AND p_size > 30) FROM part
+UNION ALL SELECT 'GENERATED_VALUE_OUTSIDE_RULES', 'ERROR', 'kind', count(*) FILTER (p_partkey % 5 = 0) FROM part UNION ALL SELECT 'GENERATED_UNIQUENESS_RELAXED', 'WARNING', 'kind', count(*) - count(DISTINCT p_partkey % 5 = 0) FROM part""")
+def validate_generated(spark, d):
+    from quillmask.operators import validate
+
+    p = table(spark, d, "part")
+    out = p.select(F.when(p["p_partkey"] % 4 == 0, "").otherwise(p["p_size"].cast("string")).alias("size"), F.when(p["p_partkey"] % 5 == 0, "odd").otherwise("even").alias("kind"))
+    fields = [generate.Field("size", "integer", {"minimum": 1, "maximum": 30}, 0.1), generate.Field("kind", "category", {"values": ["even"], "unique": True})]
+    return validate.generated_issues(out, fields, p.count())
+
+
+@query("""WITH s AS (SELECT count(*) AS rows, count(x) AS n, count(DISTINCT x) AS support, avg(x) AS mean, min(x) AS lo, max(x) AS hi, quantile_cont(x, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS q FROM (SELECT l_extendedprice AS x FROM lineitem)),
+o AS (SELECT count(*) AS rows, count(x) AS n, count(DISTINCT x) AS support, avg(x) AS mean, min(x) AS lo, max(x) AS hi, quantile_cont(x, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS q FROM (SELECT CASE WHEN l_linenumber = 7 THEN NULL ELSE l_extendedprice END AS x FROM lineitem WHERE l_returnflag = 'A')),
+e AS (SELECT sum(1 - pow(1 - c / t, (SELECT rows FROM o))) AS support FROM (SELECT count(*) AS c, sum(count(*)) OVER () AS t FROM lineitem GROUP BY l_extendedprice)),
+m AS (SELECT s.*, o.rows AS o_rows, o.n AS o_n, o.support AS o_support, o.lo AS o_lo, o.hi AS o_hi, o.mean AS o_mean, greatest(abs(s.q[6] - s.q[2]), abs(s.hi - s.lo) * 0.1, abs(s.mean) * 0.01) AS spread, 3 / sqrt(least(s.n, o.n)) AS slack, o.q AS oq, e.support AS expected FROM s, o, e),
+f AS (SELECT *, abs(o_mean - mean) / spread AS mean_shift, list_max(list_transform([2, 3, 4, 5, 6], lambda i: abs(oq[i] - q[i]))) / spread AS inner_shift, list_max(list_transform([1, 7], lambda i: abs(oq[i] - q[i]))) / spread AS tail_shift, o_n / o_rows - n / rows AS rate_shift FROM m)
+SELECT round(rate_shift, 9) AS rate_shift, round(mean_shift, 9) AS mean_shift, round(inner_shift, 9) AS quantile_shift, round(tail_shift, 9) AS tail_shift, abs(rate_shift) <= 0.05 AS rate_ok, o_support >= greatest(1, ceil(expected * 0.7)) AS support_ok, mean_shift <= greatest(0.08, slack) AS mean_ok,
+inner_shift <= greatest(0.1, slack) AND tail_shift <= greatest(0.1, slack, 0.12) AS quantiles_ok, CASE WHEN o_rows * 0.01 >= 5 THEN tail_shift <= greatest(0.12, slack) END AS tails_ok, o_lo >= lo AND o_hi <= hi AS range_ok FROM f""")
+def numeric_checks(spark, d):
+    from quillmask.operators import compare
+
+    l = table(spark, d, "lineitem")
+    out = l.where("l_returnflag = 'A'").withColumn("l_extendedprice", F.when(F.col("l_linenumber") != 7, F.col("l_extendedprice")))
+    said = compare.numeric_checks(l, out, "l_extendedprice")
+    return said.select(*[F.round(c, 9).alias(c) for c in ("rate_shift", "mean_shift", "quantile_shift", "tail_shift")], "rate_ok", "support_ok", "mean_ok", "quantiles_ok", "tails_ok", "range_ok")
+
+
+@query("SELECT 'ORPHAN_FOREIGN_KEY' AS \"check\", 'orders' AS table_name, 'o_custkey' AS column_name, count(*) FILTER (o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 20)) AS n FROM orders UNION ALL SELECT 'DUPLICATE_PRIMARY_KEY', 'orders', 'o_orderkey', count(*) - count(DISTINCT o_orderkey) FROM orders UNION ALL SELECT 'DUPLICATE_PRIMARY_KEY', 'customer', 'c_custkey', 0")
+def dataset_integrity(spark, d):
+    from quillmask.plans.masking import integrity_model
+
+    tables = {"orders": table(spark, d, "orders"), "customer": table(spark, d, "customer").where("c_nationkey < 20")}
+    return integrity_model(tables, {"orders": "o_orderkey", "customer": "c_custkey"}, [("orders", "o_custkey", "customer")])
+
+
+@query("SELECT 'day' AS column_name, count(*) AS filled, count(*) FILTER (o_orderkey % 5 <> 0) AS readable, false AS ready FROM orders UNION ALL SELECT 'code', count(*), count(*), true FROM orders")
+def shift_readiness(spark, d):
+    from quillmask.plans.masking import shift_readiness as readiness
+
+    o = table(spark, d, "orders")
+    cells = o.select(F.when(o["o_orderkey"] % 5 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("day"), F.concat(F.lit("O-"), o["o_orderkey"].cast("string")).alias("code"))
+    return readiness(cells, [Policy("day", "SHIFT", "DATE", params={"offset": 3}), Policy("code", "SHIFT", "ALPHANUMERIC_CODE", params={"offset": 3})])
+
+
+@query("SELECT 'c_mktsegment:CATEGORY_COMMON:0' AS scenario, 'CATEGORY_COMMON' AS kind, 65 AS weight, count(*) FILTER (c_acctbal > 9000 AND c_mktsegment = (SELECT c_mktsegment FROM customer GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS n, CASE WHEN count(*) FILTER (c_acctbal > 9000 AND c_mktsegment = (SELECT c_mktsegment FROM customer GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) > 0 THEN 'COVERED' ELSE 'MISSING' END AS status FROM customer")
+def coverage_of_output(spark, d):
+    c = table(spark, d, "customer")
+    rows = {r["column_name"]: r.asDict() for r in profile.column_profiles(c, ["c_mktsegment"]).collect()}
+    rows["c_mktsegment"]["top"] = [(r["value"], r["n"]) for r in profile.top_values(c, ["c_mktsegment"]).orderBy("rank").collect()]
+    found = [s for s in coverage.scenarios(c, rows, {"c_mktsegment": "CATEGORY"}) if s.id.endswith("CATEGORY_COMMON:0")]
+    return coverage.coverage_view(c.where("c_acctbal > 9000"), found)
+
+
+@query("SELECT c_custkey::VARCHAR AS c_custkey, c_name, '\"' || c_mktsegment || '\", ok' AS note FROM customer")
+def delimited_round_trip(spark, d):
+    """Written as delimited text, then read with delimiter and header found by themselves."""
+    import uuid
+
+    from quillmask.sources import delimited, sinks
+
+    c = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("c_custkey"), "c_name", F.concat(F.lit('"'), "c_mktsegment", F.lit('", ok')).alias("note"))
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/quillmask-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    sinks.write_delimited(c, path)
+    return delimited.read_delimited(spark, path, header=True)[0].select("c_custkey", "c_name", "note")

@@ -159,3 +159,124 @@ def test_stream(spark, tmp_path, data):
     seen = []
     each_chunk(spark, str(tmp_path / "in"), df.schema, lambda batch, i: seen.extend(masked_stream(batch, plan).collect()), str(tmp_path / "cp")).awaitTermination(60)
     assert sorted(seen) == sorted(actions.transformed(df, plan).collect())
+
+
+def test_floating_point_numbers_are_digits(spark):
+    df = spark.createDataFrame([(5.0,), (12345678.9,), (0.0001,), (98765432.0,), (-1.5e-9,), (1e22,), (None,)], "x double")
+    p = profile.column_profiles(df).first()
+    assert (p["numeric_count"], p["maximum"], p["minimum"]) == (6, 1e22, -1.5e-9)
+    assert [r[0] for r in df.select(text.plain(F.col("x"))).collect()] == ["5.0", "12345678.9", "0.0001", "98765432", "-0.0000000015", "10000000000000000000000", None]
+    assert detect.analysed(df.where("x > 0 and x < 1e9"))[0][1].type in ("DECIMAL", "NUMERIC_ID")
+
+
+def test_resampling_draws_from_all_values(spark):
+    from quillmask.operators import resample
+
+    df = spark.range(5000).select(F.col("id"), (F.col("id") * 3).cast("string").alias("x"), F.when(F.col("id") % 50 == 0, "N/A").otherwise(F.concat(F.lit("$"), (F.col("id") / 4).cast("decimal(10,2)"))).alias("c"))
+    out = actions.transformed(df, [Policy("id"), Policy("x", "RESAMPLE", "INTEGER"), Policy("c", "RESAMPLE", "CURRENCY_LIKE")]).collect()
+    x = [int(r.x) for r in out]
+    assert len(out) == 5000 and len(set(x)) > 4000 and max(x) > 14000 and min(x) < 1000 and 7000 < sum(x) / 5000 < 8000
+    assert sum(r.c == "N/A" for r in out) == 100 and all(r.c == "N/A" or r.c.startswith("$") and 0 <= float(r.c[1:]) <= 1249.75 for r in out)
+    n = 40
+    strata = spark.range(n).select(resample.stratified_share(F.col("id"), n, 3, "s", True)).collect()
+    assert sorted(int(r[0] * n) for r in strata) == list(range(n)) and min(r[0] for r in strata) == 0
+    form = resample.NumberFormat("INTEGER", digits=5, low=-7.0, high=900.0)
+    assert one(spark, ["-2.5", "12.5", "5000"], lambda c: form.written(c.cast("double"), 1, "s")) == ["-00002", "00013", "00900"]
+
+
+def test_month_names_and_layouts(spark):
+    v = ["12 Mar 2024", "31-DEC-99", "March 5, 2024", "2024-02-30", "1/2/2024", "13/2/2024"]
+    assert one(spark, v, temporal.layout_of) == ["DNY", "DNY", "NDY", None, "AMBIGUOUS", "DMY"]
+    assert one(spark, v[:2], lambda c: temporal.shifted_date(c, 1, "DNY")) == ["13 Mar 2024", "01-JAN-00"]
+    assert one(spark, ["10.30 pm", "23:59:59Z", "12:30abc"], lambda c: temporal.shifted_time(c, 45)) == ["11.15 pm", "00:44:59Z", "12:30abc"]
+
+
+@pytest.mark.parametrize(("level", "n"), [("HIGH", 150), ("BALANCED", 60), ("FLEXIBLE", 400)])
+def test_lifecycle(spark, data, level, n):
+    from quillmask.plans.masking import Fidelity, generate_output, may_export, report, report_json
+
+    c = spark.read.parquet(f"{data}/customer.parquet").withColumn("rid", F.col("c_custkey"))
+    plan = [Policy("c_custkey", "PATTERN_REPLACE", "NUMERIC_ID"), Policy("c_name", "REPLACE", "NAME_LIKE", "DIRECT_IDENTIFIER"), Policy("c_nationkey", "RESAMPLE", "INTEGER"), Policy("c_acctbal", "RESAMPLE", "DECIMAL"), Policy("c_mktsegment", "KEEP", "CATEGORY")]
+    out, issues = generate_output(c, "rid", plan, n, fidelity=Fidelity(level))
+    assert out.count() == n and issues.where("severity = 'ERROR'").isEmpty()
+    if level == "BALANCED":
+        count = lambda d: {r[0]: r[1] for r in d.groupBy("c_mktsegment").count().collect()}
+        there, here = count(c), count(out)
+        assert all(abs(here.get(k, 0) - 0.4 * v) <= 2 for k, v in there.items())
+    if level == "HIGH":
+        said = report(c.drop("rid"), out, plan)
+        assert said["zones"]["fidelity"] in ("PASS", "REVIEW") and json.loads(report_json(said)) and may_export(said)[0]
+        with pytest.raises(ValueError):
+            generate_output(c, "rid", plan, n - 1, fidelity=Fidelity("HIGH"))
+
+
+def test_rows_that_fail_are_made_anew(spark):
+    from quillmask.plans.masking import generate_output
+
+    df = spark.createDataFrame([(i, str(i % 7)) for i in range(60)], "id long, v string")
+    rule = relationships.Rule("SAME_ID", ("v", "w")).confirmed()
+    both = df.withColumn("w", F.col("v"))
+    out, issues = generate_output(both, "id", [Policy("v", "PATTERN_REPLACE", "ALPHANUMERIC_CODE"), Policy("w", "PATTERN_REPLACE", "ALPHANUMERIC_CODE")], rules=[rule])
+    assert out.where("v <> w").isEmpty() and issues.where("code like 'SAME_ID%'").isEmpty()
+
+
+def test_balanced_choice():
+    s = [coverage.Stratum("a", "x", "", 10, 2, 0, 4), coverage.Stratum("b", "y", "r", 10, 1, 0, 3)]
+    rows = [(i, [k for k, on in (("a", i % 3 == 0), ("b", i % 4 == 0)) if on]) for i in range(12)]
+    got = coverage.balanced_choice(rows, s, 6, mandatory=[5], preferred=[7, 11])
+    inside = dict(rows)
+    assert len(got) == 6 and {5, 7, 11} <= set(got) and sum("a" in inside[i] for i in got) == 2 and sum("b" in inside[i] for i in got) == 1
+
+
+def test_registry_and_groups():
+    r = relationships.Registry().confirm(relationships.mapping_group("a", "b")).confirm(relationships.Rule("NUMERIC_EQUAL", ("p", "q")))
+    assert r.scope("a") == r.scope("b") != r.scope("c") and r.shift_group("z") == ("z",)
+    for rule in (relationships.Rule("NUMERIC_RATIO", ("m", "q")), relationships.mapping_group("b", "c"), relationships.Rule("NUMERIC_EQUAL", ("p", "q"))):
+        with pytest.raises(ValueError):
+            r.confirm(rule)
+    assert relationships.by_priority(["x", "total_price", "is_active"]) == ["total_price", "is_active", "x"]
+
+
+def test_patterns(spark):
+    from quillmask.functions import patterns
+
+    assert patterns.common_affix(["INV-1", "INV-22", "INV-3", "X"]) == "INV-" and patterns.safe_affix("INV") and not patterns.safe_affix("AB123")
+    assert patterns.summary(["AB-12", "AB-34"]).variable == (3, 4)
+    assert patterns.list_evidence(["a1, b2", "c3; d4", "e5|f6"])[0] == "HIGH" and not patterns.reads_lists("AUTO", ["one", "two"]) and patterns.reads_lists("FORCE", [])
+    made = one(spark, ["x", "y"], lambda c: patterns.masked(r"AA-99\A", 1, "s", c))
+    assert all(len(m) == 6 and m[2] == "-" and m[5] == "A" and m[:2].isupper() and m[3:5].isdigit() for m in made)
+    lists = one(spark, ["AB1, CD2; AB1"], lambda c: actions.pattern_replaced(Policy("c", "PATTERN_REPLACE", params={"lists": True}), c, F.lit(1), 1))[0]
+    assert lists[:3] == lists[-3:] != "AB1" and lists[3:5] == ", "
+
+
+def test_configuration(spark):
+    from quillmask.plans import config
+
+    old = {"version": 1, "generated": [{"name": "n", "type": "sequence", "settings": {"step": 0, "width": 99}, "null_rate": 25}, {"name": "N", "type": "uuid"}]}
+    fields = config.fields_of(old)
+    assert [f.name for f in fields] == ["n", "N_2"] and fields[0].settings == {"step": 1, "width": 20} and fields[0].null_rate == 0.25
+    assert config.restored_fields(config.stored_fields(fields, " my\tset "))[0] == "my set"
+    columns = config.combined(config.source_columns(["a", "b"]), config.source_columns(["c"]))
+    assert [c.id for c in columns] == ["source-1", "source-2", "source-1-2"] and config.schema(columns).names == ["a", "b", "c"]
+    with pytest.raises(ValueError):
+        config.schema(config.combined(columns, config.source_columns(["a"])))
+    with pytest.raises(ValueError):
+        config.upgraded({"version": 9})
+    assert config.input_options({"delimiter": "tab", "header": "no"}) == {"delimiter": "\t", "header": False, "faithful": False}
+    assert config.with_defaults(Policy("x", "CLEAR", params={"odd": 1}))[1] == ["x: CLEAR takes no odd"] and "CLEAR" in config.explained(Policy("x", "CLEAR"))
+
+
+def test_first_parent_needs_no_child(spark):
+    parent = generate.Table("p", (generate.Field("k", "sequence"),), 300, "k")
+    child = lambda most: generate.Table("c", (generate.Field("k", "foreign-key", {"table": "p", "mode": "DRIVER", "minimum": 0, "maximum": most}),), 1)
+    assert generate.generated(spark, [parent, child(0)])["c"].count() == 1
+    firsts = [generate.generated(spark, [parent, child(1)], seed)["c"].where("k = 'ID-00001'").count() for seed in range(1, 7)]
+    assert set(firsts) == {0, 1}
+
+
+def test_text_input_and_undecoded(spark, tmp_path):
+    df, said = delimited.read_text(spark, 'id,name\n1,"A,b"\n\n2,C,x\n')
+    assert [r["_row"] for r in df.collect()] == [1, 2, 3] and said["issues"] == [("FIELD_COUNT_MISMATCH", 0, 2), ("FIELD_COUNT_MISMATCH", 1, 2)]
+    f = tmp_path / "b.csv"
+    f.write_bytes(b"id,name\n" + b"1,ok\n" * 20000 + b"2,\xff\xfe\n")
+    assert delimited.undecoded(delimited.read_delimited(spark, str(f))[0]).first()[0] == 2

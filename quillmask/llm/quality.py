@@ -18,9 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmask.llm.common import WORD, shared_dir, written
+from quillmask.llm.common import WORD, byte_size, shared_dir, written
 
-RISK, CONFIDENCE, GRID = 0.02, 0.05, 20
+RISK, CONFIDENCE, GRID, BROADCAST = 0.02, 0.05, 20, 8 << 20
 RULES = ("symbols", "dup_lines", "repeats")
 
 
@@ -94,8 +94,10 @@ def cutoffs(stats: DataFrame, labels: DataFrame, risk: float = RISK, confidence:
 
 def verdicts(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = (), **how) -> DataFrame:
     """``statistics`` with base_failed and kept. Each text is measured once: what was measured, and carried, is a written table."""
-    stats = written(statistics(docs, *carry), shared_dir(docs.sparkSession), "measured", compression="zstd")
-    cuts = cutoffs(stats.drop("row"), labels, **how).withColumnRenamed("stratum", "c_stratum")
+    spark, base = docs.sparkSession, shared_dir(docs.sparkSession)
+    stats = written(statistics(docs, *carry), base, "measured")
+    cuts = written(cutoffs(stats.drop("row"), labels, **how).withColumnRenamed("stratum", "c_stratum"), base, "cutoffs")
+    cuts = F.broadcast(cuts) if byte_size(spark, f"{base}/cutoffs") <= BROADCAST else cuts  # one row a stratum
     passes = ~base_failed()
     for k, v in rule_values().items():
         passes &= F.coalesce(v <= F.col(f"cut_{k}"), F.lit(True))

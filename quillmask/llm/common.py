@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LIBC = ctypes.CDLL(None) if sys.platform == "linux" and hasattr(ctypes.CDLL(None), "malloc_trim") else None
 #: Words of the contracts: runs of bytes that are neither space nor TAB..CR.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Stands for a null doc_id inside the operators; it sorts before every other id.
@@ -51,6 +54,13 @@ def byte_size(spark: SparkSession, path: str) -> int:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
 
 
+def trimmed_memory() -> None:
+    """Give memory that a Python worker no longer uses back to the system: idle workers of one step live on beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[tuple[list[list], list[bytes]]]:
     """(rows of the other columns, UTF-8 texts) in groups of about ``limit`` bytes. ``text`` is the last column; null is empty."""
     rows: list[list] = []
@@ -69,6 +79,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iter
             size += len(value)
     if texts:
         yield rows, texts
+    trimmed_memory()
 
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmask.llm.common import mix64, real_id, shared_dir, tagged, text_chunks, written
+from quillmask.llm.common import mix64, real_id, shared_dir, tagged, text_chunks, trimmed_memory, written
 from quillmask.llm.tokens import GROUP, encoder
 
 #: Tokens of a shard, and those that a document counts for besides its own.
@@ -164,6 +164,7 @@ def packed(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2,
         out = pd.DataFrame(pack_shard(int(key[0]), owners, ids, window), columns=[*names, "at"])
         if with_ids:
             out["ids"] = [ids[i][s : s + k].astype("<u4").tobytes() for i, s, k in zip(out["at"], out["start"], out["length"], strict=True)]
+        trimmed_memory()
         return out.drop(columns="at")
 
     schema = ", ".join(f"{n} long" for n in names) + ", ids binary" * with_ids

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text in a group, beyond which only a single text goes.
-GROUP = 8 << 20
+GROUP = 4 << 20
 #: Ends a word in what the encoder reads; texts that hold it go to the library.
 END = "\x1f"
 _UNSURE = r"[\x1c-\x1f]|<\|"

@@ -136,7 +136,7 @@ def assigned(pages: DataFrame) -> DataFrame:
     ids = p.select("page", "digest")
     first = ids.groupBy("digest").agg(F.min("page").alias("first"), F.max("page").alias("last")).where("last > first")
     revisits = ids.join(first.select("digest", "first"), "digest").where("page > first").distinct()
-    return p.join(revisits, ["page", "digest"], "left").select("page", F.coalesce("first", "page").alias("first"), "url", "digest", "html")
+    return p.join(revisits.hint("merge"), ["page", "digest"], "left").select("page", F.coalesce("first", "page").alias("first"), "url", "digest", "html")
 
 
 def monolithic(assigned_pages: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def read_back(archives: DataFrame, index: DataFrame) -> DataFrame:
                 out = [parse(b"".join(inflate(file[e["offset"] : e["offset"] + e["length"]]))) for e in at.as_py()]
                 yield pa.record_batch([pa.array([r[n] for r in out], t) for n, t in fields], names=[n for n, _ in fields])
 
-    out = archives.select("name", "data").join(listed, "name").select("data", "at").mapInArrow(rows, "page long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    out = archives.select("name", "data").join(listed.hint("merge"), "name").select("data", "at").mapInArrow(rows, "page long, payload_bytes long, payload_digest string, record_type string, refers_to long")
     return out.select(real_id("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", real_id("refers_to").alias("refers_to"))
 
 

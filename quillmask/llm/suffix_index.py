@@ -46,6 +46,7 @@ class IndexFamily:
         self.shape = Shape("byte", width, min(gram, width))
         self.levels: list[tuple[int, str, DataFrame]] = []  # rank, name, entries; ranks fall
         self.matches: list[DataFrame] = []
+        self.samples: list[DataFrame] = []  # each batch's sampled suffixes, one row for each place
         self.serial = 0
 
     def _level(self, rank: int, rows: DataFrame) -> tuple[int, str, DataFrame]:
@@ -66,7 +67,8 @@ class IndexFamily:
     def append(self, docs: DataFrame) -> DataFrame:
         """Index a batch; returns its matches with itself and with what was there before."""
         turn = len(self.matches)
-        new = self._level(0, leaves(runs(docs, self.shape)).drop("head_doc"))
+        self.samples.append(written(runs(docs, self.shape), self.base, f"samples-{turn}"))
+        new = self._level(0, leaves(self.samples[-1]).drop("head_doc"))
         hits = written(self._scan(new[2], turn), self.base, f"matches-{turn}")
         self.matches.append(hits)
         dropped(self.spark, f"{self.base}/met-{turn}")
@@ -101,7 +103,7 @@ def repeated_runs(docs: DataFrame, width: int = 200, gram: int = 64, batches: in
     for b in range(batches):
         family.append(docs.where(part == b))
     family.close()
-    entries, run_rows, found = family.matched(), runs(docs, s), None
+    entries, run_rows, found = family.matched(), reduce(DataFrame.unionByName, family.samples), None
     for k, size in enumerate((*BLOCKS, 0)):
         branch = written(entries.select("node", "leaf", "n", "n_leaves", "its_doc", "its_tag", "its_at"), base, f"branch-{k}")
         # an entry that recurs loses all its windows; of each other one the holder's are compared, with those of all entries

@@ -108,8 +108,13 @@ def _redrawn(p: Policy, value: Column, key: Column, seed: int, scope: str) -> Co
     return let(chars, lambda cs: F.concat_ws("", F.transform(cs, lambda c, i: draw(c, i, F.size(cs)))))
 
 
+def shift_kind(p: Policy) -> str:
+    """DATE, TIME or NUMBER: as a SHIFT policy says, or else by what was detected."""
+    return p.params.get("kind") or ("TIME" if p.detected == "TIME" else "NUMBER" if p.detected in ("INTEGER", "NUMERIC_ID", "ALPHANUMERIC_CODE") else "DATE")
+
+
 def shifted(p: Policy, value: Column) -> Column:
-    kind, by = p.params.get("kind", "TIME" if p.detected == "TIME" else "NUMBER" if p.detected in ("INTEGER", "NUMERIC_ID", "ALPHANUMERIC_CODE") else "DATE"), p.params["offset"]
+    kind, by = shift_kind(p), p.params["offset"]
     if kind == "TIME":
         return shifted_time(value, by * (60 if p.params.get("unit") == "HOURS" else 1))
     if kind == "NUMBER":

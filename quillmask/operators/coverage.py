@@ -266,6 +266,24 @@ def coverage_view(df: DataFrame, found: list[Scenario]) -> DataFrame:
     return asked.join(seen, "scenario", "left").select("scenario", "kind", "weight", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") > 0, "COVERED").otherwise("MISSING").alias("status"))
 
 
+def coverage_notice(plan: OutputPlan, view: DataFrame, most: int = 4) -> tuple[dict, str | None]:
+    """required, covered, missing and the covered share of all weight; and a sentence where scenarios are missing.
+
+    ``view`` is the coverage view of the output. A scenario beyond the plan's rows lacks a row; another one that is missing has
+    none that could show it, so more rows won't help."""
+    rows = {r["scenario"]: r for r in view.collect()}  # at most MOST_SCENARIOS
+    missing = [i for i, _, _ in plan.scenarios if rows[i]["status"] == "MISSING"]
+    weight = sum(w for _, _, w in plan.scenarios)
+    shown = sum(w for i, _, w in plan.scenarios if i not in missing)
+    said = {"required": len(plan.scenarios), "covered": len(plan.scenarios) - len(missing), "missing": len(missing), "ratio": shown / weight if weight else 1.0}
+    short = [i for i in missing if i not in plan.mandatory]
+    if short:
+        return said, f"{plan.rows} rows are too few for {len(plan.scenarios)} scenarios; {len(short)} may be left out"
+    if missing:
+        return said, f"no row shows {', '.join(missing[:most])}{', ...' if len(missing) > most else ''}; more rows won't help"
+    return said, None
+
+
 def synthetic_rows(source: DataFrame, policies: list, n: int, seed: int = 1) -> DataFrame:
     """Rows drawn column by column from the source's distributions, for an output without any template row."""
     from quillmask.operators.resample import drawn

@@ -210,3 +210,13 @@ def connected_scenario(people: int = 200, products: int = 50) -> list[Table]:
 
 #: Single-table templates by id.
 TEMPLATES: dict[str, tuple[Field, ...]] = {"blank": ()} | {t.name: tuple(f for f in t.fields if "foreign" not in f.generator and f.settings.get("source", "") in ("", *[g.name for g in t.fields if "foreign" not in g.generator])) for t in connected_scenario()}
+
+
+def from_template(name: str, rows: int, taken: list[str] = ()) -> Table:
+    """A table of a template's columns, under the template's name or, where that is taken (whatever its case), with a number."""
+    if name not in TEMPLATES:
+        raise ValueError(f"unknown template {name}; there are {', '.join(TEMPLATES)}")
+    used, free, k = {t.lower() for t in taken}, name, 2
+    while free.lower() in used:
+        free, k = f"{name}_{k}", k + 1
+    return Table(free, TEMPLATES[name], rows)

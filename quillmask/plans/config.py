@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from quillmask.operators.actions import Policy
+from quillmask.operators.actions import Policy, shift_kind
 from quillmask.operators.generate import Field
 
 VERSION = 3
@@ -160,5 +160,22 @@ def with_defaults(p: Policy) -> tuple[Policy, list[str]]:
     return replace(p, params=params), [f"{p.column}: {p.action} takes no {k}" for k in odd]
 
 
+def with_offsets(policies: list[Policy], days: int | None = None, minutes: int | None = None, number: int | None = None) -> list[Policy]:
+    """SHIFT policies by one offset for all dates, one for all times and one for all numbers; others stay as they are.
+
+    A kind for which no offset is given stays too. An offset of zero is refused, and so are ambiguous dates: their layout is a
+    choice of its own."""
+    by_kind = {"DATE": (days, "DAYS"), "TIME": (minutes, "MINUTES"), "NUMBER": (number, "INTEGER")}
+    if 0 in (days, minutes, number):
+        raise ValueError("offsets are integers other than zero")
+    out = []
+    for p in policies:
+        offset, unit = by_kind[shift_kind(p)] if p.action == "SHIFT" else (None, "")
+        if offset is not None and p.detected == "AMBIGUOUS_DATE":
+            raise ValueError(f"{p.column}: choose DMY or MDY for it first")
+        out.append(p if offset is None else p.with_action("SHIFT", **p.params | {"offset": offset, "unit": unit}))
+    return out
+
+
 def explained(p: Policy) -> str:
     return f"{p.column} is {p.detected.lower().replace('_', ' ')}, {p.role.lower().replace('_', ' ')}, risk {p.risk.lower()}: {p.action}, since {REASONS[p.action]}"

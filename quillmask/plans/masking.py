@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmask.functions.stored import stored
 from quillmask.operators import compare, coverage, detect, profile, quality, relationships, validate
-from quillmask.operators.actions import Policy, transformed
+from quillmask.operators.actions import Policy, shift_kind, transformed
 from quillmask.operators.resample import NUMERIC, stratified_share
 
 MOST_TRIES = 3
@@ -173,16 +174,41 @@ def may_export(said: dict) -> tuple[bool, str]:
     return not failed, f"failed: {', '.join(failed)}" if failed else ""
 
 
-def integrity_model(tables: dict[str, DataFrame], keys: dict[str, str], links: list[tuple[str, str, str]]) -> DataFrame:
-    """check, table_name, column_name, n: repeated primary keys, and orphans of each link (child, column, parent)."""
-    out = None
-    for name, key in keys.items():
-        row = quality.duplicate_keys(tables[name], key).select(F.lit("DUPLICATE_PRIMARY_KEY").alias("check"), F.lit(name).alias("table_name"), F.lit(key).alias("column_name"), F.col("duplicate_rows").alias("n"))
-        out = row if out is None else out.unionByName(row)
+def may_export_all(said: dict[str, dict]) -> tuple[bool, str]:
+    """Whether tables that belong together may leave: there is one at least, and each may."""
+    held = {name: why for name, s in sorted(said.items()) for ok, why in [may_export(s)] if not ok}
+    return bool(said) and not held, "; ".join(f"{name} {why}" for name, why in held.items()) if said else "no tables"
+
+
+#: What each check of a dataset finds, for one and for several.
+FINDINGS = {
+    "DUPLICATE_PRIMARY_KEY": ("duplicate primary-key row", "duplicate primary-key rows"), "ORPHAN_FOREIGN_KEY": ("orphan foreign key", "orphan foreign keys"),
+    "CARDINALITY_VIOLATION": ("parent with too few or many children", "parents with too few or many children"), "LINKED_RULE_VIOLATION": ("linked cell that differs from its parent", "linked cells that differ from their parents"),
+}
+
+
+def integrity_model(
+    tables: dict[str, DataFrame], keys: dict[str, str], links: list[tuple[str, str, str]], counts: list[tuple[str, str, str, int, int]] = (), linked: list[tuple[str, str, str, list[tuple[str, str]]]] = ()
+) -> DataFrame:
+    """check, table_name, column_name, n: repeated primary keys, orphans of each link (child, column, parent), and where asked for
+    parents whose children are too few or many (child, column, parent, low, high) and linked cells that differ from their
+    parent's (child, column, parent, pairs of columns)."""
+    rows = [("DUPLICATE_PRIMARY_KEY", name, key, quality.duplicate_keys(tables[name], key).select(F.col("duplicate_rows").alias("n"))) for name, key in keys.items()]
+    number = F.count(F.lit(1)).alias("n")
     for child, column, parent in links:
-        row = quality.orphans(tables[child], column, tables[parent], keys[parent]).agg(F.count(F.lit(1)).alias("n")).select(F.lit("ORPHAN_FOREIGN_KEY").alias("check"), F.lit(child).alias("table_name"), F.lit(column).alias("column_name"), "n")
-        out = row if out is None else out.unionByName(row)
-    return out
+        rows.append(("ORPHAN_FOREIGN_KEY", child, column, quality.orphans(tables[child], column, tables[parent], keys[parent]).agg(number)))
+    for child, column, parent, low, high in counts:
+        rows.append(("CARDINALITY_VIOLATION", child, column, quality.cardinality_violations(tables[child], column, tables[parent], keys[parent], low, high).agg(number)))
+    for child, column, parent, copied in linked:
+        wrong = quality.linked_violations(tables[child], column, tables[parent], keys[parent], copied)
+        rows.append(("LINKED_RULE_VIOLATION", child, column, wrong.agg(F.coalesce(F.sum("violations"), F.lit(0)).alias("n"))))
+    return reduce(DataFrame.unionByName, [df.select(F.lit(check).alias("check"), F.lit(name).alias("table_name"), F.lit(column).alias("column_name"), "n") for check, name, column, df in rows])
+
+
+def integrity_findings(model: DataFrame) -> list[str]:
+    """What an integrity model found, one line for each check that found anything."""
+    found = {r["check"]: r["n"] for r in model.groupBy("check").agg(F.sum("n").alias("n")).collect()}
+    return [f"{found[check]:,} {names[found[check] != 1]}" for check, names in FINDINGS.items() if found.get(check)]
 
 
 def shift_readiness(df: DataFrame, policies: list[Policy]) -> DataFrame:
@@ -193,8 +219,7 @@ def shift_readiness(df: DataFrame, policies: list[Policy]) -> DataFrame:
     out = None
     for p in (p for p in policies if p.action == "SHIFT"):
         c = trimmed(cell(df, p.column))
-        kind = p.params.get("kind", "TIME" if p.detected == "TIME" else "NUMBER" if p.detected in ("INTEGER", "NUMERIC_ID", "ALPHANUMERIC_CODE") else "DATE")
-        read = {"TIME": clock_seconds(c).isNotNull(), "NUMBER": c.rlike(r"\d"), "DATE": as_date(c, p.params.get("layout", "YMD")).isNotNull()}[kind]
+        read = {"TIME": clock_seconds(c).isNotNull(), "NUMBER": c.rlike(r"\d"), "DATE": as_date(c, p.params.get("layout", "YMD")).isNotNull()}[shift_kind(p)]
         row = df.agg(F.count_if(c != "").alias("filled"), F.count_if((c != "") & read).alias("readable")).select(F.lit(p.column).alias("column_name"), "filled", "readable", (F.col("filled") == F.col("readable")).alias("ready"))
         out = row if out is None else out.unionByName(row)
     return out

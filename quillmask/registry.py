@@ -616,6 +616,18 @@ def dataset_integrity(spark, d):
     return integrity_model(tables, {"orders": "o_orderkey", "customer": "c_custkey"}, [("orders", "o_custkey", "customer")])
 
 
+@query("""
+WITH o AS (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE c_mktsegment END AS segment FROM orders LEFT JOIN customer ON o_custkey = c_custkey), n AS (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)
+SELECT 'DUPLICATE_PRIMARY_KEY' AS "check", 'customer' AS table_name, 'c_custkey' AS column_name, 0 AS n UNION ALL SELECT 'CARDINALITY_VIOLATION', 'orders', 'o_custkey', count(*) FROM n WHERE n NOT BETWEEN 5 AND 12
+UNION ALL SELECT 'LINKED_RULE_VIOLATION', 'orders', 'o_custkey', count(*) FILTER (segment <> c_mktsegment) FROM o""")
+def dataset_links(spark, d):
+    from quillmask.plans.masking import integrity_model
+
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    segments = o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 3 == 0, "X").otherwise(F.col("c_mktsegment")).alias("segment"))
+    return integrity_model({"orders": segments, "customer": c}, {"customer": "c_custkey"}, [], [("orders", "o_custkey", "customer", 5, 12)], [("orders", "o_custkey", "customer", [("segment", "c_mktsegment")])])
+
+
 @query("SELECT 'day' AS column_name, count(*) AS filled, count(*) FILTER (o_orderkey % 5 <> 0) AS readable, false AS ready FROM orders UNION ALL SELECT 'code', count(*), count(*), true FROM orders")
 def shift_readiness(spark, d):
     from quillmask.plans.masking import shift_readiness as readiness

@@ -280,3 +280,41 @@ def test_text_input_and_undecoded(spark, tmp_path):
     f = tmp_path / "b.csv"
     f.write_bytes(b"id,name\n" + b"1,ok\n" * 20000 + b"2,\xff\xfe\n")
     assert delimited.undecoded(delimited.read_delimited(spark, str(f))[0]).first()[0] == 2
+
+
+def test_offsets_in_bulk():
+    from quillmask.plans import config
+
+    plan = [Policy("d", "SHIFT", "DATE", params={"offset": 9, "layout": "DMY"}), Policy("t", "SHIFT", "TIME", params={"offset": 9}), Policy("n", "SHIFT", "NUMERIC_ID", params={"offset": 9}), Policy("k")]
+    made = config.with_offsets(plan, days=-3, number=7)
+    assert [p.params.get("offset") for p in made] == [-3, 9, 7, None] and made[0].params["layout"] == "DMY" and made[3] == plan[3]
+    for bad in ([plan, 0], [[Policy("a", "SHIFT", "AMBIGUOUS_DATE", params={"offset": 1})], 2]):
+        with pytest.raises(ValueError):
+            config.with_offsets(*bad)
+
+
+def test_templates_and_export():
+    from quillmask.plans.masking import may_export_all
+
+    made = generate.from_template("people", 5, ["People", "people_2"])
+    assert (made.name, made.rows) == ("people_3", 5) and generate.from_template("people", 1).name == "people" and generate.from_template("blank", 1).fields == ()
+    with pytest.raises(ValueError):
+        generate.from_template("nothing", 1)
+    good, bad = {"zones": {"privacy": "PASS"}}, {"zones": {"privacy": "FAIL", "fidelity": "PASS"}}
+    assert may_export_all({"a": good}) == (True, "") and may_export_all({"a": good, "b": bad}) == (False, "b failed: privacy") and not may_export_all({})[0]
+
+
+def test_integrity_and_coverage_in_words(spark):
+    from quillmask.plans.masking import integrity_findings, integrity_model
+
+    parent = spark.createDataFrame([("1", "x"), ("2", "y"), ("2", "y"), (None, "z")], "k string, v string")
+    child = spark.createDataFrame([("1", "x"), ("1", "no"), ("3", "")], "k string, v string")
+    checks = {"links": [("c", "k", "p")], "counts": [("c", "k", "p", 0, 1)], "linked": [("c", "k", "p", [("v", "v")])]}
+    found = integrity_findings(integrity_model({"p": parent, "c": child}, {"p": "k"}, **checks))
+    assert found == ["1 duplicate primary-key row", "1 orphan foreign key", "1 parent with too few or many children", "1 linked cell that differs from its parent"]
+    assert integrity_findings(integrity_model({"p": parent.limit(0), "c": child.limit(0)}, {"p": "k"}, **checks)) == []
+    found = [coverage.Scenario(i, "KIND", w, "v", F.col("v") == v) for i, w, v in (("a", 5, "x"), ("b", 3, "q"))]
+    view = coverage.coverage_view(parent, found)
+    said, why = coverage.coverage_notice(coverage.output_plan(found, 2), view)
+    assert said == {"required": 2, "covered": 1, "missing": 1, "ratio": 0.625} and why == "no row shows b; more rows won't help"
+    assert "too few" in coverage.coverage_notice(coverage.output_plan(found, 1), view)[1]

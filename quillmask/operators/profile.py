@@ -7,12 +7,15 @@ status says which.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmask.functions.keyed import key_hash
+from quillmask.functions.ordinals import running
+from quillmask.functions.stored import stored
 from quillmask.functions.text import case_pattern, cell, numeric_token, text, trimmed, value_shape
 
 EXACT, SAMPLED, LOWER_BOUND, ESTIMATED, NOT_COMPUTED = "EXACT", "SAMPLED", "LOWER_BOUND", "ESTIMATED", "NOT_COMPUTED"
@@ -29,12 +32,14 @@ class Limits:
     decimal_places: int = 12
     columns: int = 1000
     value_length: int = 512
-    exact_values: int = 1_000_000  # columns with more values than this (by a sketch) are profiled by sketches
+    wide_values: int = 1_000_000  # columns with more values than this (by a sketch) are counted on their own, their quantiles by ranks
+    exact_values: int | None = None  # if given, columns with more values than this (by a sketch) are profiled by sketches
     distinct: str = EXACT  # or LOWER_BOUND (count to unique_values + 1)
 
     def __post_init__(self):
-        for name in ("top_values", "sample_values", "unique_values", "numeric_samples", "common_lengths", "decimal_places", "columns", "value_length", "exact_values"):
-            if getattr(self, name) < 1:
+        for name in ("top_values", "sample_values", "unique_values", "numeric_samples", "common_lengths", "decimal_places", "columns", "value_length", "wide_values", "exact_values"):
+            given = getattr(self, name)
+            if given is not None and given < 1:
                 raise ValueError(f"{name} must be positive")
 
 
@@ -58,17 +63,22 @@ def value_counts(df: DataFrame, columns: list[str] | None = None, index: dict[st
 def column_profiles(df: DataFrame, columns: list[str] | None = None, limits: Limits = Limits()) -> DataFrame:
     """One row per column: counts, ratios, distinct values, lengths, numbers, quantiles and cases.
 
-    Columns beyond ``limits.columns`` aren't profiled; ``warnings`` names them. A column with more distinct values than
-    ``limits.exact_values`` is summed up where its rows are: its distinct values and quantiles are ESTIMATED."""
+    Columns beyond ``limits.columns`` aren't profiled; ``warnings`` names them. All is exact, however many values a column
+    has, unless ``limits.exact_values`` is given: a column with more distinct values is then summed up where its rows are,
+    and its distinct values and quantiles are ESTIMATED."""
     columns = (columns or df.columns)[: limits.columns]
     index = {c: i for i, c in enumerate(columns)}
-    wide: list[str] = []
+    apart: dict[str, DataFrame] = {}
     if limits.distinct == EXACT:
         about = df.agg(*[F.approx_count_distinct(df[c]).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-        wide = [c for i, c in enumerate(columns) if about[f"c{i}"] > limits.exact_values]
-    out = _counted(df, [c for c in columns if c not in wide], index, limits) if len(wide) < len(columns) else None
-    for c in wide:
-        out = _sketched(df, c, index[c]) if out is None else out.unionByName(_sketched(df, c, index[c]))
+        for i, c in enumerate(columns):
+            if limits.exact_values is not None and about[f"c{i}"] > limits.exact_values:
+                apart[c] = _sketched(df, c, i)
+            elif about[f"c{i}"] > limits.wide_values:
+                apart[c] = _wide(df, c, i)
+    out = _counted(df, [c for c in columns if c not in apart], index, limits) if len(apart) < len(columns) else None
+    for part in apart.values():
+        out = part if out is None else out.unionByName(part)
     out = out.withColumn("empty", F.col("observed") - F.col("non_empty")).withColumn("non_empty_ratio", F.coalesce(F.try_divide("non_empty", "observed"), F.lit(0.0)))
     return out.withColumn("unique_ratio", F.coalesce(F.try_divide("distinct", "non_empty"), F.lit(0.0)))
 
@@ -78,8 +88,9 @@ _CASES = ("UPPER", "LOWER", "TITLE", "MIXED", "NO_CASE")
 
 def _cell_facts(rows: DataFrame) -> DataFrame:
     """``rows`` (value, n) with filled, x (the number), len and case, each computed once."""
-    rows = rows.withColumns({"x": numeric_token(F.col("value"))["value"], "filled": F.col("value") != "", "len": F.length("value"), "case": case_pattern(F.col("value"))})
-    return rows
+    v, bare = F.col("value"), F.col("value").rlike(r"^[+-]?[0-9]+(?:\.[0-9]+)?$")  # most numbers; they need no parsing
+    x = F.when(bare, v.try_cast("double")).otherwise(numeric_token(v)["value"])
+    return rows.withColumns({"x": x, "filled": v != "", "len": F.length(v), "case": F.when(bare, "NO_CASE").otherwise(case_pattern(v))})
 
 
 def _summed(rows, keys: list[str], distinct, quantiles) -> DataFrame:
@@ -106,8 +117,44 @@ def _counted(df: DataFrame, columns: list[str], index: dict[str, int], limits: L
     return out.withColumn("distinct_status", F.lit(EXACT))
 
 
+def _wide(df: DataFrame, column: str, index: int) -> DataFrame:
+    """The exact profile of a column with very many values: no task holds them all."""
+    counts = _native_counts(df, column).select(F.lit(index).alias("column_index"), F.lit(column).alias("column_name"), "value", "n")
+    facts = stored(_cell_facts(counts).drop("value"))
+    out = _summed(facts, ["column_index", "column_name"], F.sum(F.when(F.col("filled"), F.lit(1))), _ranked_quantiles(facts))
+    return out.withColumns({"quantile_status": F.lit(EXACT), "distinct_status": F.lit(EXACT)})
+
+
+def _native_counts(df: DataFrame, column: str) -> DataFrame:
+    """value (trimmed), n: counted before values become text, so that each becomes text once. Zeros keep their signs."""
+    kind, c = df.schema[column].dataType.typeName(), df[column]
+    if kind in ("double", "float"):
+        rows = df.select(F.when(c != 0, c).alias("v"), F.when(c == 0, c.cast("string")).alias("zero")).groupBy("v", "zero").agg(F.count(F.lit(1)).alias("n"))
+        return rows.select(F.coalesce("zero", _value(rows, "v")).alias("value"), "n")
+    if kind in ("byte", "short", "integer", "long", "decimal", "date"):
+        rows = df.groupBy(c.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        return rows.select(_value(rows, "v").alias("value"), "n")
+    return df.select(_value(df, column).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _ranked_quantiles(facts: DataFrame):
+    """The quantiles of x with n rows each, as a fixed array: the values at the two ranks around each."""
+    numbers = facts.where("filled and x is not null").select("x", "n")
+    total = numbers.agg(F.sum("n")).first()[0]
+    if not total:
+        return F.lit(None).cast("array<double>")
+    places = [q * (total - 1) for q in QUANTILES]
+    ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
+    placed = running(numbers, "x", [], "n", "first")
+    met = placed.withColumn("rank", F.explode(F.filter(F.array(*[F.lit(r).cast("long") for r in ranks]), lambda r: (r >= F.col("first")) & (r < F.col("first") + F.col("n")))))
+    at = {r["rank"]: r["x"] for r in met.select("rank", "x").collect()}  # two for each quantile
+    low, high = [at[math.floor(p)] for p in places], [at[math.ceil(p)] for p in places]
+    cut = [a if a == b else a + (b - a) * (p - math.floor(p)) for a, b, p in zip(low, high, places)]
+    return F.first(F.array(*[F.lit(x) for x in cut]))
+
+
 def _sketched(df: DataFrame, column: str, index: int) -> DataFrame:
-    """The profile of a column with very many values: one map-side aggregation with sketches, nothing shuffled by value."""
+    """The profile of a column with very many values by request: one map-side aggregation with sketches, nothing shuffled by value."""
     rows = df.select(F.lit(index).alias("column_index"), F.lit(column).alias("column_name"), _value(df, column).alias("value"), F.lit(1).cast("long").alias("n"))
     about = F.percentile_approx(F.when(F.col("filled"), F.col("x")), [float(q) for q in QUANTILES], 10000)
     out = _summed(_cell_facts(rows), ["column_index", "column_name"], F.approx_count_distinct(F.when(F.col("filled"), F.col("value")), 0.01), about)

@@ -169,6 +169,13 @@ def test_floating_point_numbers_are_digits(spark):
     assert detect.analysed(df.where("x > 0 and x < 1e9"))[0][1].type in ("DECIMAL", "NUMERIC_ID")
 
 
+def test_profiles_are_exact_however_many_values(spark):
+    n = 1_500_000  # more than are counted with other columns
+    p = profile.column_profiles(spark.range(n).select((F.col("id") * 2).alias("x"))).first()
+    assert (p["distinct_status"], p["quantile_status"], p["distinct"], p["observed"], p["minimum"], p["maximum"]) == ("EXACT", "EXACT", n, n, 0.0, 2.0 * (n - 1))
+    assert p["quantiles"] == pytest.approx([2 * q * (n - 1) for q in profile.QUANTILES], rel=1e-12)
+
+
 def test_resampling_draws_from_all_values(spark):
     from quillmask.operators import resample
 

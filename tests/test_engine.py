@@ -176,6 +176,17 @@ def test_profiles_are_exact_however_many_values(spark):
     assert p["quantiles"] == pytest.approx([2 * q * (n - 1) for q in profile.QUANTILES], rel=1e-12)
 
 
+def test_wide_columns_are_profiled_like_others(spark):
+    x = F.col("id") % 997
+    df = spark.range(3000).select((x / 7 - 40).alias("a"), F.when(x % 5 == 0, F.concat(F.lit(" $"), x.cast("string"))).when(x % 5 == 1, F.concat(x.cast("string"), F.lit(".0"))).when(x % 5 == 2, "Word").when(x % 5 == 3, "").otherwise(x.cast("string")).alias("b"), F.concat(F.lit("t"), x.cast("string")).alias("c"), (-F.col("id") % 2 * 0.0).alias("d"))
+    exact = [r.asDict() for r in profile.column_profiles(df).orderBy("column_index").collect()]
+    wide = [r.asDict() for r in profile.column_profiles(df, limits=profile.Limits(wide_values=1)).orderBy("column_index").collect()]
+    for a, b in zip(exact, wide, strict=True):
+        close = ("mean", "quantiles")
+        assert {k: v for k, v in a.items() if k not in close} == {k: v for k, v in b.items() if k not in close}
+        assert all(a[k] == b[k] or a[k] == pytest.approx(b[k], rel=1e-12) for k in close)
+
+
 def test_resampling_draws_from_all_values(spark):
     from quillmask.operators import resample
 

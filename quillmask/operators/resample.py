@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from quillmask.functions.ordinals import running
 from quillmask.functions.text import cell, is_missing_sentinel, numeric_token, trimmed
 
 NUMERIC = ("INTEGER", "DECIMAL", "PERCENTAGE", "CURRENCY_LIKE")
+#: Stands for the last rank in shares, which lie in [0, 1).
+LAST_SHARE = 1.0 - 1e-12
 
 
 @dataclass(frozen=True)
@@ -43,12 +46,19 @@ class NumberFormat:
         marker = s["currency_marker"] or "$"
         return cls(kind, ((0, 1.0),) if kind == "INTEGER" else tuple((r[0], float(r[1])) for r in places), marker, s["v"].endswith(marker), s["digit_count"] if s["leading_zero"] else 0, said["low"], said["high"])
 
-    def written(self, x: Column, seed: int, scope: str, *row: Column) -> Column:
-        """x rounded half up to drawn decimal places, kept between the source's extremes, and written as the column does."""
+    def written(self, x: Column, seed: int, scope: str, *row: Column, extreme: Column | None = None) -> Column:
+        """x rounded half up to drawn decimal places, kept between the source's extremes, and written as the column does.
+
+        Where ``extreme``, the source's least or greatest number keeps all its decimal places (INTEGER: is rounded as others)."""
         chosen = weighted_pick(seed, f"{scope}:places", [(str(p), w) for p, w in self.places], *row) if len(self.places) > 1 else F.lit(str(self.places[0][0]))
         out = F.lit(None).cast("string")
         for places, _ in self.places:
             out = F.when(chosen == str(places), self._core(x, places)).otherwise(out)
+        if extreme is not None and self.kind != "INTEGER":
+            for end in {self.low, self.high} - {None}:
+                needed = max(0, -Decimal(repr(end)).normalize().as_tuple().exponent)
+                for places, _ in self.places:
+                    out = F.when(extreme & (x == end) & (chosen == str(places)), f"{Decimal(repr(end)):.{max(places, needed)}f}").otherwise(out)
         if self.kind == "PERCENTAGE":
             return F.concat(out, F.lit("%"))
         if self.kind == "CURRENCY_LIKE":
@@ -85,7 +95,7 @@ def stretches(source: DataFrame, column: str, numeric: bool) -> DataFrame:
 def drawn(df: DataFrame, column: str, kind: str, source: DataFrame, name: str, row: Column, seed: int, scope: str, share: Column | None = None) -> DataFrame:
     """``df`` with ``name``: a draw for each row from the values of ``source``; missing marks stay. ``share``: the draw's place in [0, 1), if given."""
     numeric = kind in NUMERIC
-    u = share if share is not None else uniform(seed, scope, row)
+    u = uniform(seed, scope, row) if share is None else F.when(share >= LAST_SHARE, 1.0).otherwise(share)
     table = stretches(source, column, numeric)
     size = table.agg(F.count(F.lit(1)).alias("k"), F.max("r_to").alias("n"), F.count_if(F.lit(True)).alias("d")).first()
     if not size["n"]:
@@ -100,7 +110,8 @@ def drawn(df: DataFrame, column: str, kind: str, source: DataFrame, name: str, r
     if numeric:
         upper = F.when(F.ceil("r_at") < F.col("r_to"), F.col("r_value")).otherwise(F.col("r_next"))
         x = F.col("r_value") + (upper - F.col("r_value")) * (F.col("r_at") - F.col("r_rank"))
-        value = NumberFormat.of(source, column, kind).written(x, seed, scope, row)
+        extreme = None if share is None else (F.col("r_at") == 0) | (F.col("r_at") == n - 1)
+        value = NumberFormat.of(source, column, kind).written(x, seed, scope, row, extreme=extreme)
     else:
         value = F.col("r_value")
     out = F.when(is_missing_sentinel(F.col(f"`{column}`")), trimmed(cell(df, column))).otherwise(value)
@@ -120,4 +131,4 @@ def stratified_share(ordinal: Column, n: int, seed: int, scope: str, extremes: b
     offset = seed % n
     stratum = F.pmod(ordinal * F.lit(coprime_stride(n)) + F.lit(offset), F.lit(n))
     inside = (stratum + uniform(seed, f"{scope}:stratum", ordinal)) / F.lit(float(n))
-    return F.when(stratum == 0, 0.0).when(stratum == n - 1, 1.0 - 1e-12).otherwise(inside) if extremes else inside
+    return F.when(stratum == 0, 0.0).when(stratum == n - 1, LAST_SHARE).otherwise(inside) if extremes else inside

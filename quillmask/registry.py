@@ -536,10 +536,10 @@ def resample_keeps_distribution(spark, d):
     from quillmask.functions.stored import stored
     from quillmask.operators.resample import stratified_share
 
-    c = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    c = stored(with_rank(table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"), "c_custkey", [], "ordinal"))  # keys may have gaps
     n = c.count()
-    share = stratified_share(F.col("c_custkey"), n, 1, "x", True)
-    out = stored(actions.transformed(c, [Policy("c_custkey"), Policy("c_acctbal", "RESAMPLE", "DECIMAL"), Policy("c_mktsegment", "RESAMPLE", "CATEGORY")], F.col("c_custkey"), shares={"c_acctbal": share}))
+    share = stratified_share(F.col("ordinal"), n, 1, "x", True)
+    out = stored(actions.transformed(c, [Policy("c_custkey"), Policy("c_acctbal", "RESAMPLE", "DECIMAL"), Policy("c_mktsegment", "RESAMPLE", "CATEGORY"), Policy("ordinal")], F.col("c_custkey"), shares={"c_acctbal": share}))
     x = out.select(F.col("c_acctbal").cast("double").alias("x"), "c_custkey")
     ranks = with_rank(x, "x", ["c_custkey"], "rank").join(with_rank(c.select(F.col("c_acctbal").alias("y"), F.col("c_custkey").alias("k")), "y", ["k"], "rank"), "rank")
     spread = c.agg(((F.max("c_acctbal") - F.min("c_acctbal")) * 0.1).alias("spread"))

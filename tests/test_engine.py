@@ -202,6 +202,19 @@ def test_resampling_draws_from_all_values(spark):
     assert one(spark, ["-2.5", "12.5", "5000"], lambda c: form.written(c.cast("double"), 1, "s")) == ["-00002", "00013", "00900"]
 
 
+def test_extremes_keep_their_decimal_places(spark):
+    from quillmask.operators.resample import stratified_share
+
+    n = 300
+    df = spark.range(n).select("id", F.when(F.col("id") == 7, "-994.28").when(F.col("id") == 9, "812.375").otherwise(F.concat(F.col("id").cast("string"), F.lit(".5"))).alias("x"))
+    for seed in range(3):
+        share = stratified_share(F.col("id"), n, seed, "x", True)
+        out = actions.transformed(df, [Policy("id"), Policy("x", "RESAMPLE", "DECIMAL")], F.col("id"), seed=seed, shares={"x": share}).collect()
+        x = sorted((r.x for r in out), key=float)
+        assert len(out) == n and (x[0], x[-1]) == ("-994.28", "812.375")
+        assert sum(len(v.split(".")[1]) == 1 for v in x) > 0.95 * n
+
+
 def test_month_names_and_layouts(spark):
     v = ["12 Mar 2024", "31-DEC-99", "March 5, 2024", "2024-02-30", "1/2/2024", "13/2/2024"]
     assert one(spark, v, temporal.layout_of) == ["DNY", "DNY", "NDY", None, "AMBIGUOUS", "DMY"]

@@ -1,6 +1,7 @@
 """Every registered query of the engine proper: against its SQL where it has one, else it must give rows."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillmask import registry
 
@@ -15,6 +16,15 @@ def test_rows(name, spark, data):
     assert registry.QUERIES[name](spark, data).count() > 0
 
 
+def test_profile_of_lineitem_with_many_prices(spark, agree, tmp_path):
+    n, i, path = 1_500_000, F.col("id"), f"{tmp_path}/lineitem.parquet"  # more prices than are counted with other columns
+    keys = [(i % k).alias(c) for c, k in (("l_orderkey", 997), ("l_partkey", 200), ("l_suppkey", 10))]
+    numbers = [(i % 7 + 1).cast("int").alias("l_linenumber"), (i % 50 + 1).cast("double").alias("l_quantity"), ((i * 7919 % n + 90000) / 100).alias("l_extendedprice"), (i % 11 / 100).alias("l_discount"), (i % 9 / 100).alias("l_tax")]
+    spark.range(n).select(*keys, *numbers, F.lit("N").alias("l_returnflag"), F.lit("O").alias("l_linestatus")).write.parquet(path)
+    sql = registry.ORACLE_SQL["profile_lineitem"].replace("WITH cells", f"WITH lineitem AS (SELECT * FROM '{path}/*.parquet'), cells", 1)
+    agree(registry.QUERIES["profile_lineitem"](spark, str(tmp_path)), sql)
+
+
 def test_entry(spark):
     import __spark_entry__
 
